@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm import bpe, decontamination, media, quality, simhash, toxicity
+from leadflow.llm import bpe, decontamination, media, quality, simhash, suffix_array, suffix_automaton, toxicity
 from leadflow.llm.common import table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -23,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, seed=42, distance=3)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_automaton.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -38,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op3_bpe, op4_quality, op5_simhash, op8_toxicity, op9_webp, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_suffix_array, op3_bpe, op4_quality, op5_simhash, op6_substring, op8_toxicity, op9_webp, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
