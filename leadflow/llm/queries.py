@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm import bpe, decontamination, media, quality, simhash, suffix_array, suffix_automaton, toxicity
+from leadflow.llm import bpe, chat, decontamination, html_text, media, quality, simhash, suffix_array, suffix_automaton, toxicity
 from leadflow.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotation_rows(table(spark, sf_dir, "conversations"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,6 +35,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_automaton.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -46,11 +54,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {f.__name__: f for f in (op1_suffix_array, op3_bpe, op4_quality, op5_simhash, op6_substring, op8_toxicity, op9_webp, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_suffix_array, op2_chat, op3_bpe, op4_quality, op5_simhash, op6_substring, op7_html, op8_toxicity, op9_webp, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op10_decontamination": decontamination.REPORT_SQL}
+    found = {"op2_chat": chat.ROTATION_SQL, "op10_decontamination": decontamination.REPORT_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
