@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leadflow.llm.common import NULL_ID, pieces
 
@@ -168,6 +169,11 @@ def _n(p: Column) -> Column:
     return F.shiftright(p, 1).bitwiseAND(F.lit(127))
 
 
+def _longs(*names: str) -> StructType:
+    """Columns that are never null: no null filters get in the way of sharing a shuffle."""
+    return StructType([StructField(n, LongType(), False) for n in names])
+
+
 def anchor_rows(docs: DataFrame, kind: Kind, spans: bool) -> DataFrame:
     """docs {_d, text} -> {h, s, _d, p} of the first place of each segment in a batch; or, with spans, {_d, a, b}:
     stretches that are known to go from the batch alone."""
@@ -194,7 +200,7 @@ def anchor_rows(docs: DataFrame, kind: Kind, spans: bool) -> DataFrame:
                         p = _pack(lo[first], n[first], more)
                         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[first].view(np.int64), s[first].view(np.int64), d[first], p)], names=["h", "s", "_d", "p"])
 
-    return docs.select("_d", "text").mapInArrow(run, "_d long, a long, b long" if spans else "h long, s long, _d long, p long")
+    return docs.select("_d", "text").mapInArrow(run, _longs("_d", "a", "b") if spans else _longs("h", "s", "_d", "p"))
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, kind: Kind, windows: bool) -> DataFrame:
@@ -232,7 +238,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, kind: Kind, windows: bool) ->
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out[:3]] + [pa.array(out[3], pa.binary())], names=["h", "_d", "lo", "seg"])
 
-    both = docs.join(lists.hint("shuffle_hash"), "_d").select("_d", "text", "hs", "ps")
+    both = docs.join(lists.hint("shuffle_hash"), "_d")  # with all columns, so that the shuffle of docs is the one of the last join
     return both.mapInArrow(run, "x long, y long, _d long, lo long" if windows else "h long, _d long, lo long, seg binary")
 
 
@@ -266,8 +272,8 @@ def _compared(rows: DataFrame, partitions: int, compare: Compare, chunk: int = 1
     return sorted_rows.mapInArrow(run, "_d long, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, kind: Kind, compare: Compare, partitions: int) -> DataFrame:
-    """docs {_d, text}, dealt out by _d -> {_d, a, b}: stretches of units that repeated windows cover."""
+def repeated_spans(docs: DataFrame, dealt: DataFrame, kind: Kind, compare: Compare, partitions: int) -> DataFrame:
+    """docs {_d, text}, and the same dealt out by _d -> {_d, a, b}: stretches of units that repeated windows cover."""
     rows = anchor_rows(docs, kind, spans=False).repartition(partitions, "h")
     place = F.struct("_d", "p")
     equal = rows.groupBy("h", "s").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max(F.col("p").bitwiseAND(F.lit(1))).alias("more"))
@@ -280,8 +286,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, compare: Compare, partitions: in
     # anchors with different segments
     groups = equal.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1")
     wanted = equal.join(groups, "h").select("h", "segments", F.col("first._d").alias("_d"), F.col("first.p").alias("p"))
-    small = _contents(docs, wanted.where(F.col("segments") <= kind.most_group), kind, windows=False)
-    hot = _contents(docs, wanted.where(F.col("segments") > kind.most_group), kind, windows=True)
+    small = _contents(dealt, wanted.where(F.col("segments") <= kind.most_group), kind, windows=False)
+    hot = _contents(dealt, wanted.where(F.col("segments") > kind.most_group), kind, windows=True)
     at = F.struct("_d", "lo")
     classes = hot.groupBy("x", "y").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
     hot = hot.join(classes, ["x", "y"])
@@ -295,8 +301,9 @@ def repeated_spans(docs: DataFrame, kind: Kind, compare: Compare, partitions: in
 def with_spans(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
     """docs with text -> its columns, `_d`, and `_spans` (array of structs a, b; null where nothing goes)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).repartition(partitions, "_d")
-    spans = repeated_spans(base, kind, compare, partitions).groupBy("_d").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    named = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    base = named.repartition(partitions, "_d")
+    spans = repeated_spans(named, base, kind, compare, partitions).groupBy("_d").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
     return base.join(spans.hint("shuffle_hash"), "_d", "left")
 
 
