@@ -5,34 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T].*)?$"
+ISO = r"^\d{4}-\d{2}-\d{2}(?:[ T].*)?$"
 DASHED = r"^(\d{2})-(\d{2})-(\d{4})$"
 SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:\s.*)?$"
-
-
-def _parts(c: Column, pattern: str) -> tuple[Column, Column, Column]:
-    return tuple(F.regexp_extract(c, pattern, k).try_cast("int") for k in (1, 2, 3))
-
-
-def _day(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null where the calendar has none."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+DAY_FIRST = r"^(?:1[3-9]|[2-9]\d)/"
+EITHER_FIRST = r"^(?:0?[1-9]|1[0-2])/(?:0?[1-9]|1[0-2])/\d{4}(?:\s.*)?$"
 
 
 def _candidate(c: Column) -> Column:
+    """The date as written, or null where the form is unknown or the calendar has no such day."""
     t = F.trim(c)
-    y, m, d = _parts(t, ISO)
-    d2, m2, y2 = _parts(t, DASHED)
-    a, b, y3 = _parts(t, SLASHED)
-    slashed = F.when(a > 12, _day(y3, b, a)).otherwise(_day(y3, a, b))
-    return F.when(t.rlike(ISO), _day(y, m, d)).when(t.rlike(DASHED), _day(y2, m2, d2)).when(t.rlike(SLASHED), slashed)
+    iso = (
+        F.when(t.rlike(ISO), F.substring(t, 1, 10)).when(t.rlike(DASHED), F.regexp_replace(t, DASHED, "$3-$2-$1"))
+        .when(t.rlike(DAY_FIRST), F.regexp_replace(t, SLASHED, "$3-$2-$1")).otherwise(F.regexp_replace(t, SLASHED, "$3-$1-$2"))
+    )
+    return F.try_to_date(iso, "yyyy-M-d")
 
 
 def date_status(c: Column) -> Column:
     """MISSING, VALID, INVALID, or AMBIGUOUS for a slashed date whose first two numbers could both be a month."""
     t = F.trim(c)
-    a, b, _ = _parts(t, SLASHED)
-    return F.when(c.isNull() | (t == ""), "MISSING").when(t.rlike(SLASHED) & a.between(1, 12) & b.between(1, 12), "AMBIGUOUS").when(_candidate(c).isNotNull(), "VALID").otherwise("INVALID")
+    known = t.rlike(ISO) | t.rlike(DASHED) | t.rlike(SLASHED)
+    return F.when(c.isNull() | (t == ""), "MISSING").when(t.rlike(EITHER_FIRST), "AMBIGUOUS").when(known & _candidate(c).isNotNull(), "VALID").otherwise("INVALID")
 
 
 def date_value(c: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the data contract.
 FOLDED_FROM, FOLDED_TO = "ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun"
@@ -161,7 +162,7 @@ def classify_error(message: Column) -> Column:
     return out.otherwise("structured_output_invalid")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_model(s: pd.Series) -> pd.Series:
     """Model names compared by letters and digits alone, all accents folded; null gives "". For distinct values."""
 
@@ -174,7 +175,7 @@ def normalize_model(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_evidence(s: pd.Series) -> pd.Series:
     """Evidence compared without regard to compatibility forms, case and white space."""
     return s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leadflow.functions.text import normalize_model
 from leadflow.operators.conversations import INTENTS, OBJECTIONS, PAYMENTS
 from leadflow.operators.ranking import global_rank
+from leadflow.plans.session import materialise
 
 TEXT_FIELDS = ("forma_pago", "intencion", "objecion_principal")
 NUMBER_FIELDS = ("presupuesto", "cuota_inicial")
@@ -72,7 +73,7 @@ def evaluate_predictions(df: DataFrame, label: str = "label", score: str = "scor
     """One row: rows, positive rate, ROC-AUC, average precision and Brier score. Ties count half for the AUC and as
     one step for the precision. Rows are first reduced to distinct scores; those are ordered by range."""
     each = df.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    parts = each.repartitionByRange(32, F.col("s").desc()).withColumn("_part", F.spark_partition_id())
+    parts = materialise(each.repartitionByRange(32, F.col("s").desc()).withColumn("_part", F.spark_partition_id()), "score-ranges")
     sums = parts.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     ahead = sums.select("_part", F.coalesce(F.sum("_p").over(earlier), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leadflow.plans.session import materialise
+
 
 def global_rank(df: DataFrame, bucket: list[Column], order: list[Column], name: str = "rank", buckets: int = 64) -> DataFrame:
     """df with `name`: row_number over all rows in `order` (total; ties must be broken by its last columns).
 
     bucket: leading sort keys, as ascending columns in the same sense as `order`. Their distinct values are
     cut into ranges by Spark's range partitioner; each range is ranked by itself and shifted by the number
-    of rows before it, so no task sees more than a range. Rows of one bucket value share a range; what
-    follows in `order` should vary inside it.
+    of rows before it, so no task sees more than a range. The ranges are written down once, since their
+    bounds come from a sample and rank and count must agree on them.
     """
-    ranged = df.repartitionByRange(buckets, *bucket, *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialise(df.repartitionByRange(buckets, *bucket, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("_inside", F.row_number().over(W.partitionBy("_part").orderBy(*bucket, *order)))
     counts = inside.groupBy("_part").agg(F.max("_inside").alias("_n"))
     # one row a range: at most `buckets` rows are ordered here

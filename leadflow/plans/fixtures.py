@@ -21,7 +21,7 @@ SELECT lpad(cast(k AS string), 10, '0') AS raw_row_id,
   CASE WHEN k % 53 = 0 THEN NULL ELSE concat('E', cast(n_regionkey AS string)) END AS empresa_id,
   concat('PV-', lpad(cast(n_nationkey AS string), 3, '0')) AS punto_venta_id,
   c_name AS nombre_cliente,
-  CASE WHEN k % 3 = 0 THEN NULL WHEN k % 41 = 1 THEN '12345' ELSE concat(CASE k % 5 WHEN 0 THEN '+57 ' WHEN 1 THEN '0057-' WHEN 2 THEN '57' ELSE '' END, '3', lpad(cast(c % 1000 AS string), 4, '0'), ' ', lpad(cast(c AS string), 5, '0')) END AS telefono,
+  CASE WHEN k % 3 = 0 THEN NULL WHEN k % 41 = 1 THEN '12345' WHEN k % 101 = 5 THEN '300 999 8877' ELSE concat(CASE k % 5 WHEN 0 THEN '+57 ' WHEN 1 THEN '0057-' WHEN 2 THEN '57' ELSE '' END, '3', lpad(cast(c % 1000 AS string), 4, '0'), ' ', lpad(cast(c AS string), 5, '0')) END AS telefono,
   CASE WHEN k % 4 = 1 THEN concat(' Cliente', cast(c AS string), '@Correo.co') WHEN k % 11 = 3 THEN 'test@test.com' WHEN k % 13 = 5 THEN 'prueba@x.co' WHEN k % 17 = 4 THEN 'sin correo' END AS email,
   CASE k % 8 WHEN 0 THEN 'Bogotá D.C.' WHEN 1 THEN ' MEDELLÍN ' WHEN 2 THEN 'B/quilla' WHEN 3 THEN 'Sta Marta' WHEN 4 THEN 'Itagüí' WHEN 5 THEN 'Rio  Negro' WHEN 6 THEN 'Lima' END AS ciudad,
   CASE WHEN p_name IS NULL OR k % 19 = 7 THEN NULL WHEN k % 5 = 0 THEN concat(upper(p_brand), ' ', p_name) WHEN k % 5 = 1 THEN concat(p_brand, '  ', p_name, ' 2026') WHEN k % 5 = 2 THEN p_name WHEN k % 5 = 3 THEN concat(p_brand, ' ', replace(p_name, 'o', '')) ELSE p_brand END AS modelo_interes_texto,

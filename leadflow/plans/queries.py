@@ -1,7 +1,313 @@
-"""Registered queries of the library and the SQL that gives the same rows."""
+"""Registered queries of the library and the SQL that gives the same rows.
+
+Every query begins with the driver's tables (see fixtures.py) and calls library functions only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadflow.functions import text as T
+from leadflow.operators import conversations as conv
+from leadflow.operators import evaluation, facts, identity, knowledge, marts, matching, merge, priority, profiling, propensity, quality, reports, staging
+from leadflow.plans import fixtures as X
+from leadflow.plans import oracles
+from leadflow.plans.session import materialise
+
+DAY = X.DAY.strip("'")
 FLAGSHIP = "manager_summary"
-QUERIES: dict = {}
-ORACLES: dict = {}
+FUZZY_EMPTY = "modelo_interes_normalizado string, top_1 string, top_1_score double, top_2 string, top_2_score double, margin double, decision string, sku string"
+EXTRACTION_COLUMNS = ["extraction_id", "modelo_interes", "presupuesto", "cuota_inicial", "forma_pago", "intencion", "objecion_principal", "pidio_cita", "pidio_cotizacion", "evidence_grounded", "processed_at"]
+
+
+class Domain:
+    """The domain's tables over one folder of the driver's tables, made on demand and kept while the object lives."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
+
+    def raw(self, name: str) -> DataFrame:
+        return X.load(self.spark, self.dir, getattr(X, name))
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
+    @property
+    def leads(self) -> DataFrame:
+        return self.keep("leads", lambda: staging.stg_leads(self.raw("LEADS")))
+
+    @property
+    def catalog(self) -> DataFrame:
+        return self.keep("catalog", lambda: staging.stg_catalogo_motos(self.raw("CATALOG")))
+
+    @property
+    def advisors(self) -> DataFrame:
+        return self.keep("advisors", lambda: staging.stg_asesores(self.raw("ADVISORS")))
+
+    @property
+    def history(self) -> DataFrame:
+        return self.keep("history", lambda: staging.stg_historico_cierres(self.raw("HISTORY")))
+
+    @property
+    def raw_conversations(self) -> DataFrame:
+        turns = self.raw("TURNS").groupBy("conversacion_id").agg(F.array_sort(F.collect_list(F.struct("turn", "emisor", "texto", "hora"))).alias("m"))
+        told = turns.select("conversacion_id", F.transform("m", lambda m: F.struct(m["emisor"].alias("emisor"), m["texto"].alias("texto"), m["hora"].alias("hora"))).alias("mensajes"))
+        return self.raw("CONVERSATION_HEADS").join(told, "conversacion_id")
+
+    @property
+    def conversations(self) -> DataFrame:
+        return self.keep("conversations", lambda: staging.stg_conversations(self.raw_conversations))
+
+    @property
+    def extractions(self) -> DataFrame:
+        return self.raw("EXTRACTIONS")
+
+    @property
+    def current(self) -> DataFrame:
+        return conv.current_extractions(self.extractions, self.conversations)
+
+    @property
+    def features(self) -> DataFrame:
+        return conv.lead_conversation_features(self.current, self.leads)
+
+    @property
+    def aliases(self) -> DataFrame:
+        return matching.build_aliases(matching.lead_models(self.leads), self.catalog)
+
+    @property
+    def availability(self) -> DataFrame:
+        return matching.catalog_availability(self.catalog)
+
+    @property
+    def match_exact(self) -> DataFrame:
+        return matching.lead_model_match(self.leads, self.catalog, self.aliases, self.spark.createDataFrame([], FUZZY_EMPTY), self.availability)
+
+    @property
+    def fuzzy(self) -> DataFrame:
+        return matching.build_fuzzy_matches(matching.lead_models(self.leads), self.catalog, self.aliases)
+
+    @property
+    def signals(self) -> DataFrame:
+        return identity.identity_signals(self.leads)
+
+    @property
+    def identity(self) -> DataFrame:
+        return self.keep("identity", lambda: identity.lead_identity_map(self.leads, self.signals))
+
+    @property
+    def enriched(self) -> DataFrame:
+        return marts.leads_enriched(self.leads, self.identity, self.match_exact)
+
+    @property
+    def mart(self) -> DataFrame:
+        """The mart of a day, written once: reports and the assignment both rest on it."""
+        return self.keep("mart", lambda: materialise(marts.leads_ai_enriched(self.enriched, self.features), "mart"))
+
+    @property
+    def scored(self) -> DataFrame:
+        return priority.score_leads(self.mart.join(self.raw("SCORES"), "raw_row_id", "left"), DAY)
+
+    @property
+    def assignments(self) -> DataFrame:
+        def make() -> DataFrame:
+            ranked = priority.add_ranks(self.scored)
+            day = priority.assign_leads(ranked, self.advisors)
+            return materialise(day.select(F.lit(DAY).cast("date").alias("assignment_date"), "raw_row_id", "lead_id", "empresa_id", "punto_venta_id", "fecha_registro", "is_available_at_store", "priority_score", "global_priority_rank", "store_priority_rank", "temperature", "priority_reasons",
+                "propensity_score", "propensity_percentile", "propensity_component", "conversation_component", "sla_component", "availability_component", "advisor_id", "assignment_status", "lead_age_hours", "scoring_timestamp"), "assignments")
+
+        return self.keep("assignments", make)
+
+    @property
+    def events(self) -> DataFrame:
+        a = self.assignments.select("raw_row_id", "assignment_date", "empresa_id", "advisor_id")
+        e = self.raw("EVENTS").where("event_type = 'click'").join(a, "raw_row_id")
+        return e.select("event_id", "assignment_date", "raw_row_id", "empresa_id", F.when(F.col("event_id") % 10 == 0, "nobody").otherwise(F.col("advisor_id")).alias("advisor_id"), "responded", "at", F.col("user_id").cast("string").alias("by"))
+
+    @property
+    def responded(self) -> DataFrame:
+        blank = self.assignments.withColumns({"responded_at": F.lit(None).cast("string"), "responded_by": F.lit(None).cast("string")})
+        return self.keep("responded", lambda: reports.apply_responded(blank, self.events)[0])
+
+
+def _flat_identity(df: DataFrame) -> DataFrame:
+    e = F.col("identity_evidence")
+    hashed = F.transform(e["signals"], lambda s: F.concat_ws(":", s["value_hash"], s["signal_type"]))
+    return df.withColumns({"signal_types": F.array_join(e["signal_types"], ","), "signals": F.array_join(hashed, ",")}).drop("identity_evidence")
+
+
+MART = [
+    "raw_row_id", "lead_id", "empresa_id", "punto_venta_id", "nombre_cliente", "canal_normalizado", "telefono_raw", "email_raw", "fecha_registro", "modelo_interes_normalizado", "customer_identity_id", "identity_member_count", "is_duplicate_identity", "has_multiple_channels",
+    "sku", "modelo_canonico", "precio_lista", "match_method", "match_score", "match_status", "is_available_at_store", "has_valid_phone", "has_resolved_model", "has_ambiguous_registration_date",
+]
+
+
+def _doubles(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def _extraction_results(d: Domain) -> DataFrame:
+    """Every recorded attempt against the current extraction of its conversation, as if that were the label."""
+    fields = list(evaluation.FIELDS)
+    actual = d.extractions.select("conversation_id", F.when(F.col("status") == "SUCCESS", "ok").otherwise("error").alias("status"), F.struct(*fields).alias("actual"), F.lit(None).cast("string").alias("error_type"), "evidence_grounded", F.lit(1.0).alias("latency_seconds"))
+    return actual.join(d.current.select("conversation_id", F.struct(*fields).alias("expected")), "conversation_id")
+
+
+def _ranked_history(d: Domain) -> DataFrame:
+    rows = propensity.target_from_outcome(propensity.training_set(d.history)).groupBy("raw_row_id").agg(F.min("fecha_registro").alias("fecha_registro"), F.max("label").alias("label"))
+    key = F.substring("raw_row_id", 1, 10).cast("long") * 31 + F.substring("raw_row_id", 12, 9).cast("long") * 7
+    return rows.withColumn("score", (key % 1000).cast("double") / 1000)
+
+
+def _training(d: Domain) -> DataFrame:
+    return propensity.target_from_outcome(propensity.training_set(d.history))
+
+
+def training_split(d: Domain) -> DataFrame:
+    train, test, _ = propensity.temporal_split(_training(d))
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.min("fecha_registro").alias("first_day"), F.max("fecha_registro").alias("last_day"))
+
+
+def propensity_scores(d: Domain) -> DataFrame:
+    train, _, _ = propensity.temporal_split(_training(d))
+    model = propensity.fit_propensity(train)
+    sha = propensity.dataset_hash(train).first()["dataset_hash"]
+    return propensity.score_serving(model, propensity.serving_set(d.mart), "v1", sha, DAY)
+
+
+def propensity_quality(d: Domain) -> DataFrame:
+    train, test, _ = propensity.temporal_split(_training(d))
+    model = propensity.fit_propensity(train)
+    return evaluation.evaluate_predictions(model.transform(test), score="propensity_score")
+
+
+def propensity_coefficients(d: Domain) -> DataFrame:
+    train, _, _ = propensity.temporal_split(_training(d))
+    return propensity.coefficient_report(d.spark, propensity.fit_propensity(train))
+
+
+def _facts(d: Domain) -> DataFrame:
+    """Extractions with the evidence that their conversations give, guarded, then reconciled with what clients say."""
+    said = d.conversations.select(F.col("conversacion_id").alias("conversation_id"), "mensajes")
+    pick = lambda field, i: F.struct(F.lit(field).alias("campo"), F.try_element_at("mensajes", F.lit(i))["texto"].alias("fragmento"), F.try_element_at("mensajes", F.lit(i))["emisor"].alias("emisor"))
+    df = d.current.join(said, "conversation_id").withColumn("evidencia", conv.normalize_fragments(F.array(pick("presupuesto", 1), pick("forma_pago", 2), pick("pidio_cita", 3))))
+    out = facts.reconcile_explicit_facts(facts.enforce_customer_signal_evidence(df))
+    return out.withColumn("invalid", conv.validation_error(out))
+
+
+def reconciled_facts(d: Domain) -> DataFrame:
+    shown = F.transform("evidencia", lambda e: F.concat_ws(":", e["campo"], e["emisor"], e["fragmento"]))
+    return _facts(d).select("conversation_id", "modelo_interes", "presupuesto", "cuota_inicial", "forma_pago", "intencion", "pidio_cita", "pidio_cotizacion", "invalid", F.array_join(shown, "|").alias("evidencia"))
+
+
+def grounded_evidence(d: Domain) -> DataFrame:
+    df = _facts(d).withColumn("conversation_text", conv.render_conversation(F.col("mensajes")))
+    return conv.evidence_grounded(df.drop("evidence_grounded")).select("conversation_id", "evidence_grounded")
+
+
+def error_classes(d: Domain) -> DataFrame:
+    texts = ["max tokens reached", "HTTP 429", "Read timed out", "error 404", "Connection reset", "model x is not available", "bad json"]
+    message = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 7 + 1).cast("int"))
+    return d.raw("EVENTS").groupBy(T.classify_error(message).alias("error_class")).agg(F.count("*").alias("n"))
+
+
+def chunk_search(d: Domain) -> DataFrame:
+    chunks = knowledge.markdown_chunks(d.raw("HELP"))
+    words = F.slice(F.split(T.normalize_lexical(F.col("content")), " "), 1, 3)
+    queries = chunks.where("slug like '%-02'").select(F.col("slug").alias("query_id"), F.array_join(words, " ").alias("query"))
+    return knowledge.search_chunks(chunks, queries, 3)
+
+
+def data_checks(d: Domain) -> DataFrame:
+    match = d.match_exact
+    parts = [
+        quality.not_null(d.leads, "raw_row_id"), quality.unique(d.leads, "lead_id"), quality.accepted_values(d.leads, "canal_normalizado", ["whatsapp", "meta_ads"]), quality.relationships(d.conversations, "lead_id", d.leads, "lead_id"),
+        quality.one_company(d.identity), quality.signals_are_transitive(d.signals, d.identity), quality.status_matches_sku(match), quality.same_grain(d.leads, match, "raw_row_id"), quality.in_range(d.raw("SCORES"), "propensity_score", 0.0, 0.9),
+        quality.lineage_equal(match.where("sku is not null"), d.catalog, "sku", ["sku", "precio_lista"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def upserted_scores(d: Domain) -> DataFrame:
+    s = d.raw("SCORES")
+    old = s.where("cast(raw_row_id as bigint) % 3 <> 0").withColumn("model_version", F.lit("old"))
+    new = s.where("cast(raw_row_id as bigint) % 2 = 0").select("raw_row_id", (1 - F.col("propensity_score")).alias("propensity_score"), F.lit("new").alias("model_version"))
+    return merge.upsert(old, new, ["raw_row_id"])
+
+
+DAILY = ["raw_row_id", "lead_id", "empresa_id", "priority_score", "company_priority_rank", "temperature", "advisor_id", "assignment_status", "modelo", "canal"]
+SCORED = ["raw_row_id", "lead_id", "empresa_id", "punto_venta_id", "fecha_registro", "propensity_score", "propensity_percentile", "lead_age_hours", "conversation_component", "sla_component", "availability_component", "propensity_component", "priority_score"]
+
+_Q: dict[str, Callable[[Domain], DataFrame]] = {
+    "stg_leads": lambda d: d.leads,
+    "stg_catalogo_motos": lambda d: _doubles(d.catalog, "precio_lista"),
+    "stg_asesores": lambda d: d.advisors,
+    "stg_historico_cierres": lambda d: _doubles(d.history, "precio_lista", "horas_al_primer_contacto"),
+    "stg_conversations": lambda d: d.conversations.withColumn("n_messages", F.size("mensajes").cast("long")).drop("mensajes"),
+    "invalid_leads": lambda d: staging.invalid_leads(d.leads),
+    "message_amounts": lambda d: d.raw("TURNS").select("conversacion_id", "turn", T.parse_amount(F.col("texto")).alias("amount")),
+    "error_classes": error_classes,
+    "help_chunks": lambda d: knowledge.markdown_chunks(d.raw("HELP")),
+    "chunk_search": chunk_search,
+    "model_aliases": lambda d: d.aliases,
+    "model_fuzzy_matches": lambda d: d.fuzzy,
+    "catalog_availability": lambda d: d.availability,
+    "lead_model_match_exact": lambda d: _doubles(d.match_exact, "precio_lista"),
+    "lead_model_match": lambda d: matching.lead_model_match(d.leads, d.catalog, d.aliases, d.fuzzy, d.availability),
+    "identity_signals": lambda d: d.signals,
+    "lead_identity_map": lambda d: _flat_identity(d.identity),
+    "customer_identity": lambda d: identity.customer_identity(d.identity, d.leads).drop("identity_evidence").withColumns({"lead_ids": F.array_join("lead_ids", ","), "channels": F.array_join("channels", ",")}),
+    "cross_company_signals": lambda d: identity.cross_company_signals(d.signals),
+    "conversation_messages": lambda d: conv.conversation_messages(d.conversations),
+    "rendered_conversations": lambda d: d.conversations.select(F.col("conversacion_id").alias("conversation_id"), conv.render_conversation(F.col("mensajes")).alias("conversation_text")).withColumn("conversation_hash", conv.conversation_hash(F.col("conversation_text"))),
+    "planned_cases": lambda d: conv.plan_cases(d.extractions.select("conversation_id", "conversation_hash").distinct(), d.extractions, "p1", "v1", "m1"),
+    "case_batches": lambda d: conv.assign_batches(d.extractions.select("conversation_id").distinct(), 7),
+    "reconciled_responses": lambda d: conv.reconcile_responses(d.raw("CONVERSATION_HEADS").select(F.col("conversacion_id").alias("conversation_id")), d.extractions.where("semantic_prompt_hash = 'p1'").select("conversation_id", (F.col("status") == "SUCCESS").alias("valid"))),
+    "reconciled_facts": reconciled_facts,
+    "grounded_evidence": grounded_evidence,
+    "current_extractions": lambda d: d.current.select("conversation_id", "lead_id", "conversation_started_at", *EXTRACTION_COLUMNS),
+    "orphan_conversations": lambda d: conv.orphan_conversations(d.current, d.leads),
+    "lead_conversation_features": lambda d: d.features.withColumn("conversation_ids", F.array_join("conversation_ids", ",")),
+    "leads_enriched": lambda d: _doubles(d.enriched.select(*MART), "precio_lista"),
+    "leads_ai_enriched": lambda d: _doubles(d.mart.select(*MART, "has_conversation", "conversation_count", "latest_conversation_id", "conversation_intencion", "conversation_forma_pago", "conversation_cuota_inicial", "conversation_pidio_cita", "conversation_pidio_cotizacion"), "precio_lista"),
+    "scored_leads": lambda d: d.scored.select(*SCORED),
+    "assignments": lambda d: d.assignments.select("assignment_date", *SCORED, "temperature", "global_priority_rank", "store_priority_rank", "advisor_id", "assignment_status"),
+    "assignment_summary": lambda d: priority.assignment_summary(d.assignments, d.advisors),
+    "available_dates": lambda d: reports.available_dates(d.assignments, reports.Scope("E1")),
+    "daily_leads": lambda d: reports.daily_leads(d.responded, d.mart, DAY, reports.Scope("E1"), temperature="WARM", management_status="PENDING", search="7").select(*DAILY),
+    "lead_detail": lambda d: reports.lead_detail(d.responded, d.mart, DAY, "0000000007").drop("priority_reasons", "conversation_ids"),
+    "manager_summary": lambda d: reports.manager_summary(d.responded, d.advisors, DAY),
+    "advisor_capacity": lambda d: reports.advisor_capacity(d.responded, d.advisors, DAY),
+    "store_summary": lambda d: reports.store_summary(d.responded, d.advisors, DAY),
+    "filter_options": lambda d: reports.filter_options(d.responded, d.mart, d.advisors, DAY, reports.Scope("E2")),
+    "lead_history": lambda d: reports.lead_history(conv.conversation_messages(d.conversations), d.responded, DAY, None, reports.Scope("E1")),
+    "upserted_scores": upserted_scores,
+    "operational_validation": lambda d: quality.operational_validation(d.assignments, d.mart, d.advisors, DAY),
+    "data_checks": data_checks,
+    "profile": lambda d: profiling.profile(d.raw("LEADS"), d.raw_conversations, d.raw("CATALOG"), d.raw("ADVISORS"), d.raw("HISTORY")),
+    "phone_profile": lambda d: profiling.profile(d.raw("LEADS"), d.raw_conversations, d.raw("CATALOG"), d.raw("ADVISORS"), d.raw("HISTORY")).where("section = 'phones' and metric like '%_global' or metric like '%_cross_company'").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).cast("long").alias(m) for m in ("duplicate_groups_global", "duplicate_groups_cross_company")]),
+    "field_quality": lambda d: evaluation.field_metrics(_extraction_results(d)),
+    "extraction_metrics": lambda d: evaluation.extraction_metrics(_extraction_results(d)).withColumn("errors_by_type", F.to_json("errors_by_type")),
+    "training_split": training_split,
+    "prediction_quality": lambda d: evaluation.evaluate_predictions(_ranked_history(d)),
+    "ranking_quality": lambda d: evaluation.ranking_metrics(_ranked_history(d), 0.1),
+    "capacity_share": lambda d: propensity.capacity_share(d.advisors, d.leads),
+    "dataset_hash": lambda d: propensity.dataset_hash(propensity.training_set(d.history)),
+    "propensity_scores": propensity_scores,
+    "propensity_quality": propensity_quality,
+    "propensity_coefficients": propensity_coefficients,
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for name, f in _Q.items()}
+#: No SQL for edit similarity, regular expressions with Unicode word ends, fitted models and row hashes: those have tests.
+ORACLES: dict[str, str] = {name: oracles.query(name) for name in _Q if name in oracles.STEPS}
+ORACLES["available_dates"] = oracles.query("assignments", "SELECT DISTINCT assignment_date FROM assignments WHERE empresa_id = 'E1' ORDER BY 1 DESC")
