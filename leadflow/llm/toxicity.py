@@ -26,7 +26,7 @@ DECAY = 0.5  # weight of each character that a subsequence spans
 WINDOW = 24  # longer tokens are seen through windows of this many characters, half overlapping
 LANDMARKS = 24
 LANDMARK_LENGTHS = range(4, 13)
-CACHE_TOKENS = 250_000
+CACHE_TOKENS = 150_000
 SENTENCE_END = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 NOT_LETTERS = re.compile(r"[\W_]+")
@@ -274,7 +274,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     if not len(y) or y.all() or not y.any():
         rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
         return Model(["----"], np.zeros(1, np.float32), 0.0, 1.0, float(np.log(rate / (1 - rate))))
-    docs = [sentences(t) for t in texts]
+    share: dict[str, str] = {}  # one object for each distinct token
+    docs = [[[share.setdefault(t, t) for t in s] for s in sentences(x)] for x in texts]
     names = choose_landmarks(docs, y, landmarks)
     marks = Landmarks(names)
     pooled, owner = TokenTable(marks, 10**9).pooled(docs)
@@ -322,7 +323,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenTable(Landmarks(model.landmarks))
         for whole in batches:
-            for batch in pieces(whole, "__text"):
+            for batch in pieces(whole, "__text", 2 << 20):
                 texts = batch.column("__text").to_pylist()
                 pooled, owner = tokens.pooled([sentences(t) for t in texts])
                 worst = np.full(len(texts), -np.inf)
