@@ -189,7 +189,11 @@ def _table(node: Node, rules: list, depth: int) -> list[str]:
     below: dict[int, int] = {}  # columns that a cell above still covers
     while stack:
         n = stack.pop()
-        if isinstance(n, str) or not visible(n, rules):
+        if isinstance(n, str):
+            if n.strip():  # what stands in a table outside its cells shows before it
+                captions += render([n], rules, depth + 1)
+            continue
+        if not visible(n, rules):
             continue
         if n.tag == "caption":
             captions += render(n.children, rules, depth + 1)
@@ -212,8 +216,10 @@ def _table(node: Node, rules: list, depth: int) -> list[str]:
                 row.append([])
             if row:
                 grid.append(row)
-        elif n.tag in ("thead", "tbody", "tfoot", "colgroup"):
+        elif n.tag in ("thead", "tbody", "tfoot"):
             stack += reversed(n.children)
+        elif n.tag != "colgroup":
+            captions += render([n], rules, depth + 1)
     widths = [max((len(t) for r in grid if k < len(r) for t in r[k]), default=0) for k in range(max(map(len, grid), default=0))]
     out = captions
     for row in grid:
