@@ -284,7 +284,8 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, kind: Kind, compare: Compa
         found = found.where((F.col("_d") != F.col("first._d")) | (_lo(F.col("p")) != _lo(F.col("first.p"))))
     found = found.select("_d", _lo(F.col("p")).alias("a"), (_lo(F.col("p")) + _n(F.col("p")) + kind.size - 1).alias("b"))
     # anchors with different segments
-    groups = equal.groupBy("h").agg(F.count("*").alias("segments")).where("segments > 1")
+    # (the smallest place is asked for so that this reads the shuffle that is there, and not one of fewer columns)
+    groups = equal.groupBy("h").agg(F.count("*").alias("segments"), F.min("first").alias("lowest")).where("segments > 1 and lowest is not null").drop("lowest")
     wanted = equal.join(groups, "h").select("h", "segments", F.col("first._d").alias("_d"), F.col("first.p").alias("p"))
     small = _contents(dealt, wanted.where(F.col("segments") <= kind.most_group), kind, windows=False)
     hot = _contents(dealt, wanted.where(F.col("segments") > kind.most_group), kind, windows=True)
@@ -298,6 +299,16 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, kind: Kind, compare: Compa
     return local.unionByName(found).unionByName(_compared(small, partitions, compare)).unionByName(hot)
 
 
+def packed(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """doc_id and text as they are, and all other columns of `rest`, if any, as one struct `_rest`."""
+    others = [F.col(f"`{c}`") for c in rest if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("_rest")] if others else []))
+
+
+def unpacked(rest: list[str]) -> list[Column]:
+    return [F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in rest]
+
+
 def with_spans(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
     """docs with text -> its columns, `_d`, and `_spans` (array of structs a, b; null where nothing goes)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

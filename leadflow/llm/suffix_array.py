@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import pieces
-from leadflow.llm.repeats import Kind, merged, with_spans
+from leadflow.llm.repeats import Kind, merged, packed, unpacked, with_spans
 
 MIN_BYTES = 100
 
@@ -113,7 +113,8 @@ def dedup_bytes(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("kept", "n_bytes", "removed")]
     # anchors of 32 bytes; segments hold up to least - 31 windows
     kind = Kind("bytes", least, min(32, max(8, least // 3)), keep_first=True)
-    work = docs.select("doc_id", F.col("text"), F.struct(*[F.col(f"`{c}`") for c in rest if c not in ("doc_id", "text")] or [F.lit(0).alias("_none")]).alias("_rest"))
+    work = packed(docs, rest)
+    own = work.columns
     marked = with_spans(work, kind, later_occurrences(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +128,13 @@ def dedup_bytes(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                     sizes.append(len(data))
                     removed.append([{"a": a, "b": b} for a, b in gone])
-                columns = [batch.column("doc_id"), batch.column("text"), batch.column("_rest")]
+                columns = [batch.column(c) for c in own]
                 kind_of = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, kind_of)], names=["doc_id", "text", "_rest", "kept", "n_bytes", "removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, kind_of)], names=[*own, "kept", "n_bytes", "removed"])
 
-    types = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-    out = marked.select("doc_id", "text", "_rest", "_spans").mapInArrow(run, f"doc_id {types['doc_id']}, text {types['text']}, _rest {types['_rest']}, kept binary, n_bytes long, removed array<struct<a:long,b:long>>")
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in rest], "kept", "n_bytes", "removed")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
+    out = marked.select(*own, "_spans").mapInArrow(run, f"{types}, kept binary, n_bytes long, removed array<struct<a:long,b:long>>")
+    return out.select(*unpacked(rest), "kept", "n_bytes", "removed")
 
 
 def digests(docs: DataFrame) -> DataFrame:

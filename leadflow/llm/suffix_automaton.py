@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import pieces
-from leadflow.llm.repeats import Kind, merged, with_spans
+from leadflow.llm.repeats import Kind, merged, packed, unpacked, with_spans
 
 WINDOW = 35
 
@@ -122,7 +122,8 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
     kind = Kind("words", window, max(1, window // 4), keep_first=False)
-    work = docs.select("doc_id", F.col("text"), F.struct(*[F.col(f"`{c}`") for c in rest if c not in ("doc_id", "text")] or [F.lit(0).alias("_none")]).alias("_rest"))
+    work = packed(docs, rest)
+    own = work.columns
     marked = with_spans(work, kind, shared_windows(window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +137,12 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     kept.append(b" ".join(stay).decode())
                     sizes.append(len(words))
                     gone.append(len(words) - len(stay))
-                columns = [batch.column("doc_id"), batch.column("text"), batch.column("_rest")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "_rest", "kept", "n_words", "n_removed"])
+                columns = [batch.column(c) for c in own]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], names=[*own, "kept", "n_words", "n_removed"])
 
-    types = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-    out = marked.select("doc_id", "text", "_rest", "_spans").mapInArrow(run, f"doc_id {types['doc_id']}, text {types['text']}, _rest {types['_rest']}, kept string, n_words long, n_removed long")
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in rest], "kept", "n_words", "n_removed")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
+    out = marked.select(*own, "_spans").mapInArrow(run, f"{types}, kept string, n_words long, n_removed long")
+    return out.select(*unpacked(rest), "kept", "n_words", "n_removed")
 
 
 def digests(docs: DataFrame) -> DataFrame:
