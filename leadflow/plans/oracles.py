@@ -218,7 +218,7 @@ STEPS |= {
         WHERE upto >= greatest(1, floor((SELECT count(*) FROM training) * 0.8))) THEN 'train' ELSE 'test' END AS part FROM training) GROUP BY part""",
     "training": "SELECT *, CASE desenlace_normalizado WHEN 'cerrado' THEN 1.0 ELSE 0.0 END AS label FROM stg_historico_cierres WHERE desenlace_normalizado IN ('cerrado', 'perdido')",
     "ranked_history": "SELECT raw_row_id, fecha_registro, label, (hash_key % 1000)::DOUBLE / 1000 AS score FROM (SELECT *, cast(substr(raw_row_id, 1, 10) AS BIGINT) * 31 + cast(substr(raw_row_id, 12) AS BIGINT) * 7 AS hash_key FROM (SELECT raw_row_id, min(fecha_registro) AS fecha_registro, max(label) AS label FROM training GROUP BY 1))",
-    "prediction_quality": """SELECT count(*) AS rows, avg(label)::DOUBLE AS positive_rate, (SELECT sum((n - p) * (tp - p / 2.0)) / (sum(p) * (sum(n) - sum(p))) FROM steps)::DOUBLE AS roc_auc, (SELECT sum(p * tp / seen) / sum(p) FROM steps)::DOUBLE AS average_precision, avg((score - label) ** 2)::DOUBLE AS brier FROM ranked_history""",
+    "prediction_quality": """SELECT count(*) AS rows, round(avg(label), 9)::DOUBLE AS positive_rate, round((SELECT sum((n - p) * (tp - p / 2.0)) / (sum(p) * (sum(n) - sum(p))) FROM steps)::DOUBLE, 9) AS roc_auc, round((SELECT sum(p * tp / seen) / sum(p) FROM steps)::DOUBLE, 9) AS average_precision, round(avg((score - label) ** 2)::DOUBLE, 9) AS brier FROM ranked_history""",
     "steps": "SELECT p, n, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM (SELECT score, sum(label) AS p, count(*) AS n FROM ranked_history GROUP BY 1) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)",
     "ranking_quality": """SELECT ranking, k, hits / k AS precision, hits / pos AS recall, hits / k / (pos / n) AS lift FROM (SELECT ranking, k, sum(label)::DOUBLE AS hits, max(pos)::DOUBLE AS pos, max(n)::DOUBLE AS n FROM (SELECT *, count(*) OVER (PARTITION BY ranking) AS n, sum(label) OVER (PARTITION BY ranking) AS pos, greatest(1, ceil(count(*) OVER (PARTITION BY ranking) * 0.1))::BIGINT AS k FROM
         (SELECT 'model' AS ranking, label, row_number() OVER (ORDER BY score DESC, raw_row_id) AS r FROM ranked_history UNION ALL SELECT 'fifo', label, row_number() OVER (ORDER BY fecha_registro NULLS LAST, raw_row_id) FROM ranked_history)) WHERE r <= k GROUP BY ranking, k)""",

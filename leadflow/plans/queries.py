@@ -151,6 +151,11 @@ def _doubles(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of many doubles depend on their order in the last digits."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 def _extraction_results(d: Domain) -> DataFrame:
     """Every recorded attempt against the current extraction of its conversation, as if that were the label."""
     fields = list(evaluation.FIELDS)
@@ -298,7 +303,7 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "field_quality": lambda d: evaluation.field_metrics(_extraction_results(d)),
     "extraction_metrics": lambda d: evaluation.extraction_metrics(_extraction_results(d)).withColumn("errors_by_type", F.to_json("errors_by_type")),
     "training_split": training_split,
-    "prediction_quality": lambda d: evaluation.evaluate_predictions(_ranked_history(d)),
+    "prediction_quality": lambda d: _rounded(evaluation.evaluate_predictions(_ranked_history(d)), "positive_rate", "roc_auc", "average_precision", "brier"),
     "ranking_quality": lambda d: evaluation.ranking_metrics(_ranked_history(d), 0.1),
     "capacity_share": lambda d: propensity.capacity_share(d.advisors, d.leads),
     "dataset_hash": lambda d: propensity.dataset_hash(propensity.training_set(d.history)),
