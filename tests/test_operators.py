@@ -205,6 +205,8 @@ def test_knowledge(spark):
     assert rows["03_priority-01"]["title"] == "03 Priority" and rows["03_priority-03"]["content"] == "### not a cut\ngamma"
     found = knowledge.search_chunks(chunks, spark.createDataFrame([("q", "Alpha beta"), ("z", "none at all")], "query_id string, query string"), 2).collect()
     assert [(r["slug"], r["tier"]) for r in sorted(found, key=lambda r: r["rank"])] == [("03_priority-02", 1), ("03_priority-04", 2)]
+    loose = knowledge.search_chunks(chunks, spark.createDataFrame([("q", "gam"), ("r", "pha line")], "query_id string, query string"), 5).collect()
+    assert sorted((r["query_id"], r["slug"], r["tier"]) for r in loose) == [("q", "03_priority-03", 3), ("r", "03_priority-01", 2), ("r", "03_priority-02", 3), ("r", "03_priority-04", 3)]
 
 
 def test_quality_checks(spark):
