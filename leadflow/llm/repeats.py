@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,7 +32,7 @@ from leadflow.llm.common import NULL_ID, pieces
 
 PLACE_BITS = 22
 MOST_UNITS = 1 << 21
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,7 +246,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, kind: Kind, windows: bool) ->
 Compare = Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _compared(rows: DataFrame, partitions: int, compare: Compare, chunk: int = 1500) -> DataFrame:
+def _compared(rows: DataFrame, partitions: int, compare: Compare, chunk: int = 800) -> DataFrame:
     """Run compare(docs, los, segments) on whole groups of one anchor, several groups at a time; it gives docs, a, b."""
     sorted_rows = rows.repartition(partitions, "h").sortWithinPartitions("h")
 
@@ -276,10 +277,12 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, kind: Kind, compare: Compa
     """docs {_d, text}, and the same dealt out by _d -> {_d, a, b}: stretches of units that repeated windows cover."""
     rows = anchor_rows(docs, kind, spans=False).repartition(partitions, "h")
     place = F.struct("_d", "p")
-    equal = rows.groupBy("h", "s").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max(F.col("p").bitwiseAND(F.lit(1))).alias("more"))
-    equal = equal.withColumn("several", (F.col("more") == 1) | (F.col("first._d") != F.col("last._d")) | (_lo(F.col("first.p")) != _lo(F.col("last.p"))))
-    # all places of a segment that occurs several times
-    found = rows.join(equal.where("several").select("h", "s", "first"), ["h", "s"])
+    several = (F.col("more") == 1) | (F.col("first._d") != F.col("last._d")) | (_lo(F.col("first.p")) != _lo(F.col("last.p")))
+    equal = rows.groupBy("h", "s").agg(F.min(place).alias("first"))
+    # all places of a segment that occurs several times; a window and not a join, which would deal the rows out anew
+    same = W.partitionBy("h", "s")
+    found = rows.select("_d", "p", F.min(place).over(same).alias("first"), F.max(place).over(same).alias("last"), F.max(F.col("p").bitwiseAND(F.lit(1))).over(same).alias("more"))
+    found = found.where(several)
     if kind.keep_first:
         found = found.where((F.col("_d") != F.col("first._d")) | (_lo(F.col("p")) != _lo(F.col("first.p"))))
     found = found.select("_d", _lo(F.col("p")).alias("a"), (_lo(F.col("p")) + _n(F.col("p")) + kind.size - 1).alias("b"))
