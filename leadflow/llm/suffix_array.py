@@ -97,11 +97,24 @@ def later_occurrences(least: int):
             gone.append(i)
             lengths.append(np.full(len(i), n))
         i = np.concatenate([np.empty(0, np.int64), *gone])
-        return doc[i], at[i], at[i] + np.concatenate([np.empty(0, np.int64), *lengths])
+        return joined(doc[i], at[i], at[i] + np.concatenate([np.empty(0, np.int64), *lengths]))
 
     return compare
 
 
+def joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document as their disjoint unions: nested repeats of one place come out once."""
+    if not len(doc):
+        return doc, a, b
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    turn = np.cumsum(np.append(True, doc[1:] != doc[:-1])) << 40  # keeps documents apart in one running maximum
+    end = np.maximum.accumulate(turn + b)
+    first = np.append(True, (turn + a)[1:] > end[:-1])
+    last = np.append(first[1:], True)
+    return doc[first], a[first], (end - turn)[last]
+
+
 def dedup_bytes(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """docs with `kept` (binary: the bytes that stay), `n_bytes`, `removed` (array of structs a, b; maximal).
 
