@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadflow.llm import bpe, decontamination, simhash, suffix_automaton, toxicity
+from leadflow.llm import bpe, decontamination, similar, suffix_automaton, toxicity
 from leadflow.llm.common import table
 from leadflow.plans.session import materialise
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    return similar.keep_first(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,7 +119,11 @@ def keep_first(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3) -
 
     Repeated rows of a kept doc_id with the same text are reduced to one.
     """
-    groups = near_duplicates(docs, k, seed, distance)
+    return first_of(docs, near_duplicates(docs, k, seed, distance))
+
+
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs reduced to the documents that are the component_id of their own row in groups {doc_id, component_id}."""
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d")).distinct()
     twice = groups.groupBy("doc_id").count().where("count > 1").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"))
     held = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(gone, "_d", "left_anti")
