@@ -2,7 +2,7 @@
 
 Of a dialogue between any number of speakers, one training text is made for every participant:
 that speaker's messages are the assistant's, the others' are named users', and the mask marks
-what the assistant says. Long dialogues come in parts of a fixed number of turns, so that no
+what the assistant says. Long dialogues come in parts of a fixed number of messages, so that no
 group grows without bound.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadflow.operators.ranking import global_rank
+
 PART_TURNS = 256
 SYSTEM = "system"
 
@@ -26,24 +28,28 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """conversations {conv_id, turn, role, text} -> one row per dialogue part and participant:
     conv_id, part, perspective, n_messages, n_target, text, mask (array of structs start, end).
 
-    Messages are ordered by turn, then role, then text; a null turn comes first (part 0), a null role is
-    the speaker "unknown", a null text is empty. `system` is no participant: it keeps its own header, and a
-    part in which only it speaks has one row with a null perspective. Participants are those who speak in
-    the part. Repeated rows are repeated messages. A row with a null conv_id belongs to no dialogue: it
+    Messages are ordered by turn, then role, then text; a null turn comes first, a null role is the speaker
+    "unknown", a null text is empty. A part has part_turns messages in this order, the last one what is left,
+    whatever their turns are. `system` is no participant: it keeps its own header, and a dialogue in which only
+    it speaks has rows with a null perspective. Every participant of the dialogue has each of its parts; where
+    one is silent n_target is 0. Repeated rows are repeated messages. A row with a null conv_id belongs to no dialogue: it
     makes one of its own. "<|" in a name or text is written "< |", so that it cannot be taken for a
     header. mask gives characters, from 0, of the assistant's words and end marks. An empty table gives one.
     """
     clean = lambda c, default: F.replace(F.coalesce(c.cast("string"), F.lit(default)), F.lit("<|"), F.lit("< |"))
     rows = conversations.select(
         F.col("conv_id"),
-        F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long").alias("part"),
         F.struct(F.col("turn").alias("turn"), clean(F.col("role"), "unknown").alias("role"), clean(F.col("text"), "").alias("text")).alias("m"),
     )
-    together = rows.where("conv_id is not null").groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    alone = rows.where("conv_id is null").select("conv_id", "part", F.array("m").alias("ms"))
-    parts = together.unionByName(alone)
-    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("ms", lambda m: m["role"]), lambda r: r != SYSTEM)))
-    each = parts.select("conv_id", "part", "ms", F.explode_outer(speakers).alias("perspective"))
+    some = rows.where("conv_id is not null")
+    ranked = global_rank(some, [F.col("conv_id")], [F.col("m")])  # no task sorts a whole dialogue
+    first = ranked.groupBy("conv_id").agg(F.min("rank").alias("first"))
+    together = ranked.join(first, "conv_id").withColumn("part", F.floor((F.col("rank") - F.col("first")) / part_turns).cast("long")).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    # the whole dialogue's participants meet each of its parts; a dialogue of `system` alone has none
+    speakers = some.where(F.col("m.role") != SYSTEM).select("conv_id", F.col("m.role").alias("perspective")).distinct()
+    joined = together.join(speakers, "conv_id", "left").select("conv_id", "part", "ms", "perspective")
+    alone = rows.where("conv_id is null").select("conv_id", F.lit(0).cast("long").alias("part"), F.array("m").alias("ms"), F.when(F.col("m.role") != SYSTEM, F.col("m.role")).alias("perspective"))
+    each = joined.unionByName(alone)
     own = lambda m: m["role"].eqNullSafe(F.col("perspective"))
 
     def piece(m: Column) -> Column:
@@ -75,7 +81,7 @@ def rotation_rows(conversations: DataFrame) -> DataFrame:
     return out.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
-#: The same rows in DuckDB.
+#: The same rows in DuckDB for dialogues of turns 0 to 255 with no more than 256 messages; longer ones it still cuts by turn.
 ROTATION_SQL = """
 WITH m AS (
   SELECT row_number() OVER () AS r, conv_id, CAST(coalesce(floor(turn / 256), 0) AS BIGINT) AS part, turn,
