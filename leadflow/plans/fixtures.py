@@ -65,7 +65,7 @@ FROM {lineitem}
 #: One row per message: the given role and text, or a commercial phrase chosen by conversation and turn.
 TURNS = """
 SELECT concat('C', lpad(cast(conv_id AS string), 7, '0')) AS conversacion_id, conv_id, turn, CASE role WHEN 'user' THEN 'cliente' WHEN 'assistant' THEN 'asesor' ELSE 'sistema' END AS emisor,
-  concat(substr(text, 1, 40), CASE (conv_id + turn * 3) % 10 WHEN 0 THEN ' financiada, tengo 2000 mil de inicial' WHEN 1 THEN ' de contado, 6 palos' WHEN 2 THEN ' le envio una cotizacion' WHEN 3 THEN ' mandela'
+  concat(text, CASE (conv_id + turn * 3) % 10 WHEN 0 THEN ' financiada, tengo 2000 mil de inicial' WHEN 1 THEN ' de contado, 6 palos' WHEN 2 THEN ' le envio una cotizacion' WHEN 3 THEN ' mandela'
     WHEN 4 THEN ' era por curiosidad' WHEN 5 THEN ' puedo pasar hoy' WHEN 6 THEN ' presupuesto 1.500.000' ELSE '' END) AS texto, concat('10:', lpad(cast(turn % 60 AS string), 2, '0')) AS hora
 FROM {conversations}
 """
@@ -100,7 +100,7 @@ SELECT event_id, lpad(cast(event_id % 1500 + 1 AS string), 10, '0') AS raw_row_i
 """
 
 HELP = """
-SELECT concat('doc', lpad(cast(doc_id AS string), 8, '0')) AS stem, concat('Intro ', source, chr(10), '# Title ', cast(doc_id AS string), chr(10), substr(text, 1, 200), chr(10), '## Part', chr(10), substr(text, 201, 100)) AS text
+SELECT concat('doc', lpad(cast(doc_id AS string), 8, '0')) AS stem, concat('Intro ', source, chr(10), '# Title ', cast(doc_id AS string), chr(10), substr(text, 1, instr(text, chr(10))), '## Part', chr(10), substr(text, instr(text, chr(10)) + 1)) AS text
 FROM {documents} WHERE doc_id IS NOT NULL
 """
 
