@@ -37,6 +37,9 @@ TABLE_PARTS = frozenset("td th tr thead tbody tfoot caption".split())
 IN_HEAD = frozenset("title meta link base script style noscript template".split())
 INVISIBLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+AT_RULE = re.compile(r"@[\w-][^{};]*(?:[{;]|$)")
+ALWAYS = re.compile(r"@(?:media\s+(?:[^{]*,\s*)?(?:only\s+)?(?:all|screen)\s*(?:,[^{]*)?\{|media\s*\{|layer\b)", re.I)
+BRACE = re.compile(r"[{}]")
 SELECTOR = re.compile(r"^([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)$", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 DEEPEST_TABLE = 8
@@ -116,10 +119,28 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def _unconditional(css: str) -> str:
+    """A style sheet without its at-rules; blocks of @media all or screen and of @layer stay, as they always apply on a screen."""
+    out, at = [], 0
+    for m in AT_RULE.finditer(css):
+        if m.start() < at:
+            continue
+        out.append(css[at : m.start()])
+        at = m.end()
+        if m[0][-1] == "{" and not ALWAYS.match(m[0]):
+            depth = 1
+            while depth and (b := BRACE.search(css, at)):
+                depth, at = depth + (1 if b[0] == "{" else -1), b.end()
+            if depth:
+                at = len(css)
+    out.append(css[at:])
+    return "".join(out)
+
+
 def hidden_by_sheet(css: str) -> list[tuple[str, frozenset[str], str]]:
     """(tag, classes, id) of the plain selectors that a style sheet hides."""
     out = []
-    for names, body in RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
+    for names, body in RULE.findall(_unconditional(re.sub(r"/\*.*?\*/", "", css, flags=re.S))):
         if not INVISIBLE.search(body):
             continue
         for name in names.split(","):
@@ -181,6 +202,18 @@ class Writer:
             self.end_line(always=True)
 
 
+def _holds_cells(node: Node) -> bool:
+    """Whether cells of the table around it stand in this node; those of a table inside it don't count."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if n.tag in ("td", "th"):
+            return True
+        if n.tag != "table":
+            stack += [c for c in n.children if not isinstance(c, str)]
+    return False
+
+
 def _table(node: Node, rules: list, depth: int) -> list[str]:
     """Rows of a table, cells padded to the width of their column; a cell of several lines takes several."""
     grid: list[list[list[str]]] = []
@@ -199,8 +232,19 @@ def _table(node: Node, rules: list, depth: int) -> list[str]:
             captions += render(n.children, rules, depth + 1)
         elif n.tag == "tr":
             row: list[list[str]] = []
-            for c in n.children:
-                if isinstance(c, str) or c.tag not in ("td", "th") or not visible(c, rules):
+            inner = list(reversed(n.children))
+            while inner:
+                c = inner.pop()
+                if isinstance(c, str) or c.tag not in ("td", "th"):
+                    if isinstance(c, str):
+                        captions += render([c], rules, depth + 1) if c.strip() else []
+                    elif visible(c, rules):
+                        if _holds_cells(c):  # a form or the like around cells
+                            inner += reversed(c.children)
+                        else:
+                            captions += render([c], rules, depth + 1)
+                    continue
+                if not visible(c, rules):
                     continue
                 while below.get(len(row), 0) > 0:
                     below[len(row)] -= 1
