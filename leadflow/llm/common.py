@@ -27,8 +27,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def hex_sha256(c: Column) -> Column:
-    return F.sha2(c, 256)
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """docs as {row (a struct of all columns), _d, _k}: no name of theirs can clash with one that is added."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_k"),
+    )
+
+
+def spare_name(taken: list[str], name: str) -> str:
+    """`name`, or a longer one where a column has it already (Spark compares without case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -1,92 +1,138 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Benchmark items become windows of n normalised words (an item with fewer words is one window).
-The set of windows is broadcast when its measured size allows, else joined by shuffle. Documents
-are scanned window by window inside one stage: a hash finds candidates, and the words themselves
-are compared before a hit counts.
+Benchmark items become windows of n normalised words (an item with fewer words is one window), and
+their hashes a bit table that goes to every task. A document is cut into words once; each word is
+hashed once, hashes of windows are put together from those of their halves, and only windows that
+the table knows leave the row. Their words are compared with the benchmark's before a hit counts.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import keyed
+from leadflow.llm.common import keyed, whole_rows
+from leadflow.plans.session import materialise
 
-# What is not a word character after A-Z have been lower-cased, and a word before that.
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+# What is no word character, and what is one, before A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The window set is broadcast up to this many bytes of words, by measurement; beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
+#: Windows of one bit table, which is broadcast with the tasks: 64 bits each, 8 MB in all. A larger benchmark is
+#: scanned for in several tables of this size, one after another.
+TABLE_WINDOWS = 1 << 20
+BITS_EACH = 64
 
 
-def words(text: Column) -> Column:
-    """Normalised words of a text, in order; a null text has none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), lambda w: w != "")
+def with_words(df: DataFrame, text: Column) -> DataFrame:
+    """df with `w`, the words of a text in order and as written; a null text has none."""
+    df = df.withColumn("w", F.split(F.coalesce(text, F.lit("")), BETWEEN + "+"))
+    lead = (F.element_at("w", 1) == "").cast("int")
+    tail = ((F.element_at("w", -1) == "") & (F.size("w") > 1)).cast("int")
+    return df.withColumn("w", F.slice("w", lead + 1, F.size("w") - lead - tail))
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
+def normal(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
-def _windows(w: Column, size: int) -> Column:
-    """Array of (place from 0, hash of the words, the words) for each run of `size` words."""
-    places = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+def _with_window_hashes(df: DataFrame, sizes: list[int]) -> tuple[DataFrame, dict[int, str]]:
+    """df {w, ...} with a column of hashes of the windows of each size, a window at each word; those at the end that
+    are cut short have hashes too. Words that differ in the case of A-Z alone have equal hashes."""
+    made = {1: "h1"}
+    df = df.withColumn("h1", F.transform("w", lambda x: F.xxhash64(F.lower(x))))
 
-    def one(i: Column) -> Column:
-        part = F.slice(w, i + 1, size)
-        return F.struct(i.alias("at"), F.xxhash64(part).alias("h"), part.alias("gram"))
+    def need(size: int) -> str:
+        nonlocal df
+        if size not in made:
+            left = 1 << (size - 1).bit_length() - 1  # the largest power of two below it
+            a, b = need(left), need(size - left)
+            df = df.withColumn(f"h{size}", F.zip_with(a, F.slice(b, F.lit(left + 1), F.size(b)), lambda x, y: F.xxhash64(x, y)))
+            made[size] = f"h{size}"
+        return made[size]
 
-    return F.transform(places, one)
+    named = {s: need(s) for s in sizes}
+    return df, named
 
 
 def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """benchmark {item_id, text} -> distinct windows {h, gram, size, items}; items: the ids that hold it.
+    """benchmark {item_id, text} -> distinct windows {gram, size, h, items}; items: the ids that hold it.
 
     An item without words has no window; a null item_id is kept as an item without a name and
     is not listed among the hits. Repeated items add nothing.
     """
-    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    full = w.where(F.size("w") >= n).select("item_id", F.explode(_windows(F.col("w"), n)).alias("x")).select("item_id", "x.gram")
-    short = w.where(F.size("w") < n).select("item_id", F.col("w").alias("gram"))
-    return full.unionByName(short).groupBy("gram").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("gram").alias("h"), "gram", F.size("gram").alias("size"), "items")
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Windows of documents that are benchmark windows: {_d, _k, at, size, items}, words compared in full."""
-    grams = benchmark_windows(benchmark, n)
-    known = grams.agg(F.collect_set("size").alias("sizes"), F.sum(F.length(F.array_join("gram", " ")) + 64 + 24 * F.size("items")).alias("bytes")).first()
-    right = grams.select(F.col("h").alias("gh"), F.col("gram").alias("bench_gram"), "items")
-    if (known["bytes"] or 0) <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    held = keyed(docs).select("_d", "_k", words(F.col("text")).alias("w"))
-    found = None
-    for size in sorted(known["sizes"]) or [n]:  # n, and each shorter size that some item has
-        scan = held.select("_d", "_k", F.explode(_windows(F.col("w"), size)).alias("x"))
-        part = scan.join(right, (F.col("x.h") == F.col("gh")) & (F.col("x.gram") == F.col("bench_gram")))
-        part = part.select("_d", "_k", F.col("x.at").alias("at"), F.lit(size).alias("size"), "items")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def document_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """One row per hit document: {_d, _k, spans, items}; spans: disjoint sorted (start, end) in words."""
-    found = hits(docs, benchmark, n).groupBy("_d", "_k").agg(
-        F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("runs"),
+    w = with_words(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), normal(F.col("text"))).where("size(w) > 0")
+    place = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))))
+    grams = w.select("item_id", "w", place.alias("i")).select("item_id", F.slice("w", F.col("i"), n).alias("w"))
+    grams = grams.groupBy("w").agg(F.collect_set("item_id").alias("items")).withColumn("size", F.size("w"))
+    grams, made = _with_window_hashes(grams, list(range(1, n + 1)))
+    h = F.element_at(F.array(*[F.col(made[s]) for s in range(1, n + 1)]), F.col("size"))
+    return grams.select(F.array_join("w", " ").alias("gram"), "size", F.element_at(h, 1).alias("h"), "items")
+
+
+def _bit_table(hashes: np.ndarray) -> tuple[Column, int]:
+    """An array of longs with two bits set for each hash, and the number of its bits less one (a mask)."""
+    mask = (1 << max(10, (BITS_EACH * len(hashes) - 1).bit_length())) - 1
+    bits = np.zeros(mask + 1, np.uint8)
+    bits[hashes & mask] = 1
+    bits[(hashes >> 32) & mask] = 1
+    longs = np.packbits(bits, bitorder="little").view("<i8")
+    return F.split(F.lit(",".join(map(str, longs.tolist()))), ",").cast("array<bigint>"), mask
+
+
+def _known(h: Column, table: Column, mask: int) -> Column:
+    def bit(x: Column) -> Column:
+        at = x.bitwiseAND(F.lit(mask)).cast("int")
+        return F.getbit(F.get(table, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))) == 1
+
+    return bit(h) & bit(F.shiftright(h, 32))
+
+
+def _candidates(h: str, size: int, table: Column, mask: int) -> Column:
+    """The windows of `w` whose hashes, in column h, the table knows: structs (at, size, gram)."""
+    places = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)).otherwise(F.array().cast("array<int>"))
+    known = F.filter(places, lambda i: _known(F.get(F.col(h), i), table, mask))
+    return F.transform(known, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), normal(F.array_join(F.slice("w", i + 1, size), " ")).alias("gram")))
+
+
+def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """documents -> {doc_id, _d, _k, n_words, found}, a row each; found: structs (at, size, gram) of the windows that
+    the tables of the benchmark's hashes know, few of which are not the benchmark's. Without a shuffle."""
+    rows = windows.select("size", "h").toArrow()  # numbers alone; the benchmark's words stay on the executors
+    sizes, hashes = rows.column("size").to_numpy(), rows.column("h").to_numpy()
+    base = with_words(keyed(docs), F.col("text")).drop("text")
+    base, made = _with_window_hashes(base, sorted(set(sizes.tolist())))
+    found = [F.array().cast("array<struct<at:int,size:int,gram:string>>")]
+    for start in range(0, len(hashes), TABLE_WINDOWS):
+        for size, h in made.items():
+            part = slice(start, start + TABLE_WINDOWS)
+            own = hashes[part][sizes[part] == size]
+            if len(own):
+                found.append(_candidates(h, size, *_bit_table(own)))
+    return base.select("doc_id", "_d", "_k", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("found"))
+
+
+def document_hits(scanned: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per hit document: {_d, _k, spans, n_hit, n_words, items}; spans: disjoint sorted (at, end) in words.
+
+    Here the words of each window are compared. Rows of equal key are one document. A document's windows
+    are met in order: one that starts beyond the furthest end so far opens a new span."""
+    asked = scanned.where(F.size("found") > 0).select("_d", "_k", "n_words", F.explode("found").alias("x"))
+    asked = asked.select("_d", "_k", "n_words", "x.gram", "x.at", (F.col("x.at") + F.col("x.size")).alias("end"))
+    hits = asked.join(windows.select("gram", "items"), "gram")
+    along = W.partitionBy("_d", "_k").orderBy("at", "end")
+    before = F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1))
+    hits = hits.withColumn("opens", F.coalesce(F.col("at") > before, F.lit(True)).cast("int")).withColumn("span", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    spans = hits.groupBy("_d", "_k", "span").agg(F.min("at").alias("at"), F.max("end").alias("end"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return spans.groupBy("_d", "_k").agg(
+        F.array_sort(F.collect_list(F.struct("at", "end"))).alias("spans"),
+        F.sum(F.col("end") - F.col("at")).cast("long").alias("n_hit"),
+        F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
 
-    # left to right: a run that starts inside the last span widens it, another one opens a new span
-    def add(spans: Column, run: Column) -> Column:
-        last = F.element_at(spans, -1)
-        wider = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["end"], run["end"]).alias("end"))))
-        return F.when((F.size(spans) > 0) & (run["at"] <= F.try_element_at(spans, F.lit(-1))["end"]), wider).otherwise(F.concat(spans, F.array(run)))
-
-    nothing = F.slice(F.col("runs"), 1, 0)
-    return found.select("_d", "_k", F.aggregate("runs", nothing, add).alias("spans"), "items")
-
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """documents, benchmark -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated; a row per document.
@@ -94,15 +140,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) ->
     Documents without words, null or empty, have zeros and the hash of an empty list. Repeated
     rows (same doc_id and text) each get the same result. An empty benchmark hits nothing.
     """
-    base = keyed(docs).select("doc_id", "_d", "_k", word_count(F.col("text")).alias("n_words"))
-    marked = document_hits(docs, benchmark, n).select(
-        "_d",
-        "_k",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["at"]).alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.array_join(F.array_sort("items"), ",").alias("items"),
-    )
-    return base.join(marked, ["_d", "_k"], "left").select(
+    windows = benchmark_windows(benchmark, n)
+    scanned = materialise(scan(docs, windows), "scan")
+    marked = document_hits(scanned, windows).select("_d", "_k", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items"))
+    return scanned.select("doc_id", "_d", "_k", "n_words").join(marked, ["_d", "_k"], "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
@@ -113,28 +154,35 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "spans", most_hit: float = 0.5) -> DataFrame:
-    """docs without benchmark passages; same columns.
+    """docs without benchmark passages; same columns, whatever their names.
 
     mode "documents": a document with any hit goes. mode "spans": hit words go, each with the
     separators after it, and a document of which over most_hit of the words are hit goes whole.
-    n_chars, where present, follows the new text. Clean documents pass unchanged, with their nulls.
+    n_chars, where present, follows the new text. Clean documents pass unchanged, with their nulls;
+    repeated rows get equal results; an empty benchmark changes nothing.
     """
     if mode not in ("spans", "documents"):
         raise ValueError(f"unknown mode {mode!r}")
-    marks = document_hits(docs, benchmark, n).select("_d", "_k", "spans")
-    every = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_k": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    windows = benchmark_windows(benchmark, n)
+    # written down: its size is known then, and a small one is broadcast instead of dealing out all texts
+    marks = materialise(document_hits(scan(docs, windows), windows).select("_d", "_k", "spans", "n_hit", "n_words"), "hit-documents")
+    every = whole_rows(docs)
     if mode == "documents":
-        return every.join(marks, ["_d", "_k"], "left_anti").select(*docs.columns)
-    both = every.join(marks, ["_d", "_k"], "left")
-    units = F.regexp_extract_all("text", F.lit(f"({WORD_ANY_CASE}){BETWEEN_ANY_CASE}"), F.lit(0))  # a word and what follows it
-    kept = F.filter(units, lambda _, i: ~F.exists("spans", lambda s: (i >= s["at"]) & (i < s["end"])))
-    clean = F.concat(F.regexp_extract("text", f"^{BETWEEN_ANY_CASE}", 0), F.array_join(kept, ""))
-    n_hit = F.aggregate("spans", F.lit(0), lambda t, s: t + s["end"] - s["at"])
-    both = both.where(F.col("spans").isNull() | (n_hit <= F.lit(most_hit) * word_count(F.col("text"))))
-    both = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+        return every.join(marks, ["_d", "_k"], "left_anti").select("row.*")
+    both = every.join(marks, ["_d", "_k"], "left").where(F.col("spans").isNull() | (F.col("n_hit") <= F.lit(most_hit) * F.col("n_words")))
+    text = F.col("row.text")
+    units = F.regexp_extract_all(text, F.lit(f"{WORD}+{BETWEEN}*"), F.lit(0))
+    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["at"]), F.array(F.col("n_words").cast("int")))
+    both = both.withColumn("units", F.when(F.col("spans").isNotNull(), units))
+    kept = F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice("units", a + 1, b - a), ""))
+    clean = F.concat(F.regexp_extract(text, f"^{BETWEEN}*", 0), F.array_join(kept, ""))
+    hit = F.col("spans").isNotNull()
+    both = both.withColumn("clean", F.when(hit, clean).otherwise(text))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB.
