@@ -60,5 +60,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op2_chat": chat.ROTATION_SQL, "op10_decontamination": decontamination.REPORT_SQL}
+    found = {"op1_suffix_array": suffix_array.DIGESTS_SQL, "op6_substring": suffix_automaton.DIGESTS_SQL, "op2_chat": chat.ROTATION_SQL, "op10_decontamination": decontamination.REPORT_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

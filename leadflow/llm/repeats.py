@@ -2,17 +2,23 @@
 
 A text is a sequence of units (bytes or words). Of each window of `size` units the k-gram with
 the smallest hash is its anchor (winnowing), so equal windows have equal anchors at equal places.
-Windows that follow one another share an anchor; the stretch they cover is a segment. Then:
-
-1. `anchor_rows`  one row for each anchor, with a hash of its segment; equal segments of a batch
-   are combined before the shuffle, so a hot passage costs a row for each batch, not each copy.
-2. equal segments have equal windows: all are decided by the smallest place among them.
-3. different segments of one anchor are compared by content, by the caller's method (a suffix
-   array, an automaton), in groups of bounded size. Groups beyond the bound go another exact way:
-   their windows are grouped by a 128-bit hash, which aggregates before it shuffles.
-
-A place is (document key, unit). Rows that share a doc_id count as one document and get the union
-of each other's spans; for repeated rows these are equal anyhow.
+Windows that follow one another share an anchor; the stretch they cover is a segment. One chain of
+steps, each row handled once:
+
+1. `anchor_rows`  one row for each anchor, with a hash of its segment's content; equal segments of a
+   batch become one row that lists the other places, so a hot passage costs a row for each batch.
+2. `decide`       rows sorted by anchor and segment stream by. Equal segments have equal windows: the
+   smallest place among them stays, or none does. An anchor with different segments asks for the
+   content of one of each.
+3. `contents`     documents give what was asked of them.
+4. `compare`      the different segments of one anchor are compared by content, by the caller's method
+   (a suffix array, an automaton). Anchors with more segments than one task should hold are cut finer
+   first: by the whole window, of which the anchor is a part, so that equal windows meet and no task
+   holds them all; these stream by as in step 2.
+
+A place is (doc_id, hash of the text, unit), in this order; a null doc_id comes first. Rows with equal
+doc_id and text are one document; rows that share a doc_id alone are different documents.
+Equality in step 2 and of whole windows is that of two 64-bit hashes of different families.
 """
 
 from __future__ import annotations
@@ -24,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from leadflow.llm.common import NULL_ID, pieces
 
@@ -148,117 +153,198 @@ def segments(units: list[np.ndarray], size: int, k: int) -> Iterator[dict[str, n
         new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
         n = np.diff(np.append(new, len(starts)))
         lo, p = starts[new], part[new]
-        yield {
-            "doc": doc[p],
-            "lo": lo - here[p] + first[p],
-            "n": n,
-            "h": full[anchor[new]],
-            "s": rolling.of(lo, lo + n + size - 1, 1) ^ mix(n.astype(np.uint64)),
-        }
-
+        content, digest = memoryview(flat).cast("B"), xxhash.xxh3_64_intdigest
+        hashes = [digest(content[8 * x : 8 * y]) for x, y in zip(lo.tolist(), (lo + n + size - 1).tolist())]
+        yield {"doc": doc[p], "lo": lo - here[p] + first[p], "n": n, "h": full[anchor[new]], "s": np.array(hashes, np.uint64)}
 
-# The place of a segment as one number: first window, windows (128 at most), and whether there are more like it.
-def _pack(lo: np.ndarray, n: np.ndarray, more: np.ndarray) -> np.ndarray:
-    return (lo << 8 | n << 1 | more).astype(np.int64)
 
+# The place of a segment in its document as one number: first window, and how many windows (128 at most).
+def _pack(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (lo << 8 | n).astype(np.int64)
 
-def _lo(p: Column) -> Column:
-    return F.shiftright(p, 8)
 
+ROWS = StructType([StructField(n, LongType(), False) for n in ("h", "s", "_d", "_k", "p")] + [StructField("more", BinaryType(), True)])
+ORDER = ["h", "s", "_d", "_k", "p"]
 
-def _n(p: Column) -> Column:
-    return F.shiftright(p, 1).bitwiseAND(F.lit(127))
 
+def _combined(h: np.ndarray, s: np.ndarray, d: np.ndarray, k: np.ndarray, p: np.ndarray) -> list[pa.Array]:
+    """Rows of equal h and s as one: its smallest place, and in `more` the other places (d, k, p), if any."""
+    order = np.lexsort((p, k, d, s, h))
+    h, s, d, k, p = h[order], s[order], d[order], k[order], p[order]
+    first = np.append(True, (np.diff(h) != 0) | (np.diff(s) != 0))[: len(h)]
+    new = first | np.append(True, (np.diff(d) != 0) | (np.diff(k) != 0) | (np.diff(p) != 0))[: len(h)]  # repeated rows are one place
+    h, s, d, k, p, first = h[new], s[new], d[new], k[new], p[new], first[new]
+    rest = np.stack([d, k, p], 1)[~first].tobytes()
+    counts = np.diff(np.append(np.flatnonzero(first), len(h))) - 1
+    ends = 24 * np.cumsum(counts)
+    more = pa.Array.from_buffers(pa.binary(), len(counts), [pa.py_buffer(np.packbits(counts > 0, bitorder="little").tobytes()), pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(rest)])
+    return [*(pa.array(v[first].view(np.int64)) for v in (h, s, d, k, p)), more]
 
-def _longs(*names: str) -> StructType:
-    """Columns that are never null: no null filters get in the way of sharing a shuffle."""
-    return StructType([StructField(n, LongType(), False) for n in names])
 
-
-def anchor_rows(docs: DataFrame, kind: Kind, spans: bool) -> DataFrame:
-    """docs {_d, text} -> {h, s, _d, p} of the first place of each segment in a batch; or, with spans, {_d, a, b}:
-    stretches that are known to go from the batch alone."""
+def anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
+    """docs {_d, _k, text} -> a row {h, s, _d, _k, p, more} for each different segment of a batch."""
     if kind.size - kind.k + 1 > 127:
         raise ValueError("a segment would have too many windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, most_bytes=CHUNK_BYTES):
-                ids = batch.column("_d").to_numpy()
+                d, k = (batch.column(c).to_numpy() for c in ("_d", "_k"))
                 for x in segments([kind.units(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()], kind.size, kind.k):
-                    d = ids[x["doc"]]
-                    order = np.lexsort((x["lo"], d, x["s"], x["h"]))
-                    h, s, d, lo, n = x["h"][order], x["s"][order], d[order], x["lo"][order], x["n"][order]
-                    first = np.append(True, (np.diff(h) != 0) | (np.diff(s) != 0))
-                    other = ~first & np.append(True, (np.diff(d) != 0) | (np.diff(lo) != 0))  # repeated rows are one place
-                    group = np.cumsum(first) - 1
-                    more = np.zeros(group[-1] + 1, bool)
-                    more[group[other]] = True
-                    if spans:
-                        out = other if kind.keep_first else more[group]
-                        yield pa.RecordBatch.from_arrays([pa.array(d[out]), pa.array(lo[out]), pa.array((lo + n + kind.size - 1)[out])], names=["_d", "a", "b"])
-                    else:
-                        p = _pack(lo[first], n[first], more)
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[first].view(np.int64), s[first].view(np.int64), d[first], p)], names=["h", "s", "_d", "p"])
-
-    return docs.select("_d", "text").mapInArrow(run, _longs("_d", "a", "b") if spans else _longs("h", "s", "_d", "p"))
-
-
-def _contents(docs: DataFrame, wanted: DataFrame, kind: Kind, windows: bool) -> DataFrame:
-    """Segments by content {h, _d, lo, seg}, or hashes of their windows {x, y, _d, lo}, of the wanted {_d, h, p}."""
-    lists = wanted.groupBy("_d").agg(F.collect_list("h").alias("hs"), F.collect_list("p").alias("ps"))
+                    yield pa.RecordBatch.from_arrays(_combined(x["h"], x["s"], d[x["doc"]], k[x["doc"]], _pack(x["lo"], x["n"])), names=ROWS.names)
+
+    return docs.select("_d", "_k", "text").mapInArrow(run, ROWS)
+
+
+class Repeats:
+    """Rows of ROWS, sorted by ORDER, as they stream by: which places go. Holds one place between batches."""
+
+    def __init__(self, keep_first: bool):
+        self.keep_first = keep_first
+        self.h = self.s = self.d = self.k = self.p = np.empty(0, np.int64)  # of the group that is open: its smallest place
+        self.gone = False  # whether that place has been given out
+
+    def feed(self, rows: dict[str, np.ndarray], more: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Where a group begins, and the places (d, k, p) that go."""
+        kept = len(self.h)  # the open group's smallest place stands before the rows as if it were one of them
+        h, s, d, k, p = (np.concatenate([old, rows[c]]) for old, c in ((self.h, "h"), (self.s, "s"), (self.d, "_d"), (self.k, "_k"), (self.p, "p")))
+        begins = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))[: len(h)]
+        start = np.flatnonzero(begins)
+        group = np.cumsum(begins) - 1
+        lead = start[group]
+        other = (d != d[lead]) | (k != k[lead]) | (p != p[lead])
+        some = np.append(np.zeros(kept, bool), np.asarray(more.is_valid()))
+        listed = np.frombuffer(b"".join(more.drop_null().to_pylist()), np.int64).reshape(-1, 3)
+        out = other
+        if len(start) and not self.keep_first:
+            several = np.zeros(len(start), bool)
+            several[group[other | some]] = True
+            out = other.copy()
+            out[start] |= several
+            out[:kept] &= not self.gone
+            self.gone = bool(several[-1]) or (self.gone and kept == 1 and len(start) == 1)
+        last = start[-1:]
+        self.h, self.s, self.d, self.k, self.p = h[last], s[last], d[last], k[last], p[last]
+        return begins[kept:], tuple(np.concatenate([v[out], listed[:, i]]) for i, v in enumerate((d, k, p)))
+
+
+# What a document is told: a stretch that goes, or a segment whose content or windows are asked for.
+SPAN, CONTENT, WINDOWS = 0, 1, 2
+TOLD = StructType([StructField(n, LongType(), False) for n in ("_d", "_k", "what", "h", "a", "b")])
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy() for c in ORDER}
+
+
+def decide(rows: DataFrame, kind: Kind, partitions: int) -> DataFrame:
+    """Rows of ROWS -> what each document is told, as TOLD."""
+
+    def told(d, k, what, h, a, b) -> pa.RecordBatch:
+        n = len(d)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(v, np.int64), n)) for v in (d, k, what, h, a, b)], names=TOLD.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = Repeats(kind.keep_first)
+        held = np.empty((0, 4), np.int64)  # h, d, k, p: one of each different segment of the anchor that is still open
+        crowded = None  # the open anchor, if it has more of them than one task is to hold
+        for batch in batches:
+            rows = _columns(batch)
+            begins, (d, k, p) = repeats.feed(rows, batch.column("more"))
+            yield told(d, k, SPAN, 0, p >> 8, (p >> 8) + (p & 255) + kind.size - 1)
+            held = np.concatenate([held, np.stack([rows[c] for c in ("h", "_d", "_k", "p")], 1)[begins]])
+            if not len(held):
+                continue
+            edges = np.append(np.flatnonzero(np.append(True, held[1:, 0] != held[:-1, 0])), len(held))
+            sizes = np.diff(edges)
+            over = sizes > kind.most_group
+            over[0] |= held[0, 0] == crowded
+            asked = np.where(over, WINDOWS, np.where(sizes > 1, CONTENT, -1))
+            if not over[-1]:
+                asked[-1] = -1  # it may go on in the next batch
+            each = np.repeat(asked, sizes)
+            some = each >= 0
+            yield told(held[some, 1], held[some, 2], each[some], held[some, 0], held[some, 3], 0)
+            crowded = int(held[-1, 0]) if over[-1] else None
+            held = held[len(held) if over[-1] else edges[-2] :]
+        if len(held) > 1:
+            yield told(held[:, 1], held[:, 2], CONTENT, held[:, 0], held[:, 3], 0)
+
+    return rows.repartition(partitions, "h").sortWithinPartitions(*ORDER).mapInArrow(run, TOLD)
+
+
+GIVEN = StructType([StructField("what", LongType(), False), *ROWS.fields, StructField("seg", BinaryType(), True)])
+
+
+def contents(told: DataFrame, kind: Kind) -> DataFrame:
+    """Documents {_d, _k, text, told (structs what, h, a, b)} -> the segments that are asked for {h, p, seg}, or all
+    windows of them, with two hashes {h, s, p, more}, as GIVEN."""
     size = kind.size
 
+    def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        plain: list[list] = [[], [], [], [], []]
+        fine: list[list[np.ndarray]] = [[], [], [], [], []]
+        for d, k, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_d", "_k", "text", "asked"))):
+            text = (text or "").encode()
+            words = None if kind.name == "bytes" else text.split()
+            rolling = None
+            for x in asked:
+                lo, n = x["a"] >> 8, x["a"] & 255
+                if x["what"] == CONTENT:
+                    seg = text[lo : lo + n + size - 1] if words is None else b" ".join(words[lo : lo + n + size - 1])
+                    for out, v in zip(plain, (x["h"], d, k, x["a"], seg)):
+                        out.append(v)
+                else:
+                    rolling = rolling or Rolling(kind.units(text))
+                    i = np.arange(lo, lo + n)
+                    content = [text[j : j + size] if words is None else b" ".join(words[j : j + size]) for j in i.tolist()]
+                    digest = np.array([xxhash.xxh3_64_intdigest(c) for c in content], np.uint64)
+                    for out, v in zip(fine, (rolling.of(i, i + size), digest, np.full(n, d), np.full(n, k), _pack(i, np.ones(n, np.int64)))):
+                        out.append(v)
+        if plain[0]:
+            h, d, k, p = (pa.array(v, pa.int64()) for v in plain[:4])
+            zero = pa.array(np.zeros(len(h), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), CONTENT)), h, zero, d, k, p, pa.nulls(len(h), pa.binary()), pa.array(plain[4], pa.binary())], names=GIVEN.names)
+        if fine[0]:
+            columns = _combined(*map(np.concatenate, fine))
+            n = len(columns[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, WINDOWS)), *columns, pa.nulls(n, pa.binary())], names=GIVEN.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, most_bytes=CHUNK_BYTES):
-                out: list[list] = [[], [], [], []]
-                for d, text, hs, ps in zip(*(batch.column(c).to_pylist() for c in ("_d", "text", "hs", "ps"))):
-                    text = (text or "").encode()
-                    words = None if kind.name == "bytes" else text.split()
-                    length = len(text) if words is None else len(words)
-                    rolling = Rolling(kind.units(text)) if windows else None
-                    for h, p in zip(hs, ps):
-                        lo, n = p >> 8, p >> 1 & 127
-                        if lo + n + size - 1 > length:
-                            continue  # of another row with this doc_id
-                        if windows:
-                            i = np.arange(lo, lo + n)
-                            out[0].append(rolling.of(i, i + size).view(np.int64))
-                            content = [text[j : j + size] if words is None else b" ".join(words[j : j + size]) for j in range(lo, lo + n)]
-                            out[1].append(np.array([xxhash.xxh64_intdigest(c, 7) for c in content], np.uint64).view(np.int64))
-                            out[2].append(np.full(n, d))
-                            out[3].append(i)
-                        else:
-                            out[0].append(h)
-                            out[1].append(d)
-                            out[2].append(lo)
-                            out[3].append(text[lo : lo + n + size - 1] if words is None else b" ".join(words[lo : lo + n + size - 1]))
-                if windows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *v])) for v in out], names=["x", "y", "_d", "lo"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out[:3]] + [pa.array(out[3], pa.binary())], names=["h", "_d", "lo", "seg"])
+                yield from rows_of(batch)
 
-    both = docs.join(lists.hint("shuffle_hash"), "_d")  # with all columns, so that the shuffle of docs is the one of the last join
-    return both.mapInArrow(run, "x long, y long, _d long, lo long" if windows else "h long, _d long, lo long, seg binary")
+    asked = F.filter("told", lambda x: x["what"] != SPAN)
+    return told.select("_d", "_k", "text", asked.alias("asked")).where(F.size("asked") > 0).mapInArrow(run, GIVEN)
 
 
+#: compare(documents, first units, segments) -> places of the documents in that list, first and last units of what goes.
 Compare = Callable[[np.ndarray, np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _compared(rows: DataFrame, partitions: int, compare: Compare, chunk: int = 800) -> DataFrame:
-    """Run compare(docs, los, segments) on whole groups of one anchor, several groups at a time; it gives docs, a, b."""
-    sorted_rows = rows.repartition(partitions, "h").sortWithinPartitions("h")
+def compared(given: DataFrame, kind: Kind, compare: Compare, partitions: int, chunk: int = 800) -> DataFrame:
+    """Rows of GIVEN -> {_d, _k, a, b}: stretches that go. Whole groups of one anchor are compared, several at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def spans(d, k, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(v, np.int64)) for v in (d, k, a, b)], names=["_d", "_k", "a", "b"])
 
-        def done(part: list[tuple]) -> pa.RecordBatch:
-            d, a, b = compare(np.array([r[1] for r in part]), np.array([r[2] for r in part]), [r[3] for r in part])
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (d, a, b)], names=["_d", "a", "b"])
+    def done(part: list[tuple]) -> pa.RecordBatch:
+        keys = np.array([r[1:3] for r in part], np.int64)
+        own, number = np.unique(keys, axis=0, return_inverse=True)  # documents in their order
+        i, a, b = compare(number.ravel(), np.array([r[3] >> 8 for r in part]), [r[4] for r in part])
+        i = np.asarray(i, np.int64)
+        return spans(own[i, 0], own[i, 1], a, b)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = Repeats(kind.keep_first)
+        held: list[tuple] = []
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("h", "_d", "lo", "seg")))
+            n = int((batch.column("what").to_numpy() == CONTENT).sum())  # these come first
+            new = zip(*(batch.column(c)[:n].to_pylist() for c in ("h", "_d", "_k", "p", "seg")))
+            for r in new:
+                if not held or r[:4] != held[-1][:4]:  # repeated rows are one document
+                    held.append(r)
             while len(held) > chunk:
                 cut = chunk
                 while cut < len(held) and held[cut][0] == held[cut - 1][0]:
@@ -267,39 +353,14 @@ def _compared(rows: DataFrame, partitions: int, compare: Compare, chunk: int = 8
                     break  # the last group may go on in the next batch
                 yield done(held[:cut])
                 del held[:cut]
+            if n < batch.num_rows:
+                fine = batch.slice(n)
+                _, (d, k, p) = repeats.feed(_columns(fine), fine.column("more"))
+                yield spans(d, k, p >> 8, (p >> 8) + (p & 255) + kind.size - 1)
         if held:
             yield done(held)
 
-    return sorted_rows.mapInArrow(run, "_d long, a long, b long")
-
-
-def repeated_spans(docs: DataFrame, dealt: DataFrame, kind: Kind, compare: Compare, partitions: int) -> DataFrame:
-    """docs {_d, text}, and the same dealt out by _d -> {_d, a, b}: stretches of units that repeated windows cover."""
-    rows = anchor_rows(docs, kind, spans=False).repartition(partitions, "h")
-    place = F.struct("_d", "p")
-    several = (F.col("more") == 1) | (F.col("first._d") != F.col("last._d")) | (_lo(F.col("first.p")) != _lo(F.col("last.p")))
-    equal = rows.groupBy("h", "s").agg(F.min(place).alias("first"))
-    # all places of a segment that occurs several times; a window and not a join, which would deal the rows out anew
-    same = W.partitionBy("h", "s")
-    found = rows.select("_d", "p", F.min(place).over(same).alias("first"), F.max(place).over(same).alias("last"), F.max(F.col("p").bitwiseAND(F.lit(1))).over(same).alias("more"))
-    found = found.where(several)
-    if kind.keep_first:
-        found = found.where((F.col("_d") != F.col("first._d")) | (_lo(F.col("p")) != _lo(F.col("first.p"))))
-    found = found.select("_d", _lo(F.col("p")).alias("a"), (_lo(F.col("p")) + _n(F.col("p")) + kind.size - 1).alias("b"))
-    # anchors with different segments
-    # (the smallest place is asked for so that this reads the shuffle that is there, and not one of fewer columns)
-    groups = equal.groupBy("h").agg(F.count("*").alias("segments"), F.min("first").alias("lowest")).where("segments > 1 and lowest is not null").drop("lowest")
-    wanted = equal.join(groups, "h").select("h", "segments", F.col("first._d").alias("_d"), F.col("first.p").alias("p"))
-    small = _contents(dealt, wanted.where(F.col("segments") <= kind.most_group), kind, windows=False)
-    hot = _contents(dealt, wanted.where(F.col("segments") > kind.most_group), kind, windows=True)
-    at = F.struct("_d", "lo")
-    classes = hot.groupBy("x", "y").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last")
-    hot = hot.join(classes, ["x", "y"])
-    if kind.keep_first:
-        hot = hot.where(at != F.col("first"))
-    hot = hot.select("_d", F.col("lo").alias("a"), (F.col("lo") + kind.size).alias("b"))
-    local = anchor_rows(docs, kind, spans=True)
-    return local.unionByName(found).unionByName(_compared(small, partitions, compare)).unionByName(hot)
+    return given.repartition(partitions, "h").sortWithinPartitions("what", *ORDER).mapInArrow(run, "_d long, _k long, a long, b long")
 
 
 def packed(docs: DataFrame, rest: list[str]) -> DataFrame:
@@ -313,12 +374,19 @@ def unpacked(rest: list[str]) -> list[Column]:
 
 
 def with_spans(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
-    """docs with text -> its columns, `_d`, and `_spans` (array of structs a, b; null where nothing goes)."""
+    """docs {doc_id, text, ...} -> its columns, `_d`, `_k` and `_spans` (array of structs a, b): what repeated windows cover."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    base = named.repartition(partitions, "_d")
-    spans = repeated_spans(named, base, kind, compare, partitions).groupBy("_d").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    return base.join(spans.hint("shuffle_hash"), "_d", "left")
+    named = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_k": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    told = decide(anchor_rows(named, kind), kind, partitions)
+    lists = told.repartition(partitions, "_d", "_k").groupBy("_d", "_k").agg(F.collect_list(F.struct("what", "h", "a", "b")).alias("told"))
+    # one join with the documents serves both what they are asked and what they are told
+    base = named.repartition(partitions, "_d", "_k").join(lists.hint("shuffle_hash"), ["_d", "_k"], "left")
+    more = compared(contents(base, kind), kind, compare, partitions)
+    more = more.repartition(partitions, "_d", "_k").groupBy("_d", "_k").agg(F.collect_list(F.struct("a", "b")).alias("more"))
+    nothing = F.array().cast("array<struct<a:long,b:long>>")
+    own = F.transform(F.filter("told", lambda x: x["what"] == SPAN), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    both = F.concat(F.coalesce(own, nothing), F.coalesce("more", nothing))
+    return base.join(more.hint("shuffle_hash"), ["_d", "_k"], "left").withColumn("_spans", both).drop("told", "more")
 
 
 def merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -333,3 +401,15 @@ def merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
+def merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Disjoint, sorted, maximal spans within a text of this many units."""
+    out: list[list[int]] = []
+    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+        b = min(b, length)
+        if a >= b:
+            continue
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]

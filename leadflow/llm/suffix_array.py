@@ -120,8 +120,10 @@ def dedup_bytes(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
 
     A byte goes if a string of `least` bytes that covers it also starts earlier: in a smaller doc_id,
     or earlier in its own document. Texts are whole; null counts as empty. A null doc_id comes before
-    all others. Repeated rows get equal results. All columns stay (those of the added names are
-    replaced); an empty frame gives one. Bytes that stay may break a character: `kept` is binary.
+    all others. Rows of equal doc_id and text are one document and get equal results; rows that share
+    a doc_id alone are different documents, in the order of xxhash64 of their texts. All columns stay
+    (those of the added names are replaced); an empty frame gives one. Bytes that stay may break a
+    character: `kept` is binary.
     """
     rest = [c for c in docs.columns if c not in ("kept", "n_bytes", "removed")]
     # anchors of 32 bytes; segments hold up to least - 31 windows
@@ -160,3 +162,18 @@ def digests(docs: DataFrame) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: The same rows in DuckDB: every window of 100 bytes by its MD5 value. Texts that share a doc_id come in their own order.
+DIGESTS_SQL = """
+WITH t AS (SELECT dense_rank() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS o, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+d AS (SELECT o, any_value(x) AS x, CAST(any_value(length(x)) // 2 AS BIGINT) AS n FROM t GROUP BY o),
+w AS (SELECT o, i, md5_number(substr(x, 2 * i + 1, 200)) AS g FROM (SELECT o, x, unnest(generate_series(0, n - 100)) AS i FROM d WHERE n >= 100)),
+f AS (SELECT g, min((o << 32) + i) AS first FROM w GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT o, i, coalesce(i - lag(i) OVER (PARTITION BY o ORDER BY i) > 100, true) AS opens FROM w JOIN f USING (g) WHERE (o << 32) + i <> first),
+s AS (SELECT o, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY o ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM gone) GROUP BY o, run),
+k AS (SELECT s.o, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(x, 2 * final + 1)) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY o ORDER BY a), 0) AS before, max(b) OVER (PARTITION BY o) AS final FROM s) s JOIN d USING (o) GROUP BY s.o)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN k USING (o)
+"""

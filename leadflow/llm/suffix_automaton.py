@@ -116,9 +116,10 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with `kept` (the words that stay, joined by a space), `n_words` and `n_removed`.
 
     Words are runs without ASCII white space. A word goes if a window of `window` words that covers it
-    also starts anywhere else, in the same document or another. Null texts have no words. Rows that
-    share a doc_id count as one document; repeated rows get equal results. All columns stay (those of
-    the added names are replaced); an empty frame gives one.
+    also starts anywhere else, in the same document or another. Null texts have no words. Rows of equal
+    doc_id and text are one document and get equal results; rows that share a doc_id alone, or have none,
+    are different documents. All columns stay (those of the added names are replaced); an empty frame
+    gives one.
     """
     rest = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
     kind = Kind("words", window, max(1, window // 4), keep_first=False)
@@ -159,3 +160,17 @@ def rewrite(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+#: The same rows in DuckDB: every window of 35 words by its MD5 value.
+DIGESTS_SQL = r"""
+WITH t AS (SELECT dense_rank() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS o, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+d AS (SELECT o, any_value(x) AS x, CAST(any_value(len(x)) AS BIGINT) AS n FROM t GROUP BY o),
+w AS (SELECT o, i, md5_number(array_to_string(x[i + 1:i + 35], ' ')) AS g FROM (SELECT o, x, unnest(generate_series(0, n - 35)) AS i FROM d WHERE n >= 35)),
+gone AS (SELECT o, i, coalesce(i - lag(i) OVER (PARTITION BY o ORDER BY i) > 35, true) AS opens FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+s AS (SELECT o, min(i) AS a, max(i) + 35 AS b FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY o ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM gone) GROUP BY o, run),
+k AS (SELECT s.o, sum(b - a) AS n_removed, list_concat(flatten(list(x[before + 1:a] ORDER BY a)), any_value(x[final + 1:])) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY o ORDER BY a), 0) AS before, max(b) OVER (PARTITION BY o) AS final FROM s) s JOIN d USING (o) GROUP BY s.o)
+SELECT doc_id, CAST(len(x) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(coalesce(kept, x), ' '), '')) AS kept_sha256
+FROM t LEFT JOIN k USING (o)
+"""

@@ -75,6 +75,39 @@ def test_words_against_brute_force(spark, docs, empty):
     assert kept[5]["text"].count("\n") == 2 and "tail one" in kept[1]["text"] and kept[1]["n_chars"] == len(kept[1]["text"]) and kept[4]["text"] is None
 
 
+def keyed_plain(frame, window, words):
+    """Removed units of each (doc_id, text), by the definition; rows of equal key are one document."""
+    rows = {(order(r["doc_id"]), r["k"], r["text"] or "") for r in frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    places, out = {}, {}
+    for d, k, t in sorted(rows):
+        units = t.encode().split() if words else t.encode()
+        for i in range(len(units) - window + 1):
+            places.setdefault(b" ".join(units[i : i + window]) if words else units[i : i + window], []).append((d, k, i))
+        out[d, t] = set()
+    text = {(d, k): t for d, k, t in rows}
+    for at in places.values():
+        for d, k, i in (at if len(at) > 1 else []) if words else at[1:]:
+            out[d, text[d, k]] |= set(range(i, i + window))
+    return {key: len(gone) for key, gone in out.items()}
+
+
+def test_rows_without_ids_and_with_shared_ids(spark):
+    """Unique text of rows that share a doc_id, or have none, stays, also when rows come out of a shuffle."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join(word() for _ in range(90)) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1] + " " + passage), (None, texts[2]), (2, "y" * 7 + passage), (2, texts[3]), (2, passage + " " + texts[4]), (2, passage + " " + texts[4]), (5, texts[5] + passage), (5, None), (6, ""), (None, None)]
+    rows += [(100 + i, " ".join(word() for _ in range(30)) + " " + passage[: 200 + i]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for shaken in (frame, frame.repartition(7), frame.repartition(3, "text").sortWithinPartitions(F.rand(3))):
+        for run, words, size, total in ((suffix_array.dedup_bytes, False, 100, "n_bytes"), (suffix_automaton.dedup_words, True, 35, "n_words")):
+            out = run(shaken)
+            gone = F.col("n_removed") if words else F.col("n_bytes") - F.octet_length("kept")
+            got = {(order(r["doc_id"]), r["text"] or ""): r["gone"] for r in out.select("doc_id", "text", gone.alias("gone")).collect()}
+            assert got == keyed_plain(frame, size, words) and out.count() == len(rows)
+
+
 def test_hot_groups_go_the_hashed_way(spark):
     """With a bound of one segment a group, every mixed group is compared by window hashes, with equal results."""
     rows = corpus(3)
