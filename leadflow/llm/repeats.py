@@ -284,7 +284,7 @@ def contents(told: DataFrame, kind: Kind) -> DataFrame:
     def rows_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         plain: list[list] = [[], [], [], [], []]
         fine: list[list[np.ndarray]] = [[], [], [], [], []]
-        for d, k, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_d", "_k", "text", "asked"))):
+        for d, k, text, asked in zip(*(batch.column(c).to_pylist() for c in ("_d", "_k", "text", "told"))):
             text = (text or "").encode()
             words = None if kind.name == "bytes" else text.split()
             rolling = None
@@ -316,7 +316,8 @@ def contents(told: DataFrame, kind: Kind) -> DataFrame:
                 yield from rows_of(batch)
 
     asked = F.filter("told", lambda x: x["what"] != SPAN)
-    return told.select("_d", "_k", "text", asked.alias("asked")).where(F.size("asked") > 0).mapInArrow(run, GIVEN)
+    # with all columns, so that the shuffle of the documents is the one that the last join reads too
+    return told.withColumn("told", asked).where(F.size("told") > 0).mapInArrow(run, GIVEN)
 
 
 #: compare(documents, first units, segments) -> places of the documents in that list, first and last units of what goes.
