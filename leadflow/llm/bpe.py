@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadflow.llm.common import spare_name
+
 # The published pattern that cuts text into pieces for this family of vocabularies.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_VOCABULARY_BYTES = 64 << 20
@@ -153,8 +155,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", decod
     encoded whole; a piece is never cut. Equal texts give equal results. An empty frame gives one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    rest = [c for c in docs.columns if c not in ("ids", "decoded")]
-    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    rest = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    own = spare_name(rest, "text")
+    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own))
     added = "ids array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", decod
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                ids = [bpe.encode(t) for t in batch.column("__text").to_pylist()]
+                ids = [bpe.encode(t) for t in batch.column(own).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate([np.empty(0, np.int32), *ids])
                 out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]

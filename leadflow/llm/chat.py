@@ -2,8 +2,8 @@
 
 Of a dialogue between any number of speakers, one training text is made for every participant:
 that speaker's messages are the assistant's, the others' are named users', and the mask marks
-what the assistant says. Long dialogues come in parts of a fixed number of messages, so that no
-group grows without bound.
+what the assistant says. A dialogue of more than PART_TURNS messages comes in several rows, so that
+no group grows without bound; put together in the order of `part` they are the whole dialogue.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leadflow.operators.ranking import global_rank
 
-PART_TURNS = 256
+PART_TURNS = 4096
 SYSTEM = "system"
 
 
@@ -81,19 +81,19 @@ def rotation_rows(conversations: DataFrame) -> DataFrame:
     return out.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","))
 
 
-#: The same rows in DuckDB for dialogues of turns 0 to 255 with no more than 256 messages; longer ones it still cuts by turn.
-ROTATION_SQL = """
+#: The same rows in DuckDB: parts by the rank of a message, participants of the whole dialogue.
+ROTATION_SQL = f"""
 WITH m AS (
-  SELECT row_number() OVER () AS r, conv_id, CAST(coalesce(floor(turn / 256), 0) AS BIGINT) AS part, turn,
-    replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-k AS (SELECT *, CASE WHEN conv_id IS NULL THEN r ELSE 0 END AS alone FROM m),
-p AS (SELECT DISTINCT conv_id, part, alone, role AS perspective FROM k WHERE role <> 'system'
-  UNION ALL SELECT conv_id, part, alone, NULL FROM k GROUP BY ALL HAVING bool_and(role = 'system')),
+  SELECT row_number() OVER () AS r, conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+n AS (SELECT *, CASE WHEN conv_id IS NULL THEN r ELSE 0 END AS alone FROM m),
+k AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text, r) - 1) // {PART_TURNS} AS BIGINT) AS part FROM n),
+p AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM k WHERE role <> 'system'
+  UNION ALL SELECT conv_id, alone, NULL FROM k GROUP BY ALL HAVING bool_and(role = 'system')),
 j AS (
   SELECT k.conv_id, k.part, k.alone, p.perspective, k.turn, k.role, k.text, k.r, k.role IS NOT DISTINCT FROM p.perspective AS own,
     CASE WHEN k.role = 'system' THEN '<|system|>' WHEN k.role = p.perspective THEN '<|assistant|>' ELSE '<|user:' || k.role || '|>' END || chr(10) AS head,
     k.text || '<|end|>' || chr(10) AS body
-  FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.part = p.part AND k.alone = p.alone),
+  FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.alone = p.alone),
 o AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, alone, perspective ORDER BY turn NULLS FIRST, role, text, r ROWS UNBOUNDED PRECEDING) AS e FROM j)
 SELECT conv_id, part, perspective, count(*) AS n_messages, count(*) FILTER (own) AS n_target,

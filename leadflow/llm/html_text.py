@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import pieces
+from leadflow.llm.common import pieces, spare_name
 
 # Fixed values of HTML: elements without content, elements that a start tag closes, and how elements show.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -375,13 +375,14 @@ def extract(pages: DataFrame, html: str = "html", column: str = "text") -> DataF
     Row by row, without a shuffle; pages are read whole. Null and empty pages give "". Repeated rows give
     equal texts; an empty table gives one.
     """
-    rest = [c for c in pages.columns if c != column]
-    frame = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(html).cast("string").alias("__html"))
+    rest = [c for c in pages.columns if c.lower() != column.lower()]
+    own = spare_name(rest, "html")
+    frame = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(html).cast("string").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "__html"):
-                texts = [page_text(t) for t in batch.column("__html").to_pylist()]
+            for batch in pieces(whole, own):
+                texts = [page_text(t) for t in batch.column(own).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*rest, column])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import pieces
+from leadflow.llm.common import pieces, spare_name
 
 
 def _class_tables() -> np.ndarray:
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, longest: int = 50_
     `longest` characters, chosen by a hash of their ids. Line features are made on the executors."""
     label = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text").where(F.length("text") <= longest)
-    known = texts.select("doc_id").join(label, "doc_id")
+    known = texts.select("doc_id").join(label, "doc_id").distinct()
     order = F.xxhash64("doc_id")
     ids = known.where("quality = 1").orderBy(order, "doc_id").limit(each).unionByName(known.where("quality = 0").orderBy(order, "doc_id").limit(each))
 
@@ -225,8 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, longest: int = 50_
                 parts = [pa.array([a.astype(np.float32).tobytes() for a in np.split(v, cuts)], pa.binary()) for v in (lines.x, lines.size)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), *parts], names=["doc_id", "quality", "x", "size"])
 
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, x binary, size binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    # one text an id, so that rows that share one do not add up; ids are 2 * each at most, so they are broadcast
+    chosen = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
+    rows = chosen.mapInArrow(features, "doc_id long, quality int, x binary, size binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return _constant(3 * len(OWN) + 3, 0.5)
     size = [np.frombuffer(r["size"], np.float32).astype(np.float64) for r in rows]
@@ -240,13 +242,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     Whole texts are read, without a shuffle. A null or empty text is one empty line. Equal texts get
     equal scores; an empty frame gives one.
     """
-    rest = [c for c in docs.columns if c != column]
-    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    rest = [c for c in docs.columns if c.lower() != column.lower()]
+    own = spare_name(rest, "text")
+    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "__text"):
-                lines = line_features(batch.column("__text").to_pylist())
+            for batch in pieces(whole, own):
+                lines = line_features(batch.column(own).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(lines))], names=[*rest, column])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])

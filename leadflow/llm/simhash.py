@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import NULL_ID, keyed, pieces
+from leadflow.llm.common import NULL_ID, keyed, pieces, whole_rows
 from leadflow.operators.components import connected_components
 from leadflow.plans.session import materialise
 
@@ -58,15 +58,15 @@ def fingerprints_of(texts: list[str | None], k: int = 3, seed: int = 42) -> np.n
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """documents -> doc_id, _d (null ids as the smallest long), fp (long). One row each, no shuffle."""
+    """documents -> doc_id, _d, _k (see common.keyed), fp (long). One row each, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
                 fp = fingerprints_of(batch.column("text").to_pylist(), k, seed)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_d"), pa.array(fp)], names=["doc_id", "_d", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_d", "_k")), pa.array(fp)], names=["doc_id", "_d", "_k", "fp"])
 
-    return keyed(docs).select("doc_id", "_d", "text").mapInArrow(run, "doc_id long, _d long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, _d long, _k long, fp long")
 
 
 def _segments(fp: Column) -> Column:
@@ -98,34 +98,39 @@ def links(reps: DataFrame, distance: int = 3) -> DataFrame:
     return met.select("u", "v").distinct()
 
 
+def grouped(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
+    """documents -> {doc_id, _d, _k, fp, first}; first: the smallest {_d, _k} of the group of near-duplicates."""
+    marks = materialise(fingerprints(docs, k, seed), "simhash")
+    reps = marks.groupBy("fp").agg(F.min(F.struct("_d", "_k")).alias("low"))
+    found = connected_components(links(reps.select("fp", F.col("fp").alias("rep")), distance))
+    component = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    least = component.groupBy("c").agg(F.min("low").alias("first"))
+    return marks.join(component.join(least, "c").select("fp", "first"), "fp")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
     """documents -> doc_id, fingerprint (16 hex digits), component_id; one row per row of documents.
 
     component_id is the smallest doc_id reachable over links of `distance` or fewer bits, the
     document's own included. Null and empty texts have fingerprint zero and link like any other.
-    Rows with a null doc_id count as one document that comes before all others, and a component
-    that holds it has a null component_id. Repeated rows get equal results.
+    A null doc_id comes before all others, and a component that holds one has a null component_id.
+    Rows that share a doc_id are linked by their texts alone. Repeated rows get equal results.
     """
-    marks = materialise(fingerprints(docs, k, seed), "simhash")
-    reps = marks.groupBy("fp").agg(F.min("_d").alias("rep"))
-    found = connected_components(links(reps, distance))
-    component = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
-    named = F.when(F.col("c") != NULL_ID, F.col("c"))
-    return marks.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), named.alias("component_id"))
+    named = F.when(F.col("first._d") != NULL_ID, F.col("first._d"))
+    return grouped(docs, k, seed, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), named.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
-    """docs reduced to the smallest doc_id of each group of near-duplicates; all its columns stay.
-
-    Repeated rows of a kept doc_id with the same text are reduced to one.
-    """
-    return first_of(docs, near_duplicates(docs, k, seed, distance))
+    """docs reduced to the first document of each group of near-duplicates: that of the smallest doc_id and, among
+    rows that share it, of the smallest hash of the text. All columns stay. Repeated rows of it are reduced to one."""
+    return first_of(docs, grouped(docs, k, seed, distance))
 
 
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs reduced to the documents that are the component_id of their own row in groups {doc_id, component_id}."""
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d")).distinct()
-    twice = groups.groupBy("doc_id").count().where("count > 1").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"))
-    held = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(gone, "_d", "left_anti")
-    again = held.join(twice, "_d", "left_semi").dropDuplicates(["_d", "text"])
-    return held.join(twice, "_d", "left_anti").unionByName(again).select(*docs.columns)
+    """docs reduced to the documents that are the first of their own row in groups {_d, _k, first}."""
+    key = ["_d", "_k"]
+    gone = groups.where(F.struct(*key) != F.col("first")).select(*key).distinct()
+    twice = groups.groupBy(*key).count().where("count > 1").select(*key)
+    held = whole_rows(docs).join(gone, key, "left_anti")
+    again = held.join(twice, key, "left_semi").dropDuplicates(key)
+    return held.join(twice, key, "left_anti").unionByName(again).select("row.*")

@@ -58,7 +58,11 @@ def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> n
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+    """Whether two sorted sets of shingles have similarity 0.8 or more."""
+    small, large = sorted((a, b), key=len)
+    if not len(small):
+        return len(large) == 0
+    shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
     return UNDER * shared >= OVER * (len(a) + len(b) - shared)
 
 
@@ -129,16 +133,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
     left = materialise(pairs.join(ends[0], "u").join(ends[1], "v").where(may).select("u", "v"), "similar-pairs")
     asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
     asked = materialise(nodes.join(asked, "node").select("node", "_d", "_k"), "similar-asked")
-    texts = materialise(keyed(docs).join(asked, ["_d", "_k"]).select("node", "text").dropDuplicates(["node"]), "similar-texts")
-    both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v")
+    texts = keyed(docs).join(asked, ["_d", "_k"]).select("node", "text").dropDuplicates(["node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                good = [similar(shingle_set(a, k, seed), shingle_set(b, k, seed)) for a, b in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist())]
-                yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+                sets = [shingle_set(t, k, seed).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    sets = materialise(texts.mapInArrow(sets_of, "node long, set binary"), "similar-sets")  # each text is read once, however many pairs it has
+    both = left.join(sets.select(F.col("node").alias("u"), F.col("set").alias("own")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("other")), "v")
 
-    return materialise(both.select("u", "v", "text", "other").mapInArrow(run, "u long, v long"), "similar-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return materialise(both.select("u", "v", "own", "other").mapInArrow(run, "u long, v long"), "similar-links")
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -146,13 +157,8 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, F.col("node") == F.col("x"), "left").select("node", F.coalesce("component", "node").alias("c"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """documents -> doc_id, component_id; one row per row of documents.
-
-    component_id is the smallest doc_id reachable over links between texts whose sets of k-word shingles
-    (of lower-cased words; a shorter text is one shingle) have Jaccard similarity 0.8 or more. Null and
-    empty texts have equal, empty sets. Null ids and repeated rows are treated as in simhash.near_duplicates.
-    """
+def grouped(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """documents -> {doc_id, _d, _k, first}; first: the smallest {_d, _k} of the group of near-duplicates."""
     marks = materialise(_marks(docs, k, seed), "similar")
     nodes = marks.groupBy("node").agg(F.min(F.struct("_d", "_k")).alias("m"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH)])
     nodes = materialise(nodes.select("node", "m._d", "m._k", "n", "fp", *SKETCH), "similar-nodes")
@@ -177,14 +183,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     met = a.join(b, "h").where((F.col("c_u") < F.col("c_v")) & enough).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
     links = links.unionByName(_verified(met, nodes, docs, k, seed))
 
-    one = marks.groupBy("_d").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u < w").select("_d", "u")
-    same_id = marks.join(one, "_d").where("node != u").select("u", F.col("node").alias("v"))
-    component = _components(nodes, links.unionByName(same_id))
-    least = nodes.join(component, "node").groupBy("c").agg(F.min("_d").alias("first"))
-    named = component.join(least, "c").select("node", F.when(F.col("first") != NULL_ID, F.col("first")).alias("component_id"))
-    return marks.join(named, "node").select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), "component_id")
+    component = _components(nodes, links)
+    least = nodes.join(component, "node").groupBy("c").agg(F.min(F.struct("_d", "_k")).alias("first"))
+    named = component.join(least, "c").select("node", "first")
+    return marks.join(named, "node").select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), "_d", "_k", "first")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """documents -> doc_id, component_id; one row per row of documents.
+
+    component_id is the smallest doc_id reachable over links between texts whose sets of k-word shingles
+    (of lower-cased words; a shorter text is one shingle) have Jaccard similarity 0.8 or more. Null and
+    empty texts have equal, empty sets. Null ids, rows that share an id and repeated rows are treated as in
+    simhash.near_duplicates.
+    """
+    return grouped(docs, k, seed).select("doc_id", F.when(F.col("first._d") != NULL_ID, F.col("first._d")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """docs reduced to the smallest doc_id of each group of near-duplicates, as simhash.keep_first does."""
-    return simhash.first_of(docs, near_duplicates(docs, k, seed))
+    """docs reduced to the first document of each group of near-duplicates, as simhash.keep_first does."""
+    return simhash.first_of(docs, grouped(docs, k, seed))

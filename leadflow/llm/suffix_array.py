@@ -125,7 +125,7 @@ def dedup_bytes(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     (those of the added names are replaced); an empty frame gives one. Bytes that stay may break a
     character: `kept` is binary.
     """
-    rest = [c for c in docs.columns if c not in ("kept", "n_bytes", "removed")]
+    rest = [c for c in docs.columns if c.lower() not in ("kept", "n_bytes", "removed")]
     # anchors of 32 bytes; segments hold up to least - 31 windows
     kind = Kind("bytes", least, min(32, max(8, least // 3)), keep_first=True)
     work = packed(docs, rest)

@@ -121,7 +121,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     are different documents. All columns stay (those of the added names are replaced); an empty frame
     gives one.
     """
-    rest = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
+    rest = [c for c in docs.columns if c.lower() not in ("kept", "n_words", "n_removed")]
     kind = Kind("words", window, max(1, window // 4), keep_first=False)
     work = packed(docs, rest)
     own = work.columns

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import pieces
+from leadflow.llm.common import pieces, spare_name
 
 LENGTH = 4  # of the subsequences
 DECAY = 0.5  # weight of each character that a subsequence spans
@@ -304,11 +304,12 @@ def sample(docs: DataFrame, labels: DataFrame, each: int = 2000, longest: int =
     `longest` characters, chosen by a hash of their ids. At most 2 * each * longest characters reach the driver."""
     label = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text").where(F.length("text") <= longest)
-    known = texts.select("doc_id").join(label, "doc_id")
+    known = texts.select("doc_id").join(label, "doc_id").distinct()
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(each).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(each))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    # one text an id, so that rows that share one do not add up; ids are 2 * each at most, so they are broadcast
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    return [(r["text"], int(r["toxic"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -317,14 +318,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     Whole texts are read. A null or empty text gets the score of a sentence without tokens. Rows of
     equal text get equal scores. No shuffle; an empty frame gives one.
     """
-    rest = [c for c in docs.columns if c != column]
-    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    rest = [c for c in docs.columns if c.lower() != column.lower()]
+    own = spare_name(rest, "text")
+    frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenTable(Landmarks(model.landmarks))
         for whole in batches:
-            for batch in pieces(whole, "__text", 2 << 20):
-                texts = batch.column("__text").to_pylist()
+            for batch in pieces(whole, own, 2 << 20):
+                texts = batch.column(own).to_pylist()
                 pooled, owner = tokens.pooled([sentences(t) for t in texts])
                 worst = np.full(len(texts), -np.inf)
                 np.maximum.at(worst, owner, model.margins(pooled))
@@ -352,4 +354,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without those that score `threshold` or more; the same columns."""
-    return score(docs, fit(docs, labels), column="__toxicity").where(F.col("__toxicity") < threshold).select(*docs.columns)
+    own = spare_name(docs.columns, "toxicity")
+    return score(docs, fit(docs, labels), column=own).where(F.col(own) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadflow.llm import simhash
 from leadflow.llm.queries import oracles, queries
+from test_similar import plain_components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,14 +17,13 @@ def test_stages(spark):
     now, columns = docs, docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"]: r["text"] for r in now.select("doc_id", "text").collect()}
-        fingers = {r["doc_id"]: r for r in simhash.near_duplicates(now).collect()} if name == "simhash_near_dedup" else {}
         now = spark.createDataFrame(stage(spark, now, SMALL).collect(), docs.schema)
         after = {r["doc_id"]: r["text"] for r in now.collect()}
         assert now.columns == columns and set(after) <= set(before)
         if name == "toxicity":
             assert sum(label.get(d) == 0 for d in before) - sum(label.get(d) == 0 for d in after) <= 3
-        if fingers:
-            assert set(after) == {d for d, r in fingers.items() if r["component_id"] == d}
+        if name == "simhash_near_dedup":
+            assert set(after) == {d for d, c in plain_components(list(before.items())).items() if c == d}
         if name == "substring_dedup":
             cut = lambda t: [" ".join(t.split()[i : i + 35]) for i in range(len(t.split()) - 34)]
             often = Counter(w for t in before.values() for w in cut(t or ""))

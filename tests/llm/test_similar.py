@@ -38,10 +38,13 @@ def test_edges_of_the_contract(spark, docs, empty):
         now = list(words)
         now[i : i + 1 + i % 3] = ["x"] * (1 + i % 3)
         rows.append((100 + i, " ".join(now)))
-    rows += [(200, "one text"), (200, "another text of the same id"), (201, "Another TEXT of the same id")]
+    shared = [(200, "one text"), (200, "another text of the same id"), (201, "Another TEXT of the same id"), (None, "text without an id, one"), (None, "text without an id, two")]
     got = similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = plain_components(rows)
     assert len(got) == len(rows) and similar.near_duplicates(empty).count() == 0
     assert {(NONE if r["doc_id"] is None else r["doc_id"]): (NONE if r["component_id"] is None else r["component_id"]) for r in got} == want
+    for keep in (similar.keep_first, simhash.keep_first):  # a text stays unless it is like another one, whatever its id
+        out = keep(spark.createDataFrame(shared + shared[:1], "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted((d or 0, t) for d, t in shared if d != 201)
     kept = similar.keep_first(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None if d == NONE else d for d, c in plain_components([(r["doc_id"], r["text"]) for r in docs.collect()]).items() if d == c}

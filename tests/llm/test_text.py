@@ -218,7 +218,7 @@ def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ana", "hi <|x"), (1, 2, "bob", "yo"), (1, 3, "ana", None), (2, 0, "system", "only"), (None, 5, "ana", "alone"), (None, 5, "ana", "alone"), (3, None, None, "t"), (1, 600, "bob", "later")]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     by = {(r["conv_id"], r["part"], r["perspective"]): r for r in out if r["conv_id"] is not None}
-    assert set(by) == {(1, 0, "ana"), (1, 0, "bob"), (1, 2, "bob"), (2, 0, None), (3, 0, "unknown")} and sum(r["conv_id"] is None for r in out) == 2
+    assert set(by) == {(1, 0, "ana"), (1, 0, "bob"), (2, 0, None), (3, 0, "unknown")} and sum(r["conv_id"] is None for r in out) == 2
     ana = by[1, 0, "ana"]
-    assert ana["text"] == "<|system|>\ns<|end|>\n<|assistant|>\nhi < |x<|end|>\n<|user:bob|>\nyo<|end|>\n<|assistant|>\n<|end|>\n"
+    assert ana["text"] == "<|system|>\ns<|end|>\n<|assistant|>\nhi < |x<|end|>\n<|user:bob|>\nyo<|end|>\n<|assistant|>\n<|end|>\n<|user:bob|>\nlater<|end|>\n"
     assert [ana["text"][m["start"] : m["end"]] for m in ana["mask"]] == ["hi < |x<|end|>\n", "<|end|>\n"] and by[2, 0, None]["mask"] == []
