@@ -1,10 +1,11 @@
 """Toxicity: a support vector machine over a subsequence string kernel with Nyström landmarks.
 
-The kernel counts common character subsequences of a fixed length and weighs each by the span it
-takes in either string, so gaps and inserted characters cost weight but do not hide an insult.
-A sentence is described by its best match with each landmark over its tokens (and over runs of
-single letters, joined); the machine is trained on sentences of labelled documents, and a
-document is as toxic as its worst sentence.
+The kernel of two tokens counts common character subsequences of a fixed length and weighs each by
+the span it takes in either string, so gaps and inserted characters cost weight but do not hide an
+insult; it is normalised to 1 for equal tokens, and squared. The kernel of two sentences is the sum
+over their pairs of tokens (runs of single letters count joined). The Nyström map takes a sentence to
+its kernels with the landmarks, times the inverse root of their own kernel matrix, where a linear
+machine is trained on sentences of labelled documents. A document is as toxic as its worst sentence.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ DECAY = 0.5  # weight of each character that a subsequence spans
 WINDOW = 24  # longer tokens are seen through windows of this many characters, half overlapping
 LANDMARKS = 24
 LANDMARK_LENGTHS = range(4, 13)
+POWER = 2  # of the normalised kernel: a power of a kernel is one, and makes less of faint likeness
+MOST_TOKENS = 40  # of a sentence; a longer one counts as several
 CACHE_TOKENS = 150_000
 SENTENCE_END = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
@@ -50,8 +53,8 @@ def _codes(strings: list[str]) -> np.ndarray:
 
 
 def subsequence_kernel(codes: np.ndarray, other: np.ndarray, p: int = LENGTH, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted kernel of each row of codes (0: matches nothing) with the string `other`."""
-    m = len(other)
+    """Gap-weighted kernel of each row of codes (0: matches nothing) with the string `other`, or with its own row of `other`."""
+    m = other.shape[-1]
     # sums over earlier places of the other string, each place further away weighing decay less
     spread = np.triu(decay ** np.maximum(np.arange(m)[None, :] - np.arange(m)[:, None], 0)).astype(np.float32)
     inner = [np.ones((len(codes), m), np.float32)] + [np.zeros((len(codes), m), np.float32) for _ in range(p - 1)]
@@ -74,6 +77,18 @@ def subsequence_kernel(codes: np.ndarray, other: np.ndarray, p: int = LENGTH, de
     return total
 
 
+def self_kernel(codes: np.ndarray) -> np.ndarray:
+    """Kernel of each row of codes with itself; rows of like length are done together."""
+    length = (codes != 0).sum(1)
+    out = np.zeros(len(codes), np.float32)
+    for low in range(0, WINDOW, 4):
+        rows = np.flatnonzero((length > low) & (length <= low + 4))
+        if len(rows):
+            own = codes[rows, : low + 4]
+            out[rows] = subsequence_kernel(own, own)
+    return out
+
+
 def common_length(codes: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence with a string of at most 32 characters, by bit vectors.
 
@@ -104,16 +119,21 @@ class Landmarks:
         return np.where(self.alphabet[at] == raw, at + 1, 0).astype(np.int16)
 
     def similarities(self, strings: list[str]) -> np.ndarray:
-        """Kernel of each string with each landmark, in units of the landmark's kernel with itself: 1 (at most)
-        where the landmark stands in the string, less where it is broken up, 0 without a common subsequence."""
+        """Kernel of each string with each landmark: 1 where they are equal, less where the landmark is broken up or
+        stands among other characters, 0 without a common subsequence."""
         out = np.zeros((len(strings), len(self.rows)), np.float32)
-        codes = self._letters(_codes(strings))
-        held = np.flatnonzero((codes != 0).sum(1) >= LENGTH) if len(strings) else []
+        raw = _codes(strings)
+        codes = self._letters(raw)
+        held = np.flatnonzero((codes != 0).sum(1) >= LENGTH) if len(strings) else np.empty(0, np.int64)
         codes = codes[held]
+        near = [np.flatnonzero(common_length(codes, m) >= LENGTH) if len(held) else held for m in self.masks]
+        some = np.unique(np.concatenate(near)) if near else held
+        root = np.zeros(len(held), np.float32)
+        root[some] = np.sqrt(np.maximum(self_kernel(raw[held[some]]), 1e-12))
         for j, row in enumerate(self.rows):
-            near = np.flatnonzero(common_length(codes, self.masks[j]) >= LENGTH) if len(held) else []
-            if len(near):
-                out[held[near], j] = np.minimum(subsequence_kernel(codes[near], row) / self.own[j], 1)
+            if len(i := near[j]):
+                wide = int((codes[i] != 0).nonzero()[1].max()) + 1
+                out[held[i], j] = np.minimum(subsequence_kernel(codes[i, :wide], row) / (root[i] * self.own[j] ** 0.5), 1) ** POWER
         return out
 
 
@@ -122,7 +142,9 @@ def sentences(text: str) -> list[list[str]]:
     low = text.lower()
     spelled = [re.sub(r"\s", "", m) for m in SPELLED.findall(low)]
     out = [t for s in SENTENCE_END.split(low) if s and (t := s.split())]
-    return [*out, spelled] if spelled else out
+    if spelled:
+        out.append(spelled)
+    return [s[i : i + MOST_TOKENS] for s in out for i in range(0, len(s), MOST_TOKENS)]
 
 
 class TokenTable:
@@ -145,14 +167,14 @@ class TokenTable:
             views = [windows(t) for t in part]
             sims = self.marks.similarities([w for v in views for w in v])
             counts = np.array([len(v) for v in views])
-            best = np.maximum.reduceat(sims, np.cumsum(counts) - counts, axis=0)
+            best = np.maximum.reduceat(sims, np.cumsum(counts) - counts, axis=0)  # windows of a long token overlap
             some = best.any(1)
             places = np.where(some, len(self.rows) + np.cumsum(some) - 1, 0)
             self.rows = np.concatenate([self.rows, best[some]])
             self.ids.update(zip(part, places.tolist()))
 
     def pooled(self, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Best similarity with each landmark for every sentence, and the document of each sentence.
+        """Kernel of every sentence with each landmark (a sum over its tokens), and the document of each sentence.
 
         Every document has one row at least (zeros where it has no tokens)."""
         self.learn({t for d in docs for s in d for t in s})
@@ -171,7 +193,7 @@ class TokenTable:
         where = np.searchsorted(np.array(starts), hit, "right") - 1
         if len(hit):
             first = np.flatnonzero(np.diff(where, prepend=-1))
-            out[where[first]] = np.maximum.reduceat(self.rows[flat[hit]], first, axis=0)
+            out[where[first]] = np.add.reduceat(self.rows[flat[hit]], first, axis=0)
         return out, np.array(owner)
 
 
@@ -202,7 +224,7 @@ def choose_landmarks(docs: list[list[list[str]]], toxic: np.ndarray, count: int)
         if c / n[1] > 4 * (seen[0][w] + 0.2) / n[0]:
             for g in cut(w):
                 grams[g] += c
-    grams = Counter({g: c for g, c in grams.items() if c >= max(2, 0.005 * n[1])})
+    grams = Counter({g: c for g, c in grams.items() if c >= max(4, 0.01 * n[1])})
     clean: Counter = Counter()
     for w, c in seen[0].items():
         for g in cut(w):
@@ -214,8 +236,6 @@ def choose_landmarks(docs: list[list[list[str]]], toxic: np.ndarray, count: int)
     if not names:
         return ["----"]
     gram = Landmarks(names).similarities(names).astype(np.float64)
-    unit = np.sqrt(np.diag(gram))
-    gram = np.minimum(gram, gram.T) / np.outer(unit, unit)
     weight = np.sqrt([value[g] * len(g) ** 0.5 for g in names])
     left, basis, taken = np.ones(len(names)), np.zeros((len(names), 0)), []
     for _ in range(min(count, len(names))):

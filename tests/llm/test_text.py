@@ -67,8 +67,14 @@ def test_string_kernel_against_brute_force():
     for s, t in (("idiot", "idiot"), ("ixdixot", "idiot"), ("worthless", "wrothlss"), ("abcabcab", "abcab"), ("aaaa", "aaaaa"), ("abc", "abcd")):
         got = toxicity.subsequence_kernel(toxicity._codes([s]), toxicity._codes([t])[0][: len(t)], 4, 0.7)[0]
         assert got == pytest.approx(plain(s, t, 4, 0.7), rel=1e-4)
-    sim = toxicity.Landmarks(["idiot"]).similarities(["idiot", "xidiotx", "idxiot", "lamp", ""])[:, 0]
-    assert sim[0] == 1 and sim[1] == 1 and 0 < sim[2] < 1 and sim[3] == sim[4] == 0
+    tokens = ["idiot", "xidiotx", "idxiot", "zqidyiozt", "lamp", "id", ""]
+    sim = toxicity.Landmarks(["idiot"]).similarities(tokens)[:, 0]
+    p, d = toxicity.LENGTH, toxicity.DECAY
+    alike = lambda s, t: plain(s, t, p, d) ** 2 / (plain(s, s, p, d) * plain(t, t, p, d)) if len(s) >= p else 0
+    assert sim == pytest.approx([alike(t, "idiot") for t in tokens], rel=1e-3) and sim[0] == pytest.approx(1) and 0 < sim[2] < 1
+    # a sentence's kernel with a landmark is the sum over its tokens
+    pooled, owner = toxicity.TokenTable(toxicity.Landmarks(["idiot"])).pooled([toxicity.sentences("An idiot, xidiotx. Lamp"), []])
+    assert pooled[:, 0] == pytest.approx([1 + sim[1], 0, 0], rel=1e-3) and owner.tolist() == [0, 0, 1]
 
 
 def labelled(spark, column):
