@@ -99,7 +99,8 @@ def _candidates(h: str, size: int, table: Column, mask: int) -> Column:
 
 def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """documents -> {doc_id, _d, _k, n_words, found}, a row each; found: structs (at, size, gram) of the windows that
-    the tables of the benchmark's hashes know, few of which are not the benchmark's. Without a shuffle."""
+    the tables of the benchmark's hashes know, few of which are not the benchmark's. Without a shuffle. It is written
+    down, small as it is: a filter on `found` would else be pushed below, with all that `found` is made of."""
     rows = windows.select("size", "h").toArrow()  # numbers alone; the benchmark's words stay on the executors
     sizes, hashes = rows.column("size").to_numpy(), rows.column("h").to_numpy()
     base = with_words(keyed(docs), F.col("text")).drop("text")
@@ -111,7 +112,7 @@ def scan(docs: DataFrame, windows: DataFrame) -> DataFrame:
             own = hashes[part][sizes[part] == size]
             if len(own):
                 found.append(_candidates(h, size, *_bit_table(own)))
-    return base.select("doc_id", "_d", "_k", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("found"))
+    return materialise(base.select("doc_id", "_d", "_k", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("found")), "scan")
 
 
 def document_hits(scanned: DataFrame, windows: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) ->
     rows (same doc_id and text) each get the same result. An empty benchmark hits nothing.
     """
     windows = benchmark_windows(benchmark, n)
-    scanned = materialise(scan(docs, windows), "scan")
+    scanned = scan(docs, windows)
     marked = document_hits(scanned, windows).select("_d", "_k", "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort("items"), ",").alias("items"))
     return scanned.select("doc_id", "_d", "_k", "n_words").join(marked, ["_d", "_k"], "left").select(
         "doc_id",
