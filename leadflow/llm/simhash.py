@@ -41,12 +41,16 @@ def shingle_hashes(text: str | None, k: int, seed: int) -> list[int]:
 
 def fingerprints_of(texts: list[str | None], k: int = 3, seed: int = 42) -> np.ndarray:
     """A 64-bit fingerprint (as int64) for each text; zero for texts without words."""
-    hashes = [shingle_hashes(t, k, seed) for t in texts]
+    return fingerprints_from([np.array(shingle_hashes(t, k, seed), np.uint64) for t in texts])
+
+
+def fingerprints_from(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each list of shingle hashes."""
     counts = np.array([len(h) for h in hashes])
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        flat = np.array([x for h in hashes for x in h], "<u8")
+        flat = np.concatenate(hashes).astype("<u8")
         starts = np.cumsum(counts[some]) - counts[some]
         ones = np.zeros((len(some), 64), np.int64)
         for byte in range(8):  # eight bits at a time keep the working array small

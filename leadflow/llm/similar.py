@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadflow.llm import simhash
@@ -27,6 +28,8 @@ from leadflow.plans.session import materialise
 OVER, UNDER = 4, 5
 #: Of so many documents one is looked at for how common shingles are. This orders the shingles: it changes times, not results.
 SAMPLE, COMMON = 16, 200_000
+#: Texts of about so many bytes are worked on at a time.
+PIECE_BYTES = 1 << 20
 WORDS = 8
 SKETCH = [f"s{i}" for i in range(WORDS)]
 
@@ -71,11 +74,11 @@ def _marks(docs: DataFrame, k: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
-                texts = batch.column("text").to_pylist()
-                sets = [shingle_set(t, k, seed) for t in texts]
+            for batch in pieces(whole, most_bytes=PIECE_BYTES):
+                hashes = [np.array(simhash.shingle_hashes(t, k, seed), np.uint64) for t in batch.column("text").to_pylist()]
+                sets = [np.unique(h) for h in hashes]
                 sketch = np.array([sketch_of(s) for s in sets]).reshape(-1, WORDS)
-                columns = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(simhash.fingerprints_of(texts, k, seed))]
+                columns = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(simhash.fingerprints_from(hashes))]
                 yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_k"), *columns, *[pa.array(np.ascontiguousarray(c)) for c in sketch.T]], names=["_d", "_k", "node", "n", "fp", *SKETCH])
 
     return keyed(docs).select("_d", "_k", "text").mapInArrow(run, "_d long, _k long, node long, n long, fp long, " + ", ".join(f"{s} long" for s in SKETCH))
@@ -86,7 +89,7 @@ def _common(docs: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most_bytes=PIECE_BYTES):
                 sets = [shingle_set(t, k, seed) for t in batch.column("text").to_pylist()]
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
@@ -104,7 +107,7 @@ def _prefixes(docs: DataFrame, k: int, seed: int, common: np.ndarray, counts: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most_bytes=PIECE_BYTES):
                 rows = []
                 for text in batch.column("text").to_pylist():
                     s = shingle_set(text, k, seed)
@@ -137,7 +140,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, most_bytes=PIECE_BYTES):
                 sets = [shingle_set(t, k, seed).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
@@ -164,8 +167,9 @@ def grouped(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     nodes = materialise(nodes.select("node", "m._d", "m._k", "n", "fp", *SKETCH), "similar-nodes")
 
     tokens = _prefixes(docs, k, seed, *_common(docs, k, seed)).repartition("h").dropDuplicates(["h", "node"])
-    hubs = tokens.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far").select("h", "hub")
-    shared = materialise(tokens.join(hubs, "h"), "similar-shared")
+    same = W.partitionBy("h")  # a window and not a join, which would make and deal the tokens twice; its buffer spills
+    shared = tokens.select("*", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("far")).where("hub < far").drop("far")
+    shared = materialise(shared, "similar-shared")
 
     prints = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     by_print = simhash.links(prints).select("u", "v").unionByName(nodes.join(prints, "fp").where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v")))

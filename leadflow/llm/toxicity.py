@@ -29,7 +29,7 @@ LANDMARKS = 24
 LANDMARK_LENGTHS = range(4, 13)
 POWER = 2  # of the normalised kernel: a power of a kernel is one, and makes less of faint likeness
 MOST_TOKENS = 40  # of a sentence; a longer one counts as several
-CACHE_TOKENS = 150_000
+CACHE_TOKENS = 80_000
 SENTENCE_END = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 NOT_LETTERS = re.compile(r"[\W_]+")
@@ -345,7 +345,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenTable(Landmarks(model.landmarks))
         for whole in batches:
-            for batch in pieces(whole, own, 2 << 20):
+            for batch in pieces(whole, own, 1 << 20):
                 texts = batch.column(own).to_pylist()
                 pooled, owner = tokens.pooled([sentences(t) for t in texts])
                 worst = np.full(len(texts), -np.inf)
