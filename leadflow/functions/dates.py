@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 ISO = r"^\d{4}-\d{2}-\d{2}(?:[ T].*)?$"
 DASHED = r"^(\d{2})-(\d{2})-(\d{4})$"
-SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:\s.*)?$"
+SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T].*)?$"
 DAY_FIRST = r"^(?:1[3-9]|[2-9]\d)/"
-EITHER_FIRST = r"^(?:0?[1-9]|1[0-2])/(?:0?[1-9]|1[0-2])/\d{4}(?:\s.*)?$"
+EITHER_FIRST = r"^(?:0?\d|1[0-2])/(?:0?\d|1[0-2])/\d{4}(?:[ T].*)?$"
 
 
 def _candidate(c: Column) -> Column:
@@ -23,7 +23,7 @@ def _candidate(c: Column) -> Column:
 
 
 def date_status(c: Column) -> Column:
-    """MISSING, VALID, INVALID, or AMBIGUOUS for a slashed date whose first two numbers could both be a month."""
+    """MISSING, VALID, INVALID, or AMBIGUOUS for a slashed date whose first two numbers are both 12 or less."""
     t = F.trim(c)
     known = t.rlike(ISO) | t.rlike(DASHED) | t.rlike(SLASHED)
     return F.when(c.isNull() | (t == ""), "MISSING").when(t.rlike(EITHER_FIRST), "AMBIGUOUS").when(known & _candidate(c).isNotNull(), "VALID").otherwise("INVALID")

@@ -63,14 +63,14 @@ def build_fuzzy_matches(models: DataFrame, catalog: DataFrame, aliases: DataFram
     """The two nearest catalogue names of each model that neither is one nor has an alias, and a decision.
 
     {modelo_interes_normalizado, top_1, top_1_score, top_2, top_2_score, margin, decision, sku}. Ties keep
-    catalogue order. AMBIGUOUS where the model is a brand or begins several names; MATCHED from `score` on
-    with a lead of `margin`; else REVIEW. The catalogue (one row a distinct name) goes to every task as one
+    catalogue order; a name that two rows share is two names, so nothing that is nearest to it has a lead. sku is that
+    of top_1, whatever the decision. AMBIGUOUS where the model is a brand or begins several names; MATCHED from `score` on
+    with a lead of `margin`; else REVIEW. The catalogue goes to every task as one
     array; its size is the catalogue's, and models are distinct.
     """
     names = catalog_names(catalog)
-    listed = names.groupBy("name").agg(F.min("sku").alias("sku"), F.min("brand").alias("brand"))
-    rest = models.join(listed.select(F.col("name").alias("model")), "model", "left_anti").join(aliases.select(F.col("alias_normalizado").alias("model")), "model", "left_anti")
-    every = listed.agg(F.array_sort(F.collect_list(F.struct("sku", "name", "brand"))).alias("cat"))
+    rest = models.join(names.select(F.col("name").alias("model")), "model", "left_anti").join(aliases.select(F.col("alias_normalizado").alias("model")), "model", "left_anti")
+    every = names.agg(F.array_sort(F.collect_list(F.struct("sku", "name", "brand"))).alias("cat"))
     pairs = rest.join(F.broadcast(every))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +94,7 @@ def build_fuzzy_matches(models: DataFrame, catalog: DataFrame, aliases: DataFram
                 lead = float(s[order[0]]) - second
                 several = sum(r[1].startswith(model + " ") for r in rows) > 1
                 what = "AMBIGUOUS" if model in brands or several else "MATCHED" if s[order[0]] >= score and lead >= margin else "REVIEW"
-                out.append((model, rows[order[0]][1], float(s[order[0]]), rows[order[1]][1] if len(order) > 1 else None, second, lead, what, rows[order[0]][0] if what == "MATCHED" else None))
+                out.append((model, rows[order[0]][1], float(s[order[0]]), rows[order[1]][1] if len(order) > 1 else None, second, lead, what, rows[order[0]][0]))
             yield pd.DataFrame(out, columns=["modelo_interes_normalizado", "top_1", "top_1_score", "top_2", "top_2_score", "margin", "decision", "sku"])
 
     found = pairs.mapInPandas(run, "modelo_interes_normalizado string, top_1 string, top_1_score double, top_2 string, top_2_score double, margin double, decision string, sku string")

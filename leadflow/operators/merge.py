@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str] | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str] | None = None, newest: str | None = None) -> DataFrame:
     """target with updates merged in: rows of a known key take update_cols (all but the keys if not given), other
-    rows stay, new keys are added. Keys compare null to null; updates must hold a key once."""
+    rows stay, new keys are added. Keys compare null to null. Of updates that repeat a key the one with the greatest
+    `newest` counts; without that column, or where it ties, a repeated key fails the job."""
     cols = update_cols if update_cols is not None else [c for c in updates.columns if c not in keys]
     t = target.withColumn("_old", F.lit(True)).alias("t")
-    u = updates.withColumn("_new", F.lit(True)).alias("u")
+    at = W.partitionBy(*keys)
+    if newest is not None:
+        updates = updates.withColumn("_turn", F.rank().over(at.orderBy(F.col(newest).desc_nulls_last()))).where("_turn = 1").drop("_turn")
+    once = F.when(F.count(F.lit(1)).over(at) == 1, True).otherwise(F.raise_error(F.lit("updates repeat a key")).cast("boolean"))
+    u = updates.withColumn("_new", once).alias("u")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}"))

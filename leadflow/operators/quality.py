@@ -58,6 +58,35 @@ def lineage_equal(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> D
     return _report(f"lineage:{','.join(columns)}", a.alias("a").join(b.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}")).where(differ))
 
 
+def store_format(leads: DataFrame) -> DataFrame:
+    """Stores that are not PV- and three digits."""
+    return _report("store_format", leads.where(~F.col("punto_venta_id").rlike("^PV-[0-9]{3}$")))
+
+
+def closed_follows_outcome(history: DataFrame) -> DataFrame:
+    """Outcomes whose is_closed is another one than theirs: true when closed, false when lost, none when not managed."""
+    o, closed = F.col("desenlace_normalizado"), F.col("is_closed")
+    wrong = ((o == "cerrado") & ~closed.eqNullSafe(F.lit(True))) | ((o == "perdido") & ~closed.eqNullSafe(F.lit(False))) | ((o == "sin gestion") & closed.isNotNull())
+    return _report("closed_follows_outcome", history.where(wrong))
+
+
+def catalogue_values_positive(catalog: DataFrame) -> DataFrame:
+    return _report("catalogue_values_positive", catalog.where("precio_lista <= 0 or unidades_disponibles < 0"))
+
+
+def capacity_not_negative(advisors: DataFrame) -> DataFrame:
+    return _report("capacity_not_negative", advisors.where("capacidad_diaria_leads < 0"))
+
+
+def known_duplicates(df: DataFrame, lead_ids: tuple[str, ...], name: str) -> DataFrame:
+    """Leads of which the source is known to hold two rows, and of which df has another number."""
+    return _report(name, df.where(F.col("lead_id").isin(*lead_ids)).groupBy("lead_id").count().where("count != 2"))
+
+
+def conversation_count_positive(features: DataFrame) -> DataFrame:
+    return _report("conversation_count_positive", features.where("conversation_count < 1"))
+
+
 def operational_validation(assignments: DataFrame, mart: DataFrame, advisors: DataFrame, date: str) -> DataFrame:
     """Violations of a day: rows missing against the mart, scores outside 0..100, leads of unknown or inactive advisors,
     advisors over capacity, and leads of another company or store than their advisor's. Row counts are no violations."""

@@ -11,12 +11,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 DAY = "'2001-09-01'"
+#: Leads that the source is known to hold twice: every 97th key takes the id of the next one.
+KNOWN_DUPLICATES = ("L000000098", "L000000195", "L000000292")
 
 LEADS = """
 SELECT lpad(cast(k AS string), 10, '0') AS raw_row_id,
   concat('L', lpad(cast(CASE WHEN k % 97 = 0 THEN k + 1 ELSE k END AS string), 9, '0')) AS lead_id,
   CASE k % 7 WHEN 0 THEN d WHEN 1 THEN concat(dd, '-', mm, '-', yy) WHEN 2 THEN concat(dd, '/', mm, '/', yy) WHEN 3 THEN concat(mm, '/', dd, '/', yy, ' 10:30')
-    WHEN 4 THEN concat(d, ' 08:15:00') WHEN 5 THEN CASE WHEN k % 5 = 0 THEN '2026-02-30' WHEN k % 5 = 1 THEN ' ' WHEN k % 5 = 2 THEN '31-04-2026' ELSE d END ELSE concat(d, 'T00:00:00Z') END AS fecha_registro,
+    WHEN 4 THEN concat(d, ' 08:15:00') WHEN 5 THEN CASE WHEN k % 5 = 0 THEN '2026-02-30' WHEN k % 5 = 1 THEN ' ' WHEN k % 5 = 2 THEN '31-04-2026' WHEN k % 5 = 3 THEN CASE WHEN k % 2 = 0 THEN '13/01/2026T10:00' ELSE '0/5/2026' END ELSE d END ELSE concat(d, 'T00:00:00Z') END AS fecha_registro,
   CASE k % 6 WHEN 0 THEN 'WhatsApp' WHEN 1 THEN ' Meta  Ads ' WHEN 2 THEN 'Formulario Web' WHEN 3 THEN 'whatsapp' WHEN 4 THEN 'Radio' END AS canal,
   CASE WHEN k % 53 = 0 THEN NULL ELSE concat('E', cast(n_regionkey AS string)) END AS empresa_id,
   concat('PV-', lpad(cast(n_nationkey AS string), 3, '0')) AS punto_venta_id,
@@ -40,7 +42,7 @@ SELECT lpad(cast(min(p_partkey) AS string), 8, '0') AS sku, p_brand AS marca, p_
   concat(cast(100 + min(p_partkey) AS string), CASE WHEN min(p_partkey) % 3 = 0 THEN '.50' WHEN min(p_partkey) % 7 = 0 THEN ',00' ELSE '' END) AS precio_lista,
   concat('PV-', lpad(cast(min(p_partkey) % 25 AS string), 3, '0'), '| PV-', lpad(cast((min(p_partkey) + 7) % 25 AS string), 3, '0'), '||PV-', lpad(cast(min(p_partkey) % 25 AS string), 3, '0')) AS puntos_venta_disponibles,
   CASE WHEN min(p_partkey) % 4 = 0 THEN 'x' ELSE cast(min(p_partkey) % 9 AS string) END AS unidades_disponibles
-FROM {part} WHERE p_partkey <= 300 GROUP BY p_brand, p_name
+FROM {part} GROUP BY p_brand, p_name
 """
 
 ADVISORS = """
@@ -72,7 +74,7 @@ FROM {conversations}
 
 CONVERSATION_HEADS = """
 SELECT concat('C', lpad(cast(conv_id AS string), 7, '0')) AS conversacion_id,
-  CASE WHEN conv_id % 11 = 0 THEN NULL WHEN conv_id % 13 = 0 THEN 'L-none' ELSE concat('L', lpad(cast(conv_id % 400 + 1 AS string), 9, '0')) END AS lead_id,
+  CASE WHEN conv_id % 11 = 0 THEN NULL WHEN conv_id % 13 = 0 THEN 'L-none' ELSE concat('L', lpad(cast(conv_id - conv_id % 3 + 1 AS string), 9, '0')) END AS lead_id,
   CASE conv_id % 3 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'Meta Ads' ELSE 'teléfono' END AS canal,
   CASE WHEN conv_id % 7 = 0 THEN '' ELSE concat('2026-0', cast(conv_id % 9 + 1 AS string), '-1', cast(conv_id % 10 AS string)) END AS fecha_inicio
 FROM (SELECT DISTINCT conv_id FROM {conversations}) AS c
@@ -96,7 +98,7 @@ SELECT lpad(cast(o_orderkey AS string), 10, '0') AS raw_row_id, CASE WHEN o_orde
 """
 
 EVENTS = """
-SELECT event_id, lpad(cast(event_id % 1500 + 1 AS string), 10, '0') AS raw_row_id, event_type, event_id % 3 <> 0 AS responded, substr(cast(ts AS string), 1, 19) AS at, user_id FROM {events}
+SELECT event_id, lpad(cast(event_id - event_id % 4 + 1 AS string), 10, '0') AS raw_row_id, event_type, event_id % 3 <> 0 AS responded, substr(cast(ts AS string), 1, 19) AS at, user_id FROM {events}
 """
 
 HELP = """

@@ -45,7 +45,7 @@ def _day(y: str, m: str, d: str) -> str:
     return f"try_cast({y} || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
 
 
-SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(\s.*)?$"
+SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})([ T].*)?$"
 
 
 def date_any(c: str) -> str:
@@ -58,7 +58,7 @@ def date_any(c: str) -> str:
 
 
 def date_status(c: str) -> str:
-    part = lambda k: f"try_cast(regexp_extract(trim({c}), '{SLASH}', {k}) AS INT) BETWEEN 1 AND 12"
+    part = lambda k: f"try_cast(regexp_extract(trim({c}), '{SLASH}', {k}) AS INT) <= 12"
     return f"CASE WHEN {blank(c)} IS NULL THEN 'MISSING' WHEN regexp_matches(trim({c}), '{SLASH}') AND {part(1)} AND {part(2)} THEN 'AMBIGUOUS' WHEN ({date_any(c)}) IS NOT NULL THEN 'VALID' ELSE 'INVALID' END"
 
 
@@ -206,6 +206,7 @@ STEPS |= {
     "store_summary": """SELECT a.empresa_id, a.punto_venta_id, count(*) AS leads, count(*) FILTER (assignment_status = 'ASSIGNED') AS assigned, count(*) FILTER (assignment_status = 'UNASSIGNED_CAPACITY') AS backlog, count(*) FILTER (temperature = 'HOT') AS hot, coalesce(max(c.cap), 0)::BIGINT AS capacity
         FROM responded_assignments a LEFT JOIN (SELECT empresa_id, punto_venta_id, sum(capacidad_diaria_leads) AS cap FROM stg_asesores WHERE activo GROUP BY 1, 2) c ON c.empresa_id = a.empresa_id AND c.punto_venta_id = a.punto_venta_id GROUP BY 1, 2""",
     "filter_options": "SELECT DISTINCT a.punto_venta_id, a.advisor_id, s.nombre AS advisor_name, m.canal_normalizado AS canal FROM responded_assignments a JOIN leads_ai_enriched m USING (raw_row_id) LEFT JOIN stg_asesores s ON s.asesor_id = a.advisor_id WHERE a.empresa_id = 'E2'",
+    "lead_detail": "SELECT a.*, m.* EXCLUDE (raw_row_id, lead_id, empresa_id, punto_venta_id, fecha_registro) FROM responded_assignments a JOIN leads_ai_enriched m USING (raw_row_id) WHERE raw_row_id = '0000000007'",
     "lead_history": "SELECT * FROM conversation_messages WHERE lead_id IN (SELECT lead_id FROM responded_assignments WHERE empresa_id = 'E1')",
     "upserted_scores": """SELECT coalesce(o.raw_row_id, n.raw_row_id) AS raw_row_id, CASE WHEN n.raw_row_id IS NOT NULL THEN n.propensity_score ELSE o.propensity_score END AS propensity_score, CASE WHEN n.raw_row_id IS NOT NULL THEN 'new' ELSE 'old' END AS model_version
         FROM (SELECT * FROM fx_scores WHERE cast(raw_row_id AS BIGINT) % 3 <> 0) o FULL JOIN (SELECT raw_row_id, 1 - propensity_score AS propensity_score FROM fx_scores WHERE cast(raw_row_id AS BIGINT) % 2 = 0) n ON n.raw_row_id = o.raw_row_id""",
@@ -213,7 +214,14 @@ STEPS |= {
     "data_checks": f"""SELECT 'not_null:raw_row_id' AS "check", (SELECT count(*) FROM stg_leads WHERE raw_row_id IS NULL) AS violations UNION ALL SELECT 'unique:lead_id', (SELECT count(*) FROM (SELECT lead_id FROM stg_leads GROUP BY 1 HAVING count(*) > 1))
         UNION ALL SELECT 'accepted_values:canal_normalizado', (SELECT count(*) FROM stg_leads WHERE canal_normalizado NOT IN ('whatsapp', 'meta_ads')) UNION ALL SELECT 'relationships:lead_id', (SELECT count(*) FROM stg_conversations WHERE lead_id IS NOT NULL AND lead_id NOT IN (SELECT lead_id FROM stg_leads))
         UNION ALL SELECT 'one_company_per_identity', (SELECT count(*) FROM (SELECT customer_identity_id FROM lead_identity_map GROUP BY 1 HAVING count(DISTINCT empresa_id) > 1)) UNION ALL SELECT 'strong_signals_transitive', 0 UNION ALL SELECT 'matched_iff_sku', (SELECT count(*) FROM lead_model_match_exact WHERE (match_status = 'MATCHED') <> (sku IS NOT NULL))
-        UNION ALL SELECT 'same_grain:raw_row_id', 0 UNION ALL SELECT 'in_range:propensity_score', (SELECT count(*) FROM fx_scores WHERE propensity_score NOT BETWEEN 0 AND 0.9) UNION ALL SELECT 'lineage:sku,precio_lista', 0""",
+        UNION ALL SELECT 'same_grain:raw_row_id', 0 UNION ALL SELECT 'in_range:propensity_score', (SELECT count(*) FROM fx_scores WHERE propensity_score NOT BETWEEN 0 AND 0.9) UNION ALL SELECT 'lineage:sku,precio_lista', 0
+        UNION ALL SELECT 'store_format', (SELECT count(*) FROM stg_leads WHERE NOT regexp_matches(punto_venta_id, '^PV-[0-9]{{3}}$')) UNION ALL SELECT 'closed_follows_outcome', (SELECT count(*) FROM stg_historico_cierres WHERE (desenlace_normalizado = 'cerrado' AND is_closed IS DISTINCT FROM true) OR (desenlace_normalizado = 'perdido' AND is_closed IS DISTINCT FROM false) OR (desenlace_normalizado = 'sin gestion' AND is_closed IS NOT NULL))
+        UNION ALL SELECT 'catalogue_values_positive', (SELECT count(*) FROM stg_catalogo_motos WHERE precio_lista <= 0 OR unidades_disponibles < 0) UNION ALL SELECT 'capacity_not_negative', (SELECT count(*) FROM stg_asesores WHERE capacidad_diaria_leads < 0)
+        UNION ALL SELECT 'source_duplicates', (SELECT count(*) FROM (SELECT lead_id FROM stg_leads WHERE lead_id IN ({', '.join(repr(x) for x in X.KNOWN_DUPLICATES)}) GROUP BY 1 HAVING count(*) <> 2)) UNION ALL SELECT 'mart_duplicates', (SELECT count(*) FROM (SELECT lead_id FROM leads_enriched WHERE lead_id IN ({', '.join(repr(x) for x in X.KNOWN_DUPLICATES)}) GROUP BY 1 HAVING count(*) <> 2))
+        UNION ALL SELECT 'lineage:customer_identity_id,empresa_id', (SELECT count(*) FROM leads_enriched m JOIN lead_identity_map i USING (raw_row_id) WHERE m.customer_identity_id IS DISTINCT FROM i.customer_identity_id OR m.empresa_id IS DISTINCT FROM i.empresa_id)
+        UNION ALL SELECT 'unique:sku,punto_venta_id', (SELECT count(*) FROM (SELECT 1 FROM catalog_availability GROUP BY sku, punto_venta_id HAVING count(*) > 1)) UNION ALL SELECT 'conversation_count_positive', (SELECT count(*) FROM lead_conversation_features WHERE conversation_count < 1)""",
+    "extraction_metrics": """SELECT count(*) AS cases, avg((a.status = 'SUCCESS')::INT) AS success_rate, 0::BIGINT AS structured_failures, coalesce(bool_and(coalesce(a.evidence_grounded, false)) FILTER (a.status = 'SUCCESS'), true) AS grounded_all, count(*) FILTER (a.status = 'SUCCESS' AND NOT coalesce(a.evidence_grounded, false)) AS grounding_failures,
+        avg(1.0) AS mean_latency_seconds, (SELECT avg(accuracy) FROM field_quality) AS macro_accuracy, (SELECT avg(accuracy_end_to_end) FROM field_quality) AS macro_accuracy_end_to_end, '{"unknown":' || count(*) FILTER (a.status <> 'SUCCESS') || '}' AS errors_by_type FROM fx_extractions a JOIN current_extractions b USING (conversation_id)""",
     "training_split": """SELECT part, count(*) AS rows, sum(label)::DOUBLE AS positives, min(fecha_registro) AS first_day, max(fecha_registro) AS last_day FROM (SELECT *, CASE WHEN fecha_registro <= (SELECT min(d) FROM (SELECT fecha_registro AS d, sum(count(*)) OVER (ORDER BY fecha_registro) AS upto FROM training GROUP BY 1)
         WHERE upto >= greatest(1, floor((SELECT count(*) FROM training) * 0.8))) THEN 'train' ELSE 'test' END AS part FROM training) GROUP BY part""",
     "training": "SELECT *, CASE desenlace_normalizado WHEN 'cerrado' THEN 1.0 ELSE 0.0 END AS label FROM stg_historico_cierres WHERE desenlace_normalizado IN ('cerrado', 'perdido')",

@@ -235,6 +235,9 @@ def data_checks(d: Domain) -> DataFrame:
         quality.not_null(d.leads, "raw_row_id"), quality.unique(d.leads, "lead_id"), quality.accepted_values(d.leads, "canal_normalizado", ["whatsapp", "meta_ads"]), quality.relationships(d.conversations, "lead_id", d.leads, "lead_id"),
         quality.one_company(d.identity), quality.signals_are_transitive(d.signals, d.identity), quality.status_matches_sku(match), quality.same_grain(d.leads, match, "raw_row_id"), quality.in_range(d.raw("SCORES"), "propensity_score", 0.0, 0.9),
         quality.lineage_equal(match.where("sku is not null"), d.catalog, "sku", ["sku", "precio_lista"]),
+        quality.store_format(d.leads), quality.closed_follows_outcome(d.history), quality.catalogue_values_positive(d.catalog), quality.capacity_not_negative(d.advisors),
+        quality.known_duplicates(d.leads, X.KNOWN_DUPLICATES, "source_duplicates"), quality.known_duplicates(d.enriched, X.KNOWN_DUPLICATES, "mart_duplicates"),
+        quality.lineage_equal(d.enriched.where("customer_identity_id is not null"), d.identity, "raw_row_id", ["customer_identity_id", "empresa_id"]), quality.unique(d.availability, "sku", "punto_venta_id"), quality.conversation_count_positive(d.features),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -250,8 +253,11 @@ def upserted_scores(d: Domain) -> DataFrame:
 
 
 DAILY = ["raw_row_id", "lead_id", "empresa_id", "priority_score", "company_priority_rank", "temperature", "advisor_id", "assignment_status", "modelo", "canal"]
+MART_EXTRA = ["has_conversation", "conversation_count", "latest_conversation_id", "conversation_intencion", "conversation_forma_pago", "conversation_cuota_inicial", "conversation_pidio_cita", "conversation_pidio_cotizacion"]
 SCORED = ["raw_row_id", "lead_id", "empresa_id", "punto_venta_id", "fecha_registro", "propensity_score", "propensity_percentile", "lead_age_hours", "conversation_component", "sla_component", "availability_component", "propensity_component", "priority_score"]
 
+DETAIL = list(dict.fromkeys(["assignment_date", *SCORED, "temperature", "global_priority_rank", "store_priority_rank", "advisor_id", "assignment_status", "responded_at", "responded_by", *MART, *MART_EXTRA]))
+
 _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "stg_leads": lambda d: d.leads,
     "stg_catalogo_motos": lambda d: _doubles(d.catalog, "precio_lista"),
@@ -289,7 +295,7 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "assignment_summary": lambda d: priority.assignment_summary(d.assignments, d.advisors),
     "available_dates": lambda d: reports.available_dates(d.assignments, reports.Scope("E1")),
     "daily_leads": lambda d: reports.daily_leads(d.responded, d.mart, DAY, reports.Scope("E1"), temperature="WARM", management_status="PENDING", search="7").select(*DAILY),
-    "lead_detail": lambda d: reports.lead_detail(d.responded, d.mart, DAY, "0000000007").drop("priority_reasons", "conversation_ids"),
+    "lead_detail": lambda d: reports.lead_detail(d.responded, d.mart, DAY, "0000000007").select(*DETAIL),
     "manager_summary": lambda d: reports.manager_summary(d.responded, d.advisors, DAY),
     "advisor_capacity": lambda d: reports.advisor_capacity(d.responded, d.advisors, DAY),
     "store_summary": lambda d: reports.store_summary(d.responded, d.advisors, DAY),

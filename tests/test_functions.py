@@ -30,6 +30,8 @@ def test_dates(spark):
     assert column(spark, values, D.date_status) == ["VALID", "VALID", "INVALID", "INVALID", "VALID", "AMBIGUOUS", "VALID", "VALID", "INVALID", "MISSING", "MISSING", "INVALID"]
     shown = [str(v) if v else None for v in column(spark, values, D.date_value)]
     assert shown == ["2026-01-05", "2026-01-05", None, None, "2026-04-30", None, "2026-01-13", "2026-01-13", None, None, None, None]
+    edges = ["13/01/2026T10:00", "0/5/2026", "13/01/2026\t10:00", "13/0/2026", "5/13/2026 x"]
+    assert column(spark, edges, D.date_status) == ["VALID", "AMBIGUOUS", "INVALID", "INVALID", "VALID"]
     assert column(spark, ["2026-01-05", "05-01-2026", "5/1/2026", "x"], D.date_format_label) == ["ISO", "DD-MM-YYYY", "SLASH", "OTHER"]
 
 

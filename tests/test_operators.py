@@ -60,6 +60,9 @@ def test_similarity_and_fuzzy(spark):
     rows = {r["modelo_interes_normalizado"]: r for r in matching.build_fuzzy_matches(models, catalog, aliases).collect()}
     assert set(rows) == {"a k t nkd 125", "akt"}
     assert rows["akt"]["decision"] == "AMBIGUOUS" and rows["a k t nkd 125"]["decision"] == "MATCHED" and rows["a k t nkd 125"]["sku"] == "1"
+    twice = catalog.unionByName(spark.createDataFrame([("0", "AKT", "NKD 125")], catalog.schema))
+    row = {r["modelo_interes_normalizado"]: r for r in matching.build_fuzzy_matches(models, twice, aliases).collect()}["a k t nkd 125"]
+    assert (row["margin"], row["decision"], row["sku"], row["top_2"]) == (0, "REVIEW", "0", "akt nkd 125")  # two rows of one name
     a, b = "a k t nkd 125", "akt nkd 125"
     assert rows[a]["top_1_score"] == round(2 * lcs(a, b) / (len(a) + len(b)), 4) == 0.9167
 
