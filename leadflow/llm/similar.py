@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
     both = left.join(sets.select(F.col("node").alias("u"), F.col("set").alias("own")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("other")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "own")):
             good = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
