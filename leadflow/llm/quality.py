@@ -165,34 +165,66 @@ def _constant(features: int, rate: float) -> Model:
     return Model(np.zeros(features), np.ones(features), np.zeros(features), np.zeros((2, 2)), 0.0, float(np.log(rate / (1 - rate))))
 
 
-def train(lines: Lines, good: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> Model:
-    """Fit on lines of labelled documents; lines carry the label of their document.
-
-    Gradient ascent (Adam) on the penalised likelihood of the label sequences, each document
-    weighing by its number of lines up to 50. One class alone gives a constant score, softened.
-    """
-    width = lines.x.shape[1]
-    if not len(good) or good.all() or not good.any():
-        return _constant(width, (good.sum() + 0.5) / (len(good) + 1) if len(good) else 0.5)
-    mean, scale = lines.x.mean(0), lines.x.std(0)
-    mean[-1], scale[scale < 1e-9] = 0, 1
-    x = (lines.x - mean) / scale
-    y = np.repeat(good.astype(float), lines.counts)
-    starts = np.cumsum(lines.counts) - lines.counts
+def line_labels(good: np.ndarray, size: np.ndarray, counts: np.ndarray, p: np.ndarray, sure: float = 0.6) -> np.ndarray:
+    """Labels of lines: their document's, but for lines that the probabilities p ("good") deny.
+
+    Of a document the surest of those change, while they take less than half of its bytes: so a document stays mostly what it is labelled."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    y = good[doc].astype(float)
+    against = np.where(y == 1, 1 - p, p)
+    order = np.lexsort((-against, doc))
+    weight = np.maximum(size, 1)
+    total = np.cumsum(weight[order])
+    starts = np.cumsum(counts) - counts
+    before = np.concatenate([[0.0], total])[starts]
+    whole = np.add.reduceat(weight, starts)
+    change = order[(against[order] > sure) & (2 * (total - before[doc]) < whole[doc])]
+    y[change] = 1 - y[change]
+    return y
+
+
+def _climb(x: np.ndarray, y: np.ndarray, counts: np.ndarray, w: np.ndarray, change: np.ndarray, ridge: float, rounds: int, chained: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent (Adam) on the penalised likelihood of the label sequences; without `chained`, lines stand alone."""
+    starts = np.cumsum(counts) - counts
     follows = np.ones(len(y), bool)
     follows[starts] = False
     i = np.flatnonzero(follows)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[i - 1].astype(int), y[i].astype(int)), 1)
-    w, change = np.zeros(width), np.zeros((2, 2))
+    width = len(w)
     m = v = np.zeros(width + 4)
     for step in range(1, rounds + 1):
-        p, expected, _ = forward_backward(x @ w, lines.counts, change)
+        if chained:
+            p, expected, _ = forward_backward(x @ w, counts, change)
+        else:
+            p, expected = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40))), seen
         g = np.concatenate([x.T @ (y - p) - ridge * w, (seen - expected - ridge * change).ravel()]) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w = w + move[:width]
         change = np.clip(change + move[width:].reshape(2, 2), -3, 3)
+    return w, change
+
+
+def train(lines: Lines, good: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> Model:
+    """Fit on lines of labelled documents. Lines have no labels of their own: they begin with their document's, and a
+    first machine that sees each line alone, then the chain, tell which lines of a document differ from it
+    (line_labels). So the chain sees changes of label and learns how likely they are.
+
+    One class alone gives a constant score, softened.
+    """
+    width = lines.x.shape[1]
+    if not len(good) or good.all() or not good.any():
+        return _constant(width, (good.sum() + 0.5) / (len(good) + 1) if len(good) else 0.5)
+    mean, scale = lines.x.mean(0), lines.x.std(0)
+    mean[-1], scale[scale < 1e-9] = 0, 1
+    x = (lines.x - mean) / scale
+    y = np.repeat(good.astype(float), lines.counts)
+    w, change = _climb(x, y, lines.counts, np.zeros(width), np.zeros((2, 2)), ridge, rounds // 2, chained=False)
+    y = line_labels(good, lines.size, lines.counts, 1 / (1 + np.exp(-np.clip(x @ w, -40, 40))))
+    w, change = _climb(x, y, lines.counts, w, change, ridge, rounds // 2)
+    y = line_labels(good, lines.size, lines.counts, forward_backward(x @ w, lines.counts, change)[0])
+    w, change = _climb(x, y, lines.counts, w, change, ridge, rounds)
     model = Model(mean, scale, w, change, 1.0, 0.0)
     q = np.column_stack([_log_odds(model.quality(lines)), np.ones(len(good))])
     curve, target = np.array([1.0, 0.0]), np.where(good, (good.sum() + 1) / (good.sum() + 2), 1 / ((~good).sum() + 2))
