@@ -239,6 +239,7 @@ STEPS |= {
     "phone_profile": f"""SELECT count(*) FILTER (n > 1) AS duplicate_groups_global, count(*) FILTER (companies > 1) AS duplicate_groups_cross_company FROM (SELECT phone, count(*) AS n, count(DISTINCT empresa_id) AS companies FROM
         (SELECT empresa_id, CASE WHEN starts_with({digits('telefono')}, '0057') AND length({digits('telefono')}) = 14 THEN substr({digits('telefono')}, 5) WHEN starts_with({digits('telefono')}, '57') AND length({digits('telefono')}) = 12 THEN substr({digits('telefono')}, 3) ELSE {digits('telefono')} END AS phone FROM fx_leads WHERE telefono IS NOT NULL) GROUP BY 1)""",
 }
+STEPS["ranking_quality_20"] = STEPS["ranking_quality"].replace("* 0.1)", "* 0.2::DOUBLE)")
 
 
 def query(name: str, final: str | None = None) -> str:

@@ -311,6 +311,7 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "training_split": training_split,
     "prediction_quality": lambda d: _rounded(evaluation.evaluate_predictions(_ranked_history(d)), "positive_rate", "roc_auc", "average_precision", "brier"),
     "ranking_quality": lambda d: evaluation.ranking_metrics(_ranked_history(d), 0.1),
+    "ranking_quality_20": lambda d: evaluation.ranking_metrics(_ranked_history(d), 0.2),
     "capacity_share": lambda d: propensity.capacity_share(d.advisors, d.leads),
     "dataset_hash": lambda d: propensity.dataset_hash(propensity.training_set(d.history)),
     "propensity_scores": propensity_scores,
