@@ -55,3 +55,10 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 2
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, a bit at a time (polynomial 0xEDB88320)."""
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    each = f"list_transform(string_split({x}, ''), lambda ch: cast(ascii(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 AS BIGINT), {each}), lambda c, b: {byte}), 4294967295)"
