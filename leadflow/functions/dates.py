@@ -15,22 +15,20 @@ EITHER_FIRST = r"^(?:0?\d|1[0-2])/(?:0?\d|1[0-2])/\d{4}(?:[ T].*)?$"
 def _candidate(c: Column) -> Column:
     """The date as written, or null where the form is unknown or the calendar has no such day."""
     t = F.trim(c)
-    iso = (
-        F.when(t.rlike(ISO), F.substring(t, 1, 10)).when(t.rlike(DASHED), F.regexp_replace(t, DASHED, "$3-$2-$1"))
-        .when(t.rlike(DAY_FIRST), F.regexp_replace(t, SLASHED, "$3-$2-$1")).otherwise(F.regexp_replace(t, SLASHED, "$3-$1-$2"))
-    )
+    slashed = F.regexp_replace(t, SLASHED, F.when(t.rlike(DAY_FIRST), "$3-$2-$1").otherwise("$3-$1-$2"))
+    iso = F.when(t.rlike(ISO), F.substring(t, 1, 10)).when(t.rlike(DASHED), F.regexp_replace(t, DASHED, "$3-$2-$1")).when(t.rlike(SLASHED), slashed)
     return F.try_to_date(iso, "yyyy-M-d")
 
 
 def date_status(c: Column) -> Column:
     """MISSING, VALID, INVALID, or AMBIGUOUS for a slashed date whose first two numbers are both 12 or less."""
     t = F.trim(c)
-    known = t.rlike(ISO) | t.rlike(DASHED) | t.rlike(SLASHED)
-    return F.when(c.isNull() | (t == ""), "MISSING").when(t.rlike(EITHER_FIRST), "AMBIGUOUS").when(known & _candidate(c).isNotNull(), "VALID").otherwise("INVALID")
+    return F.when(c.isNull() | (t == ""), "MISSING").when(t.rlike(EITHER_FIRST), "AMBIGUOUS").when(_candidate(c).isNotNull(), "VALID").otherwise("INVALID")
 
 
 def date_value(c: Column) -> Column:
-    return F.when(date_status(c) == "VALID", _candidate(c))
+    """The date where its status is VALID."""
+    return F.when(~F.trim(c).rlike(EITHER_FIRST), _candidate(c))
 
 
 def date_format_label(c: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Fixed values of the data contract.
 FOLDED_FROM, FOLDED_TO = "ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun"
@@ -33,11 +33,8 @@ ERROR_RULES = (
 
 
 def _mapped(value: Column, table: dict) -> Column:
-    """value looked up in a small fixed table; null where it isn't there."""
-    out = None
-    for key, to in table.items():
-        out = (F if out is None else out).when(value == key, F.lit(to))
-    return out
+    """value looked up in a small fixed table (a literal map, so value is computed once); null where it isn't there."""
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[value]
 
 
 def normalize_text(c: Column) -> Column:
@@ -133,6 +130,32 @@ def strip_nul(c: Column) -> Column:
     return F.replace(c, F.lit("\u0000"), F.lit(""))
 
 
+def without_nul(df: DataFrame) -> DataFrame:
+    """df without NUL characters in any text, however deep in structs, arrays and values of maps; keys, names and other types stay."""
+
+    def clean(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, StringType):
+            return strip_nul(c)
+        if isinstance(kind, ArrayType) and holds_text(kind):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, MapType) and holds_text(kind.valueType):
+            return F.transform_values(c, lambda _, v: clean(v, kind.valueType))
+        if isinstance(kind, StructType) and holds_text(kind):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    def holds_text(kind: DataType) -> bool:
+        if isinstance(kind, ArrayType):
+            return holds_text(kind.elementType)
+        if isinstance(kind, MapType):
+            return holds_text(kind.valueType)
+        if isinstance(kind, StructType):
+            return any(holds_text(f.dataType) for f in kind.fields)
+        return isinstance(kind, StringType)
+
+    return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def parse_amount(c: Column) -> Column:
     """Money in a text, or null: needs a money word or sign, or to be one grouped number.
 

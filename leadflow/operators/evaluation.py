@@ -32,24 +32,28 @@ def _compared(results: DataFrame) -> DataFrame:
     tests |= {f: F.col(f"expected.{f}").eqNullSafe(F.col(f"actual.{f}")) for f in (*TEXT_FIELDS, *FLAG_FIELDS)}
     ok = F.col("status") == "ok"
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), t.alias("correct")) for f, t in tests.items()]))
-    return df.select(ok.alias("ok"), each.alias("x")).select("ok", "x.field", (F.col("x.correct") & F.col("ok")).alias("correct"))
+    return df.select(ok.alias("ok"), F.col("actual").isNotNull().alias("told"), each.alias("x")).select("ok", "x.field", (F.col("x.correct") & F.col("told")).alias("correct"))
 
 
 def field_metrics(results: DataFrame) -> DataFrame:
-    """By field: correct and labelled among successes, and accuracy there and over all cases (a failure is wrong)."""
-    n_ok, right = F.count_if("ok"), F.count_if("correct")
-    return _compared(results).groupBy("field").agg(right.alias("correct"), n_ok.alias("labeled"), (right / F.when(n_ok > 0, n_ok)).alias("accuracy"), (right / F.count("*")).alias("accuracy_end_to_end"))
+    """By field: correct and labelled among successes, and accuracy there and over all cases (a case without an answer is wrong)."""
+    n_ok, right = F.count_if("ok"), F.count_if(F.col("correct") & F.col("ok"))
+    return _compared(results).groupBy("field").agg(right.alias("correct"), n_ok.alias("labeled"), (right / F.when(n_ok > 0, n_ok)).alias("accuracy"), (F.count_if("correct") / F.count("*")).alias("accuracy_end_to_end"))
 
 
 def extraction_metrics(results: DataFrame) -> DataFrame:
-    """One row: cases, success rate, mean field accuracy on successes and end to end, grounding, latency, and errors by type."""
+    """One row: cases, success rate, mean field accuracy on successes and end to end, grounding, latency, and errors by type.
+
+    Latency and grounded_all are of successes, and null without one; a failed grounding counts wherever it is recorded as
+    failed (null is none); errors_by_type has the recorded types only."""
     macro = field_metrics(results).agg(F.avg("accuracy").alias("macro_accuracy"), F.avg("accuracy_end_to_end").alias("macro_accuracy_end_to_end"))
     ok = F.col("status") == "ok"
-    errors = results.where(~ok).groupBy(F.coalesce("error_type", F.lit("unknown")).alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("errors_by_type"))
+    kinds = results.where("error_type != ''").groupBy(F.col("error_type").alias("k")).agg(F.count("*").alias("n"))  # a row a type
+    errors = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("errors_by_type"))
     whole = results.agg(
         F.count("*").alias("cases"), F.avg(ok.cast("double")).alias("success_rate"), F.count_if(F.coalesce(F.col("error_type") == "structured_output_invalid", F.lit(False))).alias("structured_failures"),
-        F.coalesce(F.bool_and(F.when(ok, F.coalesce("evidence_grounded", F.lit(False)))), F.lit(True)).alias("grounded_all"),
-        F.count_if(ok & ~F.coalesce("evidence_grounded", F.lit(False))).alias("grounding_failures"), F.avg("latency_seconds").alias("mean_latency_seconds"),
+        F.bool_and(F.when(ok, F.coalesce("evidence_grounded", F.lit(False)))).alias("grounded_all"),
+        F.count_if(F.col("evidence_grounded") == F.lit(False)).alias("grounding_failures"), F.avg(F.when(ok, F.col("latency_seconds"))).alias("mean_latency_seconds"),
     )
     return whole.join(F.broadcast(macro)).join(F.broadcast(errors))
 
@@ -93,8 +97,10 @@ def ranking_metrics(df: DataFrame, fraction: float, label: str = "label", score:
     n = df.agg(F.count("*").alias("rows"), F.sum(label).alias("pos")).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("rows") * F.lit(fraction))).cast("long"))
     out = None
     for name, order in (("model", [F.col(score).desc(), F.col(key).asc()]), ("fifo", [F.col(fifo).asc_nulls_last(), F.col(key).asc()])):
-        ranked = global_rank(df, [], order, "_rank").join(F.broadcast(n))
+        slim = df.select(key, score if name == "model" else fifo, label)
+        ranked = global_rank(slim, [], order, "_rank").join(F.broadcast(n))
         part = ranked.where("_rank <= k").agg(F.max("k").alias("k"), F.sum(label).alias("hits"), F.max("rows").alias("rows"), F.max("pos").alias("pos"))
-        part = part.select(F.lit(name).alias("ranking"), "k", (F.col("hits") / F.col("k")).alias("precision"), (F.col("hits") / F.when(F.col("pos") > 0, F.col("pos"))).alias("recall"), (F.col("hits") / F.col("k") / F.when(F.col("pos") > 0, F.col("pos") / F.col("rows"))).alias("lift"))
+        precision = F.col("hits") / F.least("k", "rows")  # k may be more than there are
+        part = part.select(F.lit(name).alias("ranking"), "k", precision.alias("precision"), F.when(F.col("pos") > 0, F.col("hits") / F.col("pos")).otherwise(0.0).alias("recall"), (precision / F.when(F.col("pos") > 0, F.col("pos") / F.col("rows"))).alias("lift"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadflow.functions.text import normalize_model
+from leadflow.operators.similarity import nearest
+from leadflow.plans.session import materialise
 
 SCORE, MARGIN = 0.90, 0.10
 
@@ -26,19 +23,22 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
     return named.where("name != ''")
 
 
+def beginnings(names: DataFrame) -> DataFrame:
+    """{sku, start}: the proper whole-word beginnings of names, so that looking for one is an equality join."""
+    words = names.select("sku", F.split("name", " ").alias("w")).where(F.size("w") > 1)
+    return words.select("sku", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", F.lit(1), k), " "))).alias("start"))
+
+
 def build_aliases(models: DataFrame, catalog: DataFrame) -> DataFrame:
     """models {model}, catalogue -> {alias_normalizado, sku} of names that are not catalogue names themselves.
 
-    In order: the catalogue's name without a trailing ` 2026`; a line that exactly one sku has; a name of
+    In order: the catalogue's name without a trailing ` 2026` (of rows that share it the last in catalogue order); a line that exactly one sku has; a name of
     which the model is a whole-word beginning, if exactly one catalogue row has it.
     """
     names = catalog_names(catalog)
-    exact = names.groupBy("name").agg(F.min("sku").alias("exact_sku"))
+    exact = names.groupBy("name").agg(F.max("sku").alias("exact_sku"))
     lines = names.groupBy("line").agg(F.count("*").alias("n"), F.min("sku").alias("line_sku")).where("n = 1 and line != ''").select("line", "line_sku")
-    # a name's proper beginnings, as keys: the prefix rule becomes an equality join
-    starts = names.select("sku", F.split("name", " ").alias("w")).where(F.size("w") > 1)
-    starts = starts.select("sku", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_join(F.slice("w", F.lit(1), k), " "))).alias("start"))
-    starts = starts.groupBy("start").agg(F.count("*").alias("n"), F.min("sku").alias("start_sku")).where("n = 1").select("start", "start_sku")
+    starts = beginnings(names).groupBy("start").agg(F.count("*").alias("n"), F.min("sku").alias("start_sku")).where("n = 1").select("start", "start_sku")
     m = models.withColumn("bare", F.regexp_replace("model", " 2026$", ""))
     out = (
         m.join(exact.withColumnsRenamed({"name": "model"}).select("model", F.lit(True).alias("named")), "model", "left")
@@ -49,56 +49,26 @@ def build_aliases(models: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.where("named is null").select(F.col("model").alias("alias_normalizado"), F.coalesce("exact_sku", "line_sku", "start_sku").alias("sku")).where("sku is not null")
 
 
-def lcs_ratio(a: str, others: list[str], codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """2 * LCS / (len + len) of one string with many, a row of dynamic programming at a time for all of them."""
-    best = np.zeros((len(others), codes.shape[1] + 1), np.int16)
-    for c in a:
-        step = np.maximum(best[:, 1:], best[:, :-1] + (codes == ord(c)))
-        best[:, 1:] = np.maximum.accumulate(step, axis=1)
-    total = lengths + len(a)
-    return np.where(total > 0, 2 * best[:, -1] / np.maximum(total, 1), 0.0)
-
-
 def build_fuzzy_matches(models: DataFrame, catalog: DataFrame, aliases: DataFrame, score: float = SCORE, margin: float = MARGIN) -> DataFrame:
     """The two nearest catalogue names of each model that neither is one nor has an alias, and a decision.
 
     {modelo_interes_normalizado, top_1, top_1_score, top_2, top_2_score, margin, decision, sku}. Ties keep
     catalogue order; a name that two rows share is two names, so nothing that is nearest to it has a lead. sku is that
     of top_1, whatever the decision. AMBIGUOUS where the model is a brand or begins several names; MATCHED from `score` on
-    with a lead of `margin`; else REVIEW. The catalogue goes to every task as one
-    array; its size is the catalogue's, and models are distinct.
+    with a lead of `margin`; else REVIEW. Without a second name its score is 0. Nearest names come from
+    similarity.nearest: every pair that could be among them is compared, the others are ruled out by bounds.
     """
-    names = catalog_names(catalog)
+    names = materialise(catalog_names(catalog), "catalogue-names")
     rest = models.join(names.select(F.col("name").alias("model")), "model", "left_anti").join(aliases.select(F.col("alias_normalizado").alias("model")), "model", "left_anti")
-    every = names.agg(F.array_sort(F.collect_list(F.struct("sku", "name", "brand"))).alias("cat"))
-    pairs = rest.join(F.broadcast(every))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = None
-        for pdf in batches:
-            out = []
-            for model, cat in zip(pdf["model"], pdf["cat"]):
-                if known is None:
-                    rows = [(c["sku"], c["name"], c["brand"]) for c in cat]
-                    wide = max((len(r[1]) for r in rows), default=0)
-                    codes = np.zeros((len(rows), wide), np.int32)
-                    for i, r in enumerate(rows):
-                        codes[i, : len(r[1])] = [ord(c) for c in r[1]]
-                    known = rows, codes, np.array([len(r[1]) for r in rows]), {r[2] for r in rows}
-                rows, codes, lengths, brands = known
-                if not rows:
-                    continue
-                s = lcs_ratio(model, [r[1] for r in rows], codes, lengths)
-                order = np.lexsort((np.arange(len(s)), -s))[:2]
-                second = float(s[order[1]]) if len(order) > 1 else 0.0
-                lead = float(s[order[0]]) - second
-                several = sum(r[1].startswith(model + " ") for r in rows) > 1
-                what = "AMBIGUOUS" if model in brands or several else "MATCHED" if s[order[0]] >= score and lead >= margin else "REVIEW"
-                out.append((model, rows[order[0]][1], float(s[order[0]]), rows[order[1]][1] if len(order) > 1 else None, second, lead, what, rows[order[0]][0]))
-            yield pd.DataFrame(out, columns=["modelo_interes_normalizado", "top_1", "top_1_score", "top_2", "top_2_score", "margin", "decision", "sku"])
-
-    found = pairs.mapInPandas(run, "modelo_interes_normalizado string, top_1 string, top_1_score double, top_2 string, top_2_score double, margin double, decision string, sku string")
-    return found.withColumns({c: F.round(c, 4) for c in ("top_1_score", "top_2_score", "margin")})
+    found = nearest(rest.select(F.col("model").alias("key")), names.select(F.col("sku").alias("id"), "name"), 2)
+    at = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    two = found.groupBy("key").agg(at(1, "name").alias("top_1"), at(1, "score").alias("s1"), at(2, "name").alias("top_2"), F.coalesce(at(2, "score"), F.lit(0.0)).alias("s2"), at(1, "id").alias("sku"))
+    brands = names.select(F.col("brand").alias("key")).distinct().withColumn("is_brand", F.lit(True))
+    begins = beginnings(names).groupBy(F.col("start").alias("key")).agg(F.count(F.lit(1)).alias("begins"))
+    told = two.join(brands, "key", "left").join(begins, "key", "left").withColumn("lead", F.col("s1") - F.col("s2"))
+    unclear = F.coalesce("is_brand", F.lit(False)) | (F.coalesce("begins", F.lit(0)) > 1)
+    decision = F.when(unclear, "AMBIGUOUS").when((F.col("s1") >= score) & (F.col("lead") >= margin), "MATCHED").otherwise("REVIEW")
+    return told.select(F.col("key").alias("modelo_interes_normalizado"), "top_1", F.round("s1", 4).alias("top_1_score"), "top_2", F.round("s2", 4).alias("top_2_score"), F.round("lead", 4).alias("margin"), decision.alias("decision"), "sku")
 
 
 def catalog_availability(catalog: DataFrame) -> DataFrame:
@@ -121,7 +91,7 @@ def lead_model_match(leads: DataFrame, catalog: DataFrame, aliases: DataFrame, f
     attributes = catalog.select("sku", "modelo_canonico", "marca_normalizada", "linea_normalizada", "precio_lista")
     there = availability.withColumn("there", F.lit(True))
     status = F.when(F.col(model).isNull(), "MISSING").when(F.col("sku").isNotNull(), "MATCHED").otherwise(F.coalesce("decision", F.lit("UNMATCHED")))
-    method = F.when(F.col("exact_sku").isNotNull(), "normalized_exact").when(F.col("alias_sku").isNotNull(), "alias").when(F.col("near_sku").isNotNull(), "fuzzy").otherwise("none")
+    method = F.when(F.col("exact_sku").isNotNull(), "normalized_exact").when(F.col("alias_sku").isNotNull(), "alias").when(F.col("decision").isNotNull(), "fuzzy").otherwise("none")
     score = F.when(F.col("exact_sku").isNotNull() | F.col("alias_sku").isNotNull(), 1.0).otherwise(F.col("near_score"))
     return (
         found.join(attributes, "sku", "left").join(there, ["sku", "punto_venta_id"], "left")

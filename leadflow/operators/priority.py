@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadflow.operators.ranking import global_rank
+from leadflow.operators.ranking import group_rank
+from leadflow.plans.session import materialise
 
 # Fixed values of the contract: points of an intent, and the reason that goes with each number of points.
 INTENT_POINTS = {"alta": 15, "media": 8, "baja": 2}
@@ -59,10 +59,10 @@ def age_hours(date: Column, now: Column) -> Column:
 
 def propensity_percentile(df: DataFrame) -> DataFrame:
     """df with propensity_percentile: place / (n - 1) by (score, raw_row_id); null scores have none and don't count."""
-    scored = global_rank(df.where("propensity_score is not null"), [F.col("propensity_score").asc()], [F.col("raw_row_id").asc()], "_rank")
-    n = scored.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_n"))
-    ranked = scored.join(F.broadcast(n)).withColumn("propensity_percentile", (F.col("_rank") - 1) / F.col("_n")).drop("_rank", "_n")
-    return ranked.unionByName(df.where("propensity_score is null").withColumn("propensity_percentile", F.lit(None).cast("double")))
+    scored = df.where("propensity_score is not null").select("raw_row_id", "propensity_score")
+    ranked = group_rank(scored, [], [F.col("propensity_score").asc(), F.col("raw_row_id").asc()], "_rank", size="_n")
+    share = ranked.select("raw_row_id", ((F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).alias("propensity_percentile"))
+    return df.join(share, "raw_row_id", "left")
 
 
 def score_leads(df: DataFrame, scoring_timestamp: str) -> DataFrame:
@@ -87,33 +87,43 @@ def queue_order() -> list[Column]:
     return [F.col("priority_score").desc(), F.col("fecha_registro").asc_nulls_last(), F.col("raw_row_id").asc()]
 
 
-def _store_order() -> W:
-    return W.partitionBy("empresa_id", "punto_venta_id").orderBy(*queue_order())
+STORE = ["empresa_id", "punto_venta_id"]
+
+
+def store_ranks(df: DataFrame) -> DataFrame:
+    """{raw_row_id, store_priority_rank}: places within each store in queue order; a store may span many tasks."""
+    slim = df.select("raw_row_id", "priority_score", "fecha_registro", *STORE)
+    return group_rank(slim, [F.col(c) for c in STORE], queue_order(), "store_priority_rank").select("raw_row_id", "store_priority_rank")
 
 
 def add_ranks(df: DataFrame) -> DataFrame:
-    """Ranks over all leads and within each store, in queue order."""
-    out = global_rank(df, [], queue_order(), "global_priority_rank")
-    return out.withColumn("store_priority_rank", F.row_number().over(_store_order()).cast("long"))
+    """Ranks over all leads and within each store, in queue order. [raw_row_id]"""
+    df = materialise(df, "to-rank")  # ranked twice, then joined
+    everywhere = group_rank(df.select("raw_row_id", "priority_score", "fecha_registro"), [], queue_order(), "global_priority_rank")
+    return df.join(everywhere.select("raw_row_id", "global_priority_rank"), "raw_row_id").join(store_ranks(df), "raw_row_id")
 
 
 def assign_leads(df: DataFrame, advisors: DataFrame) -> DataFrame:
     """df with advisor_id and assignment_status, every lead in queue order going to the eligible advisor with
-    the lowest share of capacity taken, then fewest leads, then smallest id.
+    the lowest share of capacity taken, then fewest leads, then smallest id. [raw_row_id]
 
     An advisor's k-th place is taken at share k / capacity, which only grows, so the whole sequence of a
     store's places is their order by (k / capacity, k, id): lead number n gets place number n. Companies
-    and stores match null to null. Places beyond the number of a store's leads are not made.
+    and stores match null to null. Places beyond the number of a store's leads are not made. Leads that
+    have their store_priority_rank keep it.
     """
-    key = ["empresa_id", "punto_venta_id"]
-    packed = [F.coalesce(c, F.lit("\u0000")).alias(f"_{c}") for c in key]
-    leads = df.select("*", *packed).withColumn("_no", F.row_number().over(_store_order()))
+    packed = [F.coalesce(c, F.lit("\u0000")).alias(f"_{c}") for c in STORE]
+    ranked = df if "store_priority_rank" in df.columns else df.join(store_ranks(df), "raw_row_id")
+    leads = ranked.select("*", F.col("store_priority_rank").alias("_no"), *packed)
+    if ranked is not df:
+        leads = leads.drop("store_priority_rank")
     size = leads.groupBy("_empresa_id", "_punto_venta_id").agg(F.count("*").alias("_leads"))
     active = advisors.where("activo").select("asesor_id", F.coalesce("capacidad_diaria_leads", F.lit(0)).alias("_cap"), *packed)
     room = active.join(size, ["_empresa_id", "_punto_venta_id"]).where("_cap > 0")
     slots = room.withColumn("_k", F.explode(F.sequence(F.lit(0), F.least("_cap", "_leads").cast("int") - 1)))
-    order = W.partitionBy("_empresa_id", "_punto_venta_id").orderBy(F.col("_k") / F.col("_cap"), "_k", "asesor_id")
-    slots = slots.withColumn("_no", F.row_number().over(order)).select("_empresa_id", "_punto_venta_id", "_no", F.col("asesor_id").alias("advisor_id"))
+    places = slots.select("_empresa_id", "_punto_venta_id", "asesor_id", (F.col("_k") / F.col("_cap")).alias("_share"), "_k")
+    order = [F.col("_share"), F.col("_k"), F.col("asesor_id")]
+    slots = group_rank(places, [F.col("_empresa_id"), F.col("_punto_venta_id")], order, "_no").select("_empresa_id", "_punto_venta_id", "_no", F.col("asesor_id").alias("advisor_id"))
     some = active.select("_empresa_id", "_punto_venta_id").distinct().withColumn("_any", F.lit(True))
     out = leads.join(slots, ["_empresa_id", "_punto_venta_id", "_no"], "left").join(some, ["_empresa_id", "_punto_venta_id"], "left")
     status = F.when(F.col("advisor_id").isNotNull(), "ASSIGNED").when(F.col("_any"), "UNASSIGNED_CAPACITY").otherwise("NO_ELIGIBLE_ADVISOR")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leadflow.operators.ranking import exact_percentile, group_rank
+from leadflow.plans.session import materialise
+
 CATEGORIES = ("empresa_id", "punto_venta_id", "canal_normalizado", "modelo_feature")
 FLAGS = ("manifesto_cuota_inicial", "pidio_cita")
 PRICE = "precio_lista"
@@ -113,8 +116,8 @@ def build_pipeline(n_train: int) -> Pipeline:
 def fit_propensity(train: DataFrame) -> PropensityModel:
     """Fit on rows with label. Price takes the median, flags the most frequent value (false in a tie)."""
     check_contract(train.columns)
-    row = train.agg(F.count("*").alias("n"), F.percentile(PRICE, F.lit(0.5)).alias("price"), *[F.avg(F.col(f).cast("double")).alias(f) for f in FLAGS]).first()
-    price, modes = float(row["price"] or 0.0), {f: (row[f] or 0.0) > 0.5 for f in FLAGS}
+    row = train.agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f) for f in FLAGS]).first()
+    price, modes = float(exact_percentile(train, PRICE, 0.5) or 0.0), {f: (row[f] or 0.0) > 0.5 for f in FLAGS}
     ready = _prepared(train, price, modes)
     pipeline = build_pipeline(row["n"]).fit(ready)
     levels = [PRICE, *[f"{c}={v}" for c, vs in zip(CATEGORIES, pipeline.stages[0].labelsArray) for v in vs], *FLAGS]
@@ -130,17 +133,32 @@ def score_serving(model: PropensityModel, serving: DataFrame, model_version: str
 
 
 def coefficient_report(spark, model: PropensityModel) -> DataFrame:
-    """{feature, coefficient, direction}, the strongest first."""
+    """{feature, coefficient, abs_coefficient, direction}, the strongest first; zero counts as positive."""
     values = model.pipeline.stages[-1].coefficients.toArray().tolist()
-    rows = [(n, float(v), "up" if v > 0 else "down" if v < 0 else "none") for n, v in zip(model.levels, values)]
-    return spark.createDataFrame(rows, "feature string, coefficient double, direction string").orderBy(F.abs("coefficient").desc(), "feature")
-
-
-def dataset_hash(df: DataFrame) -> DataFrame:
-    """One row {rows, dataset_hash}: a fingerprint that does not depend on the order of rows."""
-    each = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    parts = [F.sum(F.conv(F.substring(each, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")) for k in range(5)]
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *[p.cast("string") for p in parts]), 256).alias("dataset_hash"))
+    rows = [(n, float(v), abs(float(v)), "positive" if v >= 0 else "negative") for n, v in zip(model.levels, values)]
+    return spark.createDataFrame(rows, "feature string, coefficient double, abs_coefficient double, direction string").orderBy(F.col("abs_coefficient").desc(), "feature")
+
+
+FINGERPRINT_RUN = 1024
+
+
+def dataset_hash(df: DataFrame, key: str = "raw_row_id") -> DataFrame:
+    """One row {rows, dataset_hash}: a fingerprint of the rows in the order of `key`.
+
+    A row is hashed as `bytes:value` of each column (`-` for a null) in the order of their names; runs of FINGERPRINT_RUN rows are
+    hashed together, then runs of those, until one hash is left. Rows that share a key follow their hashes, so the
+    order in which they are read does not count; rows that change places by key do. No rows: the hash of nothing.
+    """
+    value = lambda c: F.col(f"`{c}`").cast("string")
+    text = F.concat(*[F.coalesce(F.concat(F.octet_length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("-")) for c in sorted(df.columns)])
+    nodes = group_rank(df.select(F.col(f"`{key}`").alias("k"), F.sha2(text.cast("binary"), 256).alias("h")), [], [F.col("k"), F.col("h")], "i")
+    nodes = nodes.select((F.col("i") - 1).alias("i"), "h")
+    rows = left = nodes.count()
+    while left > 1:
+        run = F.array_sort(F.collect_list(F.struct("i", "h")))  # FINGERPRINT_RUN rows
+        nodes = materialise(nodes.groupBy(F.floor(F.col("i") / FINGERPRINT_RUN).alias("j")).agg(run.alias("r")).select(F.col("j").alias("i"), F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "").cast("binary"), 256).alias("h")), "fingerprint")
+        left = -(-left // FINGERPRINT_RUN)
+    return nodes.agg(F.lit(rows).cast("long").alias("rows"), F.coalesce(F.max("h"), F.sha2(F.lit("").cast("binary"), 256)).alias("dataset_hash"))
 
 
 def capacity_share(advisors: DataFrame, mart: DataFrame) -> DataFrame:

@@ -40,3 +40,16 @@ def group_rank(df: DataFrame, group: list[Column], order: list[Column], name: st
 def global_rank(df: DataFrame, bucket: list[Column], order: list[Column], name: str = "rank", buckets: int | None = None) -> DataFrame:
     """df with `name`: row_number over all rows in (bucket, order); see group_rank."""
     return group_rank(df, [], [*bucket, *order], name, count=buckets)
+
+
+def exact_percentile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact percentile of a column, between its neighbours as Spark's percentile does; null without values.
+
+    Values are ranked in ranges and the two that matter are looked up, so no task holds all of them."""
+    ranked = group_rank(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), [], [F.col("v")], "r", size="n")
+    at = (F.col("n") - 1) * F.lit(float(q)) + 1
+    near = ranked.where((F.col("r") == F.floor(at)) | (F.col("r") == F.ceil(at))).select("r", "v", at.alias("at")).collect()  # two rows at most
+    if not near:
+        return None
+    low, high = min(near, key=lambda r: r["r"]), max(near, key=lambda r: r["r"])
+    return low["v"] + (high["v"] - low["v"]) * (low["at"] - low["r"])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leadflow.operators.ranking import group_rank
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -38,8 +39,9 @@ def daily_leads(assignments: DataFrame, mart: DataFrame, date: str, scope: Scope
     phone or model, whatever its case; advisor_id counts for managers only."""
     more = mart.select("raw_row_id", "nombre_cliente", "telefono_raw", "email_raw", "canal_normalizado", "fecha_registro", F.coalesce("modelo_canonico", "modelo_interes_normalizado").alias("modelo"), "is_available_at_store")
     day = _day(assignments, date, scope).drop("fecha_registro", "is_available_at_store").join(more, "raw_row_id")
-    rank = W.partitionBy("empresa_id").orderBy(F.col("priority_score").desc(), F.col("fecha_registro").asc_nulls_last(), "raw_row_id")
-    day = day.withColumn("company_priority_rank", F.row_number().over(rank).cast("long"))
+    order = [F.col("priority_score").desc(), F.col("fecha_registro").asc_nulls_last(), F.col("raw_row_id").asc()]
+    ranked = group_rank(day.select("raw_row_id", "empresa_id", "priority_score", "fecha_registro"), [F.col("empresa_id")], order, "company_priority_rank")
+    day = day.join(ranked.select("raw_row_id", "company_priority_rank"), "raw_row_id")
     wanted = {"temperature": temperature, "assignment_status": assignment_status, "canal_normalizado": canal, "punto_venta_id": punto_venta_id, "advisor_id": advisor_id if scope.advisor_id is None else None}
     for column, value in wanted.items():
         if value is not None:

@@ -9,10 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DAY = "'2001-09-01'"
 #: Leads that the source is known to hold twice: every 97th key takes the id of the next one.
 KNOWN_DUPLICATES = ("L000000098", "L000000195", "L000000292")
+KNOWN_LEAD = "L000000151"
 
 LEADS = """
 SELECT lpad(cast(k AS string), 10, '0') AS raw_row_id,
@@ -32,17 +34,17 @@ SELECT lpad(cast(k AS string), 10, '0') AS raw_row_id,
   CASE WHEN k % 10 < 3 THEN ' Campaña ' END AS campania
 FROM (SELECT o_orderkey AS k, c_custkey AS c, n_regionkey, n_nationkey, c_name, p_brand, p_name, substr(cast(o_orderdate AS string), 1, 10) AS d,
     substr(cast(o_orderdate AS string), 1, 4) AS yy, substr(cast(o_orderdate AS string), 6, 2) AS mm, substr(cast(o_orderdate AS string), 9, 2) AS dd
-  FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {part} ON p_partkey = o_orderkey % 2000 + 1) AS b
+  FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey CROSS JOIN (SELECT count(*) AS parts FROM {part}) AS pc LEFT JOIN {part} ON p_partkey = o_orderkey % parts) AS b
 """
 
+#: Every 40th entry is there twice, in other letters.
 CATALOG = """
-SELECT lpad(cast(min(p_partkey) AS string), 8, '0') AS sku, p_brand AS marca, p_name AS linea,
-  CASE WHEN min(p_partkey) % 5 = 0 THEN ' 125 ' WHEN min(p_partkey) % 5 = 1 THEN '125cc' WHEN min(p_partkey) % 5 = 2 THEN '' ELSE '200' END AS cilindraje,
-  CASE WHEN min(p_partkey) % 2 = 0 THEN ' Scooter' ELSE 'Económica' END AS segmento,
-  concat(cast(100 + min(p_partkey) AS string), CASE WHEN min(p_partkey) % 3 = 0 THEN '.50' WHEN min(p_partkey) % 7 = 0 THEN ',00' ELSE '' END) AS precio_lista,
-  concat('PV-', lpad(cast(min(p_partkey) % 25 AS string), 3, '0'), '| PV-', lpad(cast((min(p_partkey) + 7) % 25 AS string), 3, '0'), '||PV-', lpad(cast(min(p_partkey) % 25 AS string), 3, '0')) AS puntos_venta_disponibles,
-  CASE WHEN min(p_partkey) % 4 = 0 THEN 'x' ELSE cast(min(p_partkey) % 9 AS string) END AS unidades_disponibles
-FROM {part} GROUP BY p_brand, p_name
+SELECT sku, marca, linea, CASE WHEN k % 5 = 0 THEN ' 125 ' WHEN k % 5 = 1 THEN '125cc' WHEN k % 5 = 2 THEN '' ELSE '200' END AS cilindraje, CASE WHEN k % 2 = 0 THEN ' Scooter' ELSE 'Económica' END AS segmento,
+  concat(cast(100 + k AS string), CASE WHEN k % 3 = 0 THEN '.50' WHEN k % 7 = 0 THEN ',00' ELSE '' END) AS precio_lista,
+  concat('PV-', lpad(cast(k % 25 AS string), 3, '0'), '| PV-', lpad(cast((k + 7) % 25 AS string), 3, '0'), '||PV-', lpad(cast(k % 25 AS string), 3, '0')) AS puntos_venta_disponibles,
+  CASE WHEN k % 4 = 0 THEN 'x' ELSE cast(k % 9 AS string) END AS unidades_disponibles
+FROM (SELECT lpad(cast(min(p_partkey) AS string), 8, '0') AS sku, p_brand AS marca, p_name AS linea, min(p_partkey) AS k FROM {part} GROUP BY p_brand, p_name
+  UNION ALL SELECT concat('9', lpad(cast(min(p_partkey) AS string), 7, '0')), upper(p_brand), replace(p_name, ' ', '-'), min(p_partkey) + 1 FROM {part} GROUP BY p_brand, p_name HAVING min(p_partkey) % 40 = 0) AS c
 """
 
 ADVISORS = """
@@ -89,10 +91,20 @@ SELECT concat('X', cast(conv_id AS string), '-', cast(a AS string)) AS extractio
   CASE (conv_id + a) % 3 WHEN 0 THEN 'credito' WHEN 1 THEN 'contado' ELSE 'no_informa' END AS forma_pago, CASE (conv_id + a) % 4 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' WHEN 2 THEN 'baja' ELSE 'indeterminada' END AS intencion,
   CASE WHEN conv_id % 3 = 0 THEN 'precio' WHEN conv_id % 3 = 1 THEN 'tiempo' END AS objecion_principal, (conv_id + a) % 2 = 0 AS pidio_cita, CASE WHEN conv_id % 6 = 5 THEN NULL ELSE (conv_id + a) % 3 = 0 END AS pidio_cotizacion,
   CASE WHEN conv_id % 8 = 7 THEN NULL ELSE (conv_id + a) % 5 <> 0 END AS evidence_grounded, CASE WHEN (conv_id + a) % 6 = 0 THEN NULL ELSE concat('2026-03-0', cast((conv_id + a) % 3 + 1 AS string)) END AS processed_at,
-  CASE WHEN a = 0 THEN NULL ELSE concat('2026-04-0', cast(conv_id % 2 + 1 AS string)) END AS updated_at
+  CASE WHEN a = 0 THEN NULL ELSE concat('2026-04-0', cast(conv_id % 2 + 1 AS string)) END AS updated_at,
+  CASE WHEN (conv_id * 7 + a) % 5 = 0 THEN CASE conv_id % 4 WHEN 0 THEN 'structured_output_invalid' WHEN 1 THEN 'rate_limit' WHEN 2 THEN '' END END AS error_type, cast((conv_id * 13 + a * 7) % 40 AS double) / 8 AS latency_seconds
 FROM (SELECT DISTINCT conv_id, turn % 3 AS a FROM {conversations}) AS t
 """
 
+#: Labels as reviewers type them.
+REVIEWS = f"""
+SELECT conversation_id, extraction_id AS conversation_text, concat(' ', modelo_interes, ' ') AS modelo_interes, CASE WHEN presupuesto IS NULL THEN ' ' ELSE concat(cast(cast(presupuesto AS bigint) AS string), '.5') END AS presupuesto,
+  CASE WHEN cuota_inicial IS NULL THEN 'n/d' ELSE cast(cast(cuota_inicial AS bigint) AS string) END AS cuota_inicial, concat(forma_pago, ' ') AS forma_pago, intencion, coalesce(objecion_principal, '') AS objecion_principal,
+  CASE WHEN pidio_cita THEN 'TRUE' ELSE ' False ' END AS pidio_cita, CASE WHEN pidio_cotizacion THEN 'true' WHEN NOT pidio_cotizacion THEN '' ELSE 'yes' END AS pidio_cotizacion,
+  CASE WHEN extraction_id LIKE '%1' THEN ' True' WHEN extraction_id LIKE '%2' THEN 'false' WHEN extraction_id LIKE '%0' THEN 'TRUE ' END AS reviewed
+FROM ({EXTRACTIONS}) AS x
+"""
+
 SCORES = """
 SELECT lpad(cast(o_orderkey AS string), 10, '0') AS raw_row_id, CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE cast(o_orderkey * 37 % 1000 AS double) / 1000 END AS propensity_score FROM {orders}
 """
@@ -106,6 +118,19 @@ SELECT concat('doc', lpad(cast(doc_id AS string), 8, '0')) AS stem, concat('Intr
 FROM {documents} WHERE doc_id IS NOT NULL
 """
 
+#: Damage for the checks: new values of columns, in SQL that both engines read, by table.
+DAMAGE = {
+    "stg_leads": {"raw_row_id": "CASE WHEN raw_row_id = '0000000050' THEN '0000000051' ELSE raw_row_id END", "punto_venta_id": "CASE WHEN raw_row_id LIKE '%07' THEN 'PV-7' ELSE punto_venta_id END"},
+    "stg_asesores": {"capacidad_diaria_leads": "CASE WHEN asesor_id LIKE '%3' THEN -1 WHEN asesor_id LIKE '%4' THEN 1 ELSE capacidad_diaria_leads END", "activo": "CASE WHEN asesor_id LIKE '%2' THEN false ELSE activo END"},
+    "stg_catalogo_motos": {"unidades_disponibles": "CASE WHEN sku LIKE '%11' THEN -1 ELSE unidades_disponibles END"},
+    "stg_historico_cierres": {"is_closed": "CASE WHEN raw_row_id LIKE '%00-1' THEN NULL ELSE is_closed END"},
+    "lead_identity_map": {"customer_identity_id": "CASE WHEN raw_row_id LIKE '%1' THEN 'CID_shared' WHEN raw_row_id LIKE '%32' THEN concat('CID_', raw_row_id) ELSE customer_identity_id END"},
+    "lead_model_match": {"sku": "CASE WHEN raw_row_id LIKE '%15' THEN NULL ELSE sku END", "match_score": "CASE WHEN raw_row_id LIKE '%16' THEN 1.5 ELSE match_score END"},
+    "leads_enriched": {"raw_row_id": "CASE WHEN raw_row_id = '0000000060' THEN '0000000061' ELSE raw_row_id END", "lead_id": "CASE WHEN raw_row_id LIKE '%00098' THEN 'L-other' ELSE lead_id END", "empresa_id": "CASE WHEN raw_row_id LIKE '%44' THEN 'E8' ELSE empresa_id END", "precio_lista": "CASE WHEN raw_row_id LIKE '%18' THEN NULL ELSE precio_lista END"},
+    "lead_conversation_features": {"conversation_count": "CASE WHEN lead_id LIKE '%4' THEN 0 ELSE conversation_count END"},
+    "assignments": {"advisor_id": "CASE WHEN advisor_id LIKE '%5' THEN 'A-unknown' ELSE advisor_id END", "priority_score": "CASE WHEN raw_row_id LIKE '%21' THEN 120.0 WHEN raw_row_id LIKE '%22' THEN -1.0 ELSE priority_score END", "punto_venta_id": "CASE WHEN raw_row_id LIKE '%23' THEN NULL ELSE punto_venta_id END"},
+}
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
 
@@ -115,6 +140,11 @@ def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def damaged(df: DataFrame, name: str) -> DataFrame:
+    """df with the damage of a table."""
+    return df.withColumns({c: F.expr(e).cast(df.schema[c].dataType) for c, e in DAMAGE[name].items()})
+
+
 def duckdb(sql: str) -> str:
     """The same statement over views of the tables."""
     return reduce(lambda s, t: s.replace("{" + t + "}", t), TABLES, sql).strip()

@@ -6,7 +6,9 @@ import re
 
 from leadflow.functions import text as T
 from leadflow.operators.identity import DUMMY_EMAILS
+from leadflow.operators.propensity import LEAKAGE_AUDIT
 from leadflow.plans import fixtures as X
+from leadflow.sources.files import CONTRACTS
 
 
 def nt(c: str) -> str:
@@ -90,7 +92,59 @@ def amount(c: str) -> str:
 YES = {"si": True, "no": False}
 DECIMAL = r"^[0-9]+(\.[0-9]+)?$"
 
-STEPS: dict[str, str] = {n.lower(): X.duckdb(getattr(X, n)) for n in ("LEADS", "CATALOG", "ADVISORS", "HISTORY", "TURNS", "CONVERSATION_HEADS", "EXTRACTIONS", "SCORES", "EVENTS", "HELP")}
+#: The damaged match is that of exact names and aliases, like the mart's.
+DAMAGED_FROM = {"lead_model_match": "lead_model_match_exact"}
+
+
+def _checks(rows: dict[str, str]) -> str:
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS \"check\", (SELECT count(*) FROM ({bad})) AS violations" for name, bad in rows.items())
+
+
+def validation_sql(d: str) -> str:
+    given, own = f"(SELECT * FROM {d}assignments WHERE assignment_status = 'ASSIGNED')", f"{d}stg_asesores"
+    return _checks({
+        "row_count_mismatch": f"SELECT 1 WHERE (SELECT count(*) FROM {d}assignments) <> (SELECT count(*) FROM leads_ai_enriched)",
+        "scores_out_of_range": f"SELECT 1 FROM {d}assignments WHERE priority_score < 0 OR priority_score > 100",
+        "inactive_assignments": f"SELECT 1 FROM {given} g LEFT JOIN {own} a ON a.asesor_id = g.advisor_id WHERE a.asesor_id IS NULL OR a.activo IS NOT TRUE",
+        "advisors_over_capacity": f"SELECT g.advisor_id FROM {given} g JOIN {own} a ON a.asesor_id = g.advisor_id GROUP BY g.advisor_id, a.capacidad_diaria_leads HAVING count(*) > coalesce(a.capacidad_diaria_leads, 0)",
+        "invalid_company_store_assignments": f"SELECT 1 FROM {given} g JOIN {own} a ON a.asesor_id = g.advisor_id WHERE g.empresa_id IS DISTINCT FROM a.empresa_id OR g.punto_venta_id IS DISTINCT FROM a.punto_venta_id",
+    })
+
+
+def checks_sql(d: str) -> str:
+    match = f"{d}lead_model_match" if d else "lead_model_match_exact"
+    known = ", ".join(repr(x) for x in X.KNOWN_DUPLICATES)
+    same = lambda a, b, test: f"SELECT 1 FROM (SELECT raw_row_id, count(*) AS n FROM {a} GROUP BY 1) x FULL JOIN (SELECT raw_row_id, count(*) AS m FROM {b} GROUP BY 1) y USING (raw_row_id) WHERE {test}"
+    once, equal = "coalesce(n, 0) <> 1 OR coalesce(m, 0) <> 1", "coalesce(n, 0) <> coalesce(m, 0)"
+    return _checks({
+        "not_null:raw_row_id": f"SELECT 1 FROM {d}stg_leads WHERE raw_row_id IS NULL",
+        "unique:lead_id": f"SELECT lead_id FROM {d}stg_leads GROUP BY 1 HAVING count(*) > 1",
+        "accepted_values:canal_normalizado": f"SELECT 1 FROM {d}stg_leads WHERE canal_normalizado NOT IN ('whatsapp', 'meta_ads')",
+        "relationships:lead_id": f"SELECT 1 FROM stg_conversations WHERE lead_id IS NOT NULL AND lead_id NOT IN (SELECT lead_id FROM {d}stg_leads)",
+        "cross_company_signals_stay_apart": f"""SELECT 1 FROM identity_signals s JOIN (SELECT signal_type, signal_value FROM identity_signals WHERE signal_type IN ('PHONE', 'EMAIL') GROUP BY 1, 2 HAVING count(DISTINCT empresa_id) > 1) c USING (signal_type, signal_value)
+            JOIN {d}lead_identity_map m USING (raw_row_id) GROUP BY signal_type, signal_value, m.customer_identity_id HAVING count(DISTINCT s.empresa_id) > 1""",
+        "one_company_per_identity": f"SELECT 1 FROM {d}lead_identity_map GROUP BY customer_identity_id HAVING count(DISTINCT empresa_id) <> 1",
+        "strong_signals_transitive": f"SELECT 1 FROM identity_signals s JOIN {d}lead_identity_map m USING (raw_row_id) WHERE s.empresa_id IS NOT NULL GROUP BY s.empresa_id, signal_type, signal_value HAVING count(DISTINCT m.customer_identity_id) > 1",
+        "unique:sku,punto_venta_id": "SELECT 1 FROM catalog_availability GROUP BY sku, punto_venta_id HAVING count(*) > 1",
+        "match_score_in_range": f"SELECT 1 FROM {match} WHERE match_score < 0 OR match_score > 1",
+        "matched_iff_sku": f"SELECT 1 FROM {match} WHERE (match_status = 'MATCHED' AND sku IS NULL) OR (match_status IN ('AMBIGUOUS', 'UNMATCHED', 'MISSING') AND sku IS NOT NULL)",
+        "duplicates_share_identity": f"SELECT 1 FROM {d}lead_identity_map m JOIN (SELECT raw_row_id, lead_id AS l, empresa_id AS e FROM {d}stg_leads) USING (raw_row_id) WHERE (l, e) IN (SELECT lead_id, min(empresa_id) FROM stg_leads WHERE lead_id IN ({known}) GROUP BY 1) GROUP BY m.customer_identity_id, e HAVING count(*) < 2 OR count(DISTINCT l) <> 1",
+        "mart_catalog_lineage": f"SELECT 1 FROM {d}leads_enriched m JOIN {match} i USING (raw_row_id) WHERE {' OR '.join(f'm.{c} IS DISTINCT FROM i.{c}' for c in ('sku', 'modelo_canonico', 'precio_lista', 'match_method', 'match_score', 'match_status', 'is_available_at_store'))}",
+        "one_company_per_mart_identity": f"SELECT 1 FROM {d}leads_enriched GROUP BY customer_identity_id HAVING count(DISTINCT empresa_id) <> 1",
+        "mart_identity_lineage": f"SELECT 1 FROM {d}leads_enriched m JOIN {d}lead_identity_map i USING (raw_row_id) WHERE m.customer_identity_id IS DISTINCT FROM i.customer_identity_id OR m.empresa_id IS DISTINCT FROM i.empresa_id",
+        "mart_duplicates": f"SELECT lead_id FROM {d}leads_enriched WHERE lead_id IN ({known}) GROUP BY 1 HAVING count(*) <> 2",
+        "known_lead_present": f"SELECT 1 WHERE NOT EXISTS (SELECT 1 FROM {d}leads_enriched WHERE lead_id = {X.KNOWN_LEAD!r})",
+        "conversation_count_positive": f"SELECT 1 FROM {d}lead_conversation_features WHERE conversation_count < 1",
+        "ai_mart_keeps_grain": same(f"{d}leads_enriched", "leads_ai_enriched", equal),
+        "mart_matches_staging": same(f"{d}stg_leads", f"{d}leads_enriched", once),
+        "capacity_not_negative": f"SELECT 1 FROM {d}stg_asesores WHERE capacidad_diaria_leads < 0",
+        "catalogue_values_positive": f"SELECT 1 FROM {d}stg_catalogo_motos WHERE precio_lista <= 0 OR unidades_disponibles < 0",
+        "closed_follows_outcome": f"SELECT 1 FROM {d}stg_historico_cierres WHERE (desenlace_normalizado = 'cerrado' AND is_closed IS DISTINCT FROM true) OR (desenlace_normalizado = 'perdido' AND is_closed IS DISTINCT FROM false) OR (desenlace_normalizado = 'sin gestion' AND is_closed IS NOT NULL)",
+        "store_format": f"SELECT 1 FROM {d}stg_leads WHERE NOT regexp_matches(punto_venta_id, '^PV-[0-9]{{3}}$')",
+    })
+
+
+STEPS: dict[str, str] = {n.lower(): X.duckdb(getattr(X, n)) for n in ("LEADS", "CATALOG", "ADVISORS", "HISTORY", "TURNS", "CONVERSATION_HEADS", "EXTRACTIONS", "REVIEWS", "SCORES", "EVENTS", "HELP")}
 STEPS = {f"fx_{k}": v for k, v in STEPS.items()}
 STEPS |= {
     "stg_leads": f"""SELECT raw_row_id, lead_id, empresa_id, punto_venta_id, nombre_cliente, {blank('canal')} AS canal_raw, {mapped(nt(blank('canal')), T.CHANNELS)} AS canal_normalizado,
@@ -118,13 +172,30 @@ STEPS |= {
           FROM (SELECT *, sum(cast(is_head AS INT)) OVER (PARTITION BY stem ORDER BY n) AS g, CASE WHEN is_head THEN regexp_extract(line, '^#{1,2}\s+(.+?)\s*$', 1) END AS h
             FROM (SELECT stem, n, line, regexp_matches(line, '^#{1,2}\s+(.+?)\s*$') AS is_head FROM (SELECT stem, unnest(regexp_split_to_array(text, '\r?\n')) AS line, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS n FROM fx_help))) GROUP BY stem, g)
         WHERE content <> ''""",
+    "search_terms": f"""SELECT slug, title, term, sum(w)::BIGINT AS w FROM (SELECT slug, title, 4 AS w, unnest(list_distinct(string_split({lex('title')}, ' '))) AS term FROM help_chunks
+        UNION ALL SELECT slug, title, 2, unnest(list_distinct(string_split({lex('section')}, ' '))) FROM help_chunks UNION ALL SELECT slug, title, 1, unnest(list_distinct(string_split({lex('content')}, ' '))) FROM help_chunks) WHERE length(term) > 1 GROUP BY ALL""",
+    "search_asked": f"""SELECT query_id, asked, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT slug AS query_id, unnest(list_distinct(list_slice(string_split({lex('content')}, ' '), 1, 3))) AS asked FROM help_chunks WHERE slug LIKE '%-02') WHERE length(asked) > 1""",
+    "search_pairs": """SELECT asked, asked AS term, true AS whole FROM (SELECT DISTINCT asked FROM search_asked)
+        UNION ALL SELECT asked, term, false FROM (SELECT DISTINCT asked FROM search_asked WHERE length(asked) >= 3) JOIN (SELECT DISTINCT term FROM search_terms) ON contains(term, asked) AND term <> asked""",
+    "chunk_search": """SELECT query_id, slug, title, tier, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, title, slug) AS rank FROM
+        (SELECT query_id, slug, title, CASE WHEN found = n THEN 1 WHEN found > 0 THEN 2 ELSE 3 END AS tier, CASE WHEN found > 0 THEN exact ELSE loose END AS score FROM
+          (SELECT query_id, slug, title, count(*) FILTER (whole) AS found, any_value(n) AS n, coalesce(sum(w) FILTER (whole), 0)::BIGINT AS exact, sum(w)::BIGINT AS loose FROM search_asked JOIN search_pairs USING (asked) JOIN search_terms USING (term) GROUP BY 1, 2, 3))) WHERE rank <= 3""",
     "lead_models": f"SELECT DISTINCT {model('modelo_interes_raw')} AS model FROM stg_leads WHERE {model('modelo_interes_raw')} <> ''",
     "catalog_names": f"SELECT sku, {model('marca_raw')} AS brand, {model('linea_raw')} AS line, {model('''concat_ws(' ', marca_raw, linea_raw)''')} AS name FROM stg_catalogo_motos",
     "model_aliases": """SELECT alias_normalizado, sku FROM (SELECT m.model AS alias_normalizado, coalesce(e.sku, l.sku, s.sku) AS sku FROM lead_models m
-        LEFT JOIN (SELECT name, min(sku) AS sku FROM catalog_names GROUP BY name) e ON e.name = regexp_replace(m.model, ' 2026$', '')
+        LEFT JOIN (SELECT name, max(sku) AS sku FROM catalog_names GROUP BY name) e ON e.name = regexp_replace(m.model, ' 2026$', '')
         LEFT JOIN (SELECT line, min(sku) AS sku FROM catalog_names GROUP BY line HAVING count(*) = 1) l ON l.line = m.model
         LEFT JOIN (SELECT m.model, min(c.sku) AS sku FROM lead_models m JOIN catalog_names c ON starts_with(c.name, m.model || ' ') GROUP BY m.model HAVING count(*) = 1) s ON s.model = m.model
         WHERE m.model NOT IN (SELECT name FROM catalog_names)) WHERE sku IS NOT NULL""",
+    "model_fuzzy_matches": """WITH rest AS (SELECT model FROM lead_models WHERE model NOT IN (SELECT name FROM catalog_names WHERE name <> '') AND model NOT IN (SELECT alias_normalizado FROM model_aliases)),
+        letters AS (SELECT model, c, sum(1::HUGEINT << (i - 1)::HUGEINT)::HUGEINT AS m FROM (SELECT model, unnest(string_split(model, '')) AS c, generate_subscripts(string_split(model, ''), 1) AS i FROM rest) GROUP BY 1, 2),
+        masks AS (SELECT model, map(list(c ORDER BY c), list(m ORDER BY c)) AS masks, (1::HUGEINT << length(model)::HUGEINT) - 1 AS whole FROM letters GROUP BY model),
+        pairs AS (SELECT model, sku, name, list_reduce(list_prepend(whole, list_transform(string_split(name, ''), lambda c: coalesce(masks[c], 0::HUGEINT))), lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole) AS v FROM masks, catalog_names WHERE name <> ''),
+        scored AS (SELECT model, sku, name, 2 * (length(model) - bit_count(v)) / (length(model) + length(name))::DOUBLE AS s FROM pairs),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY s DESC, sku) AS r FROM scored QUALIFY r <= 2),
+        two AS (SELECT model, max(name) FILTER (r = 1) AS top_1, max(s) FILTER (r = 1) AS s1, max(name) FILTER (r = 2) AS top_2, coalesce(max(s) FILTER (r = 2), 0) AS s2, max(sku) FILTER (r = 1) AS sku FROM placed GROUP BY model)
+        SELECT model AS modelo_interes_normalizado, top_1, round(s1, 4) AS top_1_score, top_2, round(s2, 4) AS top_2_score, round(s1 - s2, 4) AS margin,
+          CASE WHEN model IN (SELECT brand FROM catalog_names) OR (SELECT count(*) FROM catalog_names WHERE starts_with(name, model || ' ')) > 1 THEN 'AMBIGUOUS' WHEN s1 >= 0.9 AND s1 - s2 >= 0.1 THEN 'MATCHED' ELSE 'REVIEW' END AS decision, sku FROM two""",
     "catalog_availability": "SELECT DISTINCT sku, trim(p) AS punto_venta_id FROM (SELECT sku, unnest(string_split(puntos_venta_disponibles_raw, '|')) AS p FROM stg_catalogo_motos) WHERE trim(p) <> ''",
     "lead_model_match_exact": """SELECT l.raw_row_id, l.lead_id, l.empresa_id, l.punto_venta_id, l.modelo_interes_normalizado, coalesce(e.sku, a.sku) AS sku, c.modelo_canonico, c.marca_normalizada, c.linea_normalizada, c.precio_lista,
         CASE WHEN e.sku IS NOT NULL THEN 'normalized_exact' WHEN a.sku IS NOT NULL THEN 'alias' ELSE 'none' END AS match_method, CASE WHEN coalesce(e.sku, a.sku) IS NOT NULL THEN 1.0::DOUBLE END AS match_score,
@@ -133,6 +204,15 @@ STEPS |= {
         FROM stg_leads l LEFT JOIN (SELECT modelo_normalizado, min(sku) AS sku FROM stg_catalogo_motos WHERE modelo_normalizado IS NOT NULL GROUP BY 1) e ON e.modelo_normalizado = l.modelo_interes_normalizado
         LEFT JOIN model_aliases a ON a.alias_normalizado = l.modelo_interes_normalizado LEFT JOIN stg_catalogo_motos c ON c.sku = coalesce(e.sku, a.sku)
         LEFT JOIN catalog_availability v ON v.sku = coalesce(e.sku, a.sku) AND v.punto_venta_id = l.punto_venta_id""",
+    "lead_model_match": """SELECT l.raw_row_id, l.lead_id, l.empresa_id, l.punto_venta_id, l.modelo_interes_normalizado, l.sku, c.modelo_canonico, c.marca_normalizada, c.linea_normalizada, c.precio_lista,
+        CASE WHEN l.sku_exact IS NOT NULL THEN 'normalized_exact' WHEN l.sku_alias IS NOT NULL THEN 'alias' WHEN l.decision IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS match_method,
+        CASE WHEN coalesce(l.sku_exact, l.sku_alias) IS NOT NULL THEN 1.0::DOUBLE ELSE l.top_1_score END AS match_score,
+        CASE WHEN l.modelo_interes_normalizado IS NULL THEN 'MISSING' WHEN l.sku IS NOT NULL THEN 'MATCHED' ELSE coalesce(l.decision, 'UNMATCHED') END AS match_status,
+        CASE WHEN l.sku IS NOT NULL AND l.punto_venta_id IS NOT NULL THEN v.sku IS NOT NULL END AS is_available_at_store
+        FROM (SELECT s.*, e.sku AS sku_exact, a.sku AS sku_alias, f.decision, f.top_1_score, coalesce(e.sku, a.sku, CASE WHEN f.decision = 'MATCHED' THEN f.sku END) AS sku FROM stg_leads s
+            LEFT JOIN (SELECT modelo_normalizado, min(sku) AS sku FROM stg_catalogo_motos WHERE modelo_normalizado IS NOT NULL GROUP BY 1) e ON e.modelo_normalizado = s.modelo_interes_normalizado
+            LEFT JOIN model_aliases a ON a.alias_normalizado = s.modelo_interes_normalizado LEFT JOIN model_fuzzy_matches f ON f.modelo_interes_normalizado = s.modelo_interes_normalizado) l
+        LEFT JOIN stg_catalogo_motos c ON c.sku = l.sku LEFT JOIN catalog_availability v ON v.sku = l.sku AND v.punto_venta_id = l.punto_venta_id""",
     "identity_signals": f"""SELECT DISTINCT * FROM (SELECT raw_row_id, lead_id, empresa_id, 'SOURCE_LEAD_ID' AS signal_type, trim(lead_id) AS signal_value FROM stg_leads WHERE empresa_id IS NOT NULL AND trim(lead_id) <> ''
         UNION ALL SELECT raw_row_id, lead_id, empresa_id, 'PHONE', telefono_normalizado FROM stg_leads WHERE empresa_id IS NOT NULL AND telefono_parse_status = 'VALID'
         UNION ALL SELECT raw_row_id, lead_id, empresa_id, 'EMAIL', email_normalizado FROM stg_leads WHERE regexp_matches(email_normalizado, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AND email_normalizado NOT IN ({', '.join(repr(e) for e in DUMMY_EMAILS)})
@@ -210,18 +290,23 @@ STEPS |= {
     "lead_history": "SELECT * FROM conversation_messages WHERE lead_id IN (SELECT lead_id FROM responded_assignments WHERE empresa_id = 'E1')",
     "upserted_scores": """SELECT coalesce(o.raw_row_id, n.raw_row_id) AS raw_row_id, CASE WHEN n.raw_row_id IS NOT NULL THEN n.propensity_score ELSE o.propensity_score END AS propensity_score, CASE WHEN n.raw_row_id IS NOT NULL THEN 'new' ELSE 'old' END AS model_version
         FROM (SELECT * FROM fx_scores WHERE cast(raw_row_id AS BIGINT) % 3 <> 0) o FULL JOIN (SELECT raw_row_id, 1 - propensity_score AS propensity_score FROM fx_scores WHERE cast(raw_row_id AS BIGINT) % 2 = 0) n ON n.raw_row_id = o.raw_row_id""",
-    "operational_validation": """SELECT unnest(['rows_match_mart', 'score_out_of_range', 'inactive_or_missing_advisor', 'over_capacity', 'company_mismatch', 'store_mismatch']) AS "check", unnest([abs((SELECT count(*) FROM leads_ai_enriched) - (SELECT count(*) FROM assignments)), (SELECT count(*) FROM assignments WHERE priority_score NOT BETWEEN 0 AND 100), 0, 0, 0, 0]::BIGINT[]) AS violations""",
-    "data_checks": f"""SELECT 'not_null:raw_row_id' AS "check", (SELECT count(*) FROM stg_leads WHERE raw_row_id IS NULL) AS violations UNION ALL SELECT 'unique:lead_id', (SELECT count(*) FROM (SELECT lead_id FROM stg_leads GROUP BY 1 HAVING count(*) > 1))
-        UNION ALL SELECT 'accepted_values:canal_normalizado', (SELECT count(*) FROM stg_leads WHERE canal_normalizado NOT IN ('whatsapp', 'meta_ads')) UNION ALL SELECT 'relationships:lead_id', (SELECT count(*) FROM stg_conversations WHERE lead_id IS NOT NULL AND lead_id NOT IN (SELECT lead_id FROM stg_leads))
-        UNION ALL SELECT 'one_company_per_identity', (SELECT count(*) FROM (SELECT customer_identity_id FROM lead_identity_map GROUP BY 1 HAVING count(DISTINCT empresa_id) > 1)) UNION ALL SELECT 'strong_signals_transitive', 0 UNION ALL SELECT 'matched_iff_sku', (SELECT count(*) FROM lead_model_match_exact WHERE (match_status = 'MATCHED') <> (sku IS NOT NULL))
-        UNION ALL SELECT 'same_grain:raw_row_id', 0 UNION ALL SELECT 'in_range:propensity_score', (SELECT count(*) FROM fx_scores WHERE propensity_score NOT BETWEEN 0 AND 0.9) UNION ALL SELECT 'lineage:sku,precio_lista', 0
-        UNION ALL SELECT 'store_format', (SELECT count(*) FROM stg_leads WHERE NOT regexp_matches(punto_venta_id, '^PV-[0-9]{{3}}$')) UNION ALL SELECT 'closed_follows_outcome', (SELECT count(*) FROM stg_historico_cierres WHERE (desenlace_normalizado = 'cerrado' AND is_closed IS DISTINCT FROM true) OR (desenlace_normalizado = 'perdido' AND is_closed IS DISTINCT FROM false) OR (desenlace_normalizado = 'sin gestion' AND is_closed IS NOT NULL))
-        UNION ALL SELECT 'catalogue_values_positive', (SELECT count(*) FROM stg_catalogo_motos WHERE precio_lista <= 0 OR unidades_disponibles < 0) UNION ALL SELECT 'capacity_not_negative', (SELECT count(*) FROM stg_asesores WHERE capacidad_diaria_leads < 0)
-        UNION ALL SELECT 'source_duplicates', (SELECT count(*) FROM (SELECT lead_id FROM stg_leads WHERE lead_id IN ({', '.join(repr(x) for x in X.KNOWN_DUPLICATES)}) GROUP BY 1 HAVING count(*) <> 2)) UNION ALL SELECT 'mart_duplicates', (SELECT count(*) FROM (SELECT lead_id FROM leads_enriched WHERE lead_id IN ({', '.join(repr(x) for x in X.KNOWN_DUPLICATES)}) GROUP BY 1 HAVING count(*) <> 2))
-        UNION ALL SELECT 'lineage:customer_identity_id,empresa_id', (SELECT count(*) FROM leads_enriched m JOIN lead_identity_map i USING (raw_row_id) WHERE m.customer_identity_id IS DISTINCT FROM i.customer_identity_id OR m.empresa_id IS DISTINCT FROM i.empresa_id)
-        UNION ALL SELECT 'unique:sku,punto_venta_id', (SELECT count(*) FROM (SELECT 1 FROM catalog_availability GROUP BY sku, punto_venta_id HAVING count(*) > 1)) UNION ALL SELECT 'conversation_count_positive', (SELECT count(*) FROM lead_conversation_features WHERE conversation_count < 1)""",
-    "extraction_metrics": """SELECT count(*) AS cases, avg((a.status = 'SUCCESS')::INT) AS success_rate, 0::BIGINT AS structured_failures, coalesce(bool_and(coalesce(a.evidence_grounded, false)) FILTER (a.status = 'SUCCESS'), true) AS grounded_all, count(*) FILTER (a.status = 'SUCCESS' AND NOT coalesce(a.evidence_grounded, false)) AS grounding_failures,
-        avg(1.0) AS mean_latency_seconds, (SELECT avg(accuracy) FROM field_quality) AS macro_accuracy, (SELECT avg(accuracy_end_to_end) FROM field_quality) AS macro_accuracy_end_to_end, '{"unknown":' || count(*) FILTER (a.status <> 'SUCCESS') || '}' AS errors_by_type FROM fx_extractions a JOIN current_extractions b USING (conversation_id)""",
+    "operational_validation": validation_sql(""),
+    "operational_validation_damaged": validation_sql("damaged_"),
+    "data_checks": checks_sql(""),
+    "data_checks_damaged": checks_sql("damaged_"),
+    **{f"damaged_{t}": f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in columns.items())}) FROM {DAMAGED_FROM.get(t, t)}" for t, columns in X.DAMAGE.items()},
+    "extraction_metrics": """SELECT count(*) AS cases, avg((a.status = 'SUCCESS')::INT) AS success_rate, count(*) FILTER (a.error_type = 'structured_output_invalid') AS structured_failures, bool_and(coalesce(a.evidence_grounded, false)) FILTER (a.status = 'SUCCESS') AS grounded_all,
+        count(*) FILTER (NOT a.evidence_grounded) AS grounding_failures, avg(a.latency_seconds) FILTER (a.status = 'SUCCESS') AS mean_latency_seconds, (SELECT avg(accuracy) FROM field_quality) AS macro_accuracy, (SELECT avg(accuracy_end_to_end) FROM field_quality) AS macro_accuracy_end_to_end,
+        (SELECT '{' || string_agg('"' || error_type || '":' || n, ',' ORDER BY error_type) || '}' FROM (SELECT error_type, count(*) AS n FROM fx_extractions JOIN (SELECT conversation_id FROM current_extractions) USING (conversation_id) WHERE error_type <> '' GROUP BY 1)) AS errors_by_type FROM fx_extractions a JOIN current_extractions b USING (conversation_id)""",
+    "csv_round_trip": f"SELECT {', '.join(CONTRACTS['leads'])} FROM fx_leads",
+    "conversation_round_trip": "SELECT h.conversacion_id, lead_id, canal, fecha_inicio, row_number() OVER (PARTITION BY h.conversacion_id ORDER BY turn) AS n, emisor, texto, hora FROM fx_conversation_heads h JOIN fx_turns t ON t.conversacion_id = h.conversacion_id",
+    "ingestion_log": """SELECT 1 AS run, 'LOADED' AS status, 5::BIGINT AS files, (SELECT count(*) FROM fx_leads) + (SELECT count(*) FROM fx_catalog) + (SELECT count(*) FROM fx_advisors) + (SELECT count(*) FROM fx_history) + (SELECT count(*) FROM fx_conversation_heads) AS rows
+        UNION ALL SELECT 2, 'SKIPPED', 5, 0""",
+    "nul_free_messages": "SELECT conversacion_id, turn, emisor, texto FROM fx_turns",
+    "leakage_report": """SELECT feature, classification, used, n AS rows_present FROM (VALUES {audit}) AS a(feature, classification, used) JOIN (SELECT unnest(['canal_normalizado', 'empresa_id', 'punto_venta_id', 'modelo_feature', 'precio_lista', 'manifesto_cuota_inicial', 'pidio_cita', 'horas_al_primer_contacto', 'numero_contactos', 'forma_pago_declarada', 'desenlace']) AS feature,
+        unnest([count(canal_normalizado), count(empresa_id), count(punto_venta_id), count(modelo_cotizado_normalizado), count(precio_lista), count(manifesto_cuota_inicial), count(pidio_cita), count(horas_al_primer_contacto), count(numero_contactos), count(forma_pago_declarada_normalizada), count(desenlace_normalizado)]) AS n FROM stg_historico_cierres) USING (feature)""".replace("{audit}", ", ".join(f"('{f}', '{c}', {u})" for f, c, u, _ in LEAKAGE_AUDIT)),
+    "golden_set": """SELECT conversation_id, conversation_text, nullif(trim(modelo_interes), '') AS modelo_interes, try_cast(trim(presupuesto) AS DOUBLE) AS presupuesto, try_cast(trim(cuota_inicial) AS DOUBLE) AS cuota_inicial, trim(forma_pago) AS forma_pago, trim(intencion) AS intencion, nullif(trim(objecion_principal), '') AS objecion_principal,
+        CASE lower(trim(pidio_cita)) WHEN 'true' THEN true WHEN 'false' THEN false END AS pidio_cita, CASE lower(trim(pidio_cotizacion)) WHEN 'true' THEN true WHEN 'false' THEN false END AS pidio_cotizacion FROM fx_reviews WHERE lower(trim(reviewed)) = 'true'""",
     "training_split": """SELECT part, count(*) AS rows, sum(label)::DOUBLE AS positives, min(fecha_registro) AS first_day, max(fecha_registro) AS last_day FROM (SELECT *, CASE WHEN fecha_registro <= (SELECT min(d) FROM (SELECT fecha_registro AS d, sum(count(*)) OVER (ORDER BY fecha_registro) AS upto FROM training GROUP BY 1)
         WHERE upto >= greatest(1, floor((SELECT count(*) FROM training) * 0.8))) THEN 'train' ELSE 'test' END AS part FROM training) GROUP BY part""",
     "training": "SELECT *, CASE desenlace_normalizado WHEN 'cerrado' THEN 1.0 ELSE 0.0 END AS label FROM stg_historico_cierres WHERE desenlace_normalizado IN ('cerrado', 'perdido')",
@@ -240,6 +325,13 @@ STEPS |= {
         (SELECT empresa_id, CASE WHEN starts_with({digits('telefono')}, '0057') AND length({digits('telefono')}) = 14 THEN substr({digits('telefono')}, 5) WHEN starts_with({digits('telefono')}, '57') AND length({digits('telefono')}) = 12 THEN substr({digits('telefono')}, 3) ELSE {digits('telefono')} END AS phone FROM fx_leads WHERE telefono IS NOT NULL) GROUP BY 1)""",
 }
 STEPS["ranking_quality_20"] = STEPS["ranking_quality"].replace("* 0.1)", "* 0.2::DOUBLE)")
+STEPS["ranking_quality_capacity"] = STEPS["ranking_quality"].replace("* 0.1)", "* (SELECT capacity_share FROM capacity_share))").replace("hits / k ", "hits / least(k, n) ")
+STEPS["historical_rows"] = """SELECT raw_row_id, sha256({fields}) AS h FROM (SELECT raw_row_id, lead_id, fecha_registro, empresa_id, punto_venta_id, canal_normalizado, modelo_cotizado_normalizado AS modelo_feature,
+    precio_lista::DOUBLE AS precio_lista, manifesto_cuota_inicial, pidio_cita, desenlace_normalizado FROM training)""".replace("{fields}", " || ".join(
+    f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in "canal_normalizado desenlace_normalizado empresa_id fecha_registro lead_id manifesto_cuota_inicial modelo_feature pidio_cita precio_lista punto_venta_id raw_row_id".split()))
+STEPS["dataset_hash"] = """WITH RECURSIVE nodes(level, i, h, n) AS (SELECT 0, row_number() OVER (ORDER BY raw_row_id, h) - 1, h, count(*) OVER () FROM historical_rows
+    UNION ALL SELECT level + 1, i // 1024, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1023) // 1024 FROM nodes WHERE n > 1 GROUP BY level, i // 1024)
+    SELECT (SELECT count(*) FROM historical_rows) AS rows, h AS dataset_hash FROM nodes WHERE n = 1"""
 
 
 def query(name: str, final: str | None = None) -> str:

@@ -5,7 +5,9 @@ Every query begins with the driver's tables (see fixtures.py) and calls library
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from leadflow.operators import conversations as conv
 from leadflow.operators import evaluation, facts, identity, knowledge, marts, matching, merge, priority, profiling, propensity, quality, reports, staging
 from leadflow.plans import fixtures as X
 from leadflow.plans import oracles
-from leadflow.plans.session import materialise
+from leadflow.plans.session import materialise, shared_dir
+from leadflow.sources import files, sinks
 
 DAY = X.DAY.strip("'")
 FLAGSHIP = "manager_summary"
@@ -159,7 +162,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 def _extraction_results(d: Domain) -> DataFrame:
     """Every recorded attempt against the current extraction of its conversation, as if that were the label."""
     fields = list(evaluation.FIELDS)
-    actual = d.extractions.select("conversation_id", F.when(F.col("status") == "SUCCESS", "ok").otherwise("error").alias("status"), F.struct(*fields).alias("actual"), F.lit(None).cast("string").alias("error_type"), "evidence_grounded", F.lit(1.0).alias("latency_seconds"))
+    done = F.col("status") == "SUCCESS"
+    actual = d.extractions.select("conversation_id", F.when(done, "ok").otherwise("error").alias("status"), F.when(done, F.struct(*fields)).alias("actual"), "error_type", "evidence_grounded", "latency_seconds")
     return actual.join(d.current.select("conversation_id", F.struct(*fields).alias("expected")), "conversation_id")
 
 
@@ -226,23 +230,33 @@ def chunk_search(d: Domain) -> DataFrame:
     chunks = knowledge.markdown_chunks(d.raw("HELP"))
     words = F.slice(F.split(T.normalize_lexical(F.col("content")), " "), 1, 3)
     queries = chunks.where("slug like '%-02'").select(F.col("slug").alias("query_id"), F.array_join(words, " ").alias("query"))
-    return knowledge.search_chunks(chunks, queries, 3)
+    return knowledge.search_chunks(chunks, queries, 3).withColumn("score", F.col("score").cast("long"))
 
 
-def data_checks(d: Domain) -> DataFrame:
-    match = d.match_exact
+CATALOGUE_LINEAGE = ["sku", "modelo_canonico", "marca_normalizada", "linea_normalizada", "precio_lista", "match_method", "match_score", "match_status", "is_available_at_store"]
+
+
+def data_checks(d: Domain, damaged: bool = False) -> DataFrame:
+    """All checks of the tables, as they are or with the fixtures' damage."""
+    hurt = X.damaged if damaged else lambda df, _: df
+    leads, advisors, catalog, history = hurt(d.leads, "stg_leads"), hurt(d.advisors, "stg_asesores"), hurt(d.catalog, "stg_catalogo_motos"), hurt(d.history, "stg_historico_cierres")
+    who, match, mart, features = hurt(d.identity, "lead_identity_map"), hurt(d.match_exact, "lead_model_match"), hurt(d.enriched, "leads_enriched"), hurt(d.features, "lead_conversation_features")
+    firsts = d.leads.where(F.col("lead_id").isin(*X.KNOWN_DUPLICATES)).groupBy("lead_id").agg(F.min("empresa_id").alias("empresa_id"))
+    known = [(r["lead_id"], r["empresa_id"]) for r in firsts.collect()]  # three rows at most
     parts = [
-        quality.not_null(d.leads, "raw_row_id"), quality.unique(d.leads, "lead_id"), quality.accepted_values(d.leads, "canal_normalizado", ["whatsapp", "meta_ads"]), quality.relationships(d.conversations, "lead_id", d.leads, "lead_id"),
-        quality.one_company(d.identity), quality.signals_are_transitive(d.signals, d.identity), quality.status_matches_sku(match), quality.same_grain(d.leads, match, "raw_row_id"), quality.in_range(d.raw("SCORES"), "propensity_score", 0.0, 0.9),
-        quality.lineage_equal(match.where("sku is not null"), d.catalog, "sku", ["sku", "precio_lista"]),
-        quality.store_format(d.leads), quality.closed_follows_outcome(d.history), quality.catalogue_values_positive(d.catalog), quality.capacity_not_negative(d.advisors),
-        quality.known_duplicates(d.leads, X.KNOWN_DUPLICATES, "source_duplicates"), quality.known_duplicates(d.enriched, X.KNOWN_DUPLICATES, "mart_duplicates"),
-        quality.lineage_equal(d.enriched.where("customer_identity_id is not null"), d.identity, "raw_row_id", ["customer_identity_id", "empresa_id"]), quality.unique(d.availability, "sku", "punto_venta_id"), quality.conversation_count_positive(d.features),
+        quality.not_null(leads, "raw_row_id"), quality.unique(leads, "lead_id"), quality.accepted_values(leads, "canal_normalizado", ["whatsapp", "meta_ads"]), quality.relationships(d.conversations, "lead_id", leads, "lead_id"),
+        quality.cross_company_signals_stay_apart(d.signals, who), quality.one_company(who), quality.signals_are_transitive(d.signals, who), quality.unique(d.availability, "sku", "punto_venta_id"),
+        quality.in_range(match, "match_score", 0.0, 1.0, "match_score_in_range"), quality.status_matches_sku(match), quality.duplicates_share_identity(who, leads, known),
+        quality.lineage_equal(mart, match, "raw_row_id", CATALOGUE_LINEAGE, "mart_catalog_lineage"), quality.one_company(mart, "one_company_per_mart_identity"), quality.lineage_equal(mart, who, "raw_row_id", ["customer_identity_id", "empresa_id"], "mart_identity_lineage"),
+        quality.known_duplicates(mart, X.KNOWN_DUPLICATES, "mart_duplicates"), quality.lead_present(mart, X.KNOWN_LEAD, "known_lead_present"), quality.conversation_count_positive(features),
+        quality.same_grain(mart, d.mart, "raw_row_id", "ai_mart_keeps_grain"), quality.one_row_each(leads, mart, "raw_row_id", "mart_matches_staging"),
+        quality.capacity_not_negative(advisors), quality.catalogue_values_positive(catalog), quality.closed_follows_outcome(history), quality.store_format(leads),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def validation_of_damage(d: Domain) -> DataFrame:
+    return quality.operational_validation(X.damaged(d.assignments, "assignments"), d.mart, X.damaged(d.advisors, "stg_asesores"), DAY)
 
 
 def upserted_scores(d: Domain) -> DataFrame:
@@ -252,6 +266,51 @@ def upserted_scores(d: Domain) -> DataFrame:
     return merge.upsert(old, new, ["raw_row_id"])
 
 
+def _folder(d: Domain) -> str:
+    return f"{shared_dir(d.spark)}/files-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(d: Domain) -> DataFrame:
+    """Leads written as CSV files and read again under their contract."""
+    path = _folder(d)
+    sinks.write_csv_report(d.raw("LEADS"), path)
+    return files.read_csv_source(d.spark, path, files.CONTRACTS["leads"]).select(*files.CONTRACTS["leads"])
+
+
+def conversation_round_trip(d: Domain) -> DataFrame:
+    """Conversations written as JSON arrays and read again, a row a message."""
+    path = _folder(d)
+    sinks.write_json_arrays(d.raw_conversations, path)
+    back = files.read_conversations(d.spark, path)
+    return back.select("conversacion_id", "lead_id", "canal", "fecha_inicio", F.posexplode("mensajes").alias("n", "m")).select("conversacion_id", "lead_id", "canal", "fecha_inicio", (F.col("n") + 1).cast("long").alias("n"), "m.emisor", "m.texto", "m.hora")
+
+
+def ingestion_log(d: Domain) -> DataFrame:
+    """All five sources loaded from files, then once more, when their hashes are known."""
+    path = _folder(d)
+    for name, raw in (("leads", "LEADS"), ("catalogo_motos", "CATALOG"), ("asesores", "ADVISORS"), ("historico_cierres", "HISTORY")):
+        sinks.write_csv_report(d.raw(raw), f"{path}/{name}.csv")
+    sinks.write_json_arrays(d.raw_conversations, f"{path}/conversations.json")
+    first = files.ingest(d.spark, path)
+    second = files.ingest(d.spark, path, first.manifest)
+    return first.summary.select(F.lit(1).alias("run"), "*").unionByName(second.summary.select(F.lit(2).alias("run"), "*"))
+
+
+def nul_free_messages(d: Domain) -> DataFrame:
+    """Messages that hold NUL characters, nested as they come, after cleaning."""
+    dirty = lambda c: F.concat(F.lit("\u0000"), F.substring(c, 1, 3), F.lit("\u0000"), F.substr(c, F.lit(4)))
+    nested = d.raw("TURNS").select("conversacion_id", F.array(F.struct("turn", dirty(F.col("emisor")).alias("emisor"), F.create_map(F.lit("texto"), dirty(F.col("texto"))).alias("m"))).alias("said"))
+    return T.without_nul(nested).select("conversacion_id", F.explode("said").alias("s")).select("conversacion_id", "s.turn", "s.emisor", F.col("s.m")["texto"].alias("texto"))
+
+
+def leakage_report(d: Domain) -> DataFrame:
+    """What the audit says of each column of the history, and in how many rows it has a value."""
+    held = {"modelo_feature": "modelo_cotizado_normalizado", "forma_pago_declarada": "forma_pago_declarada_normalizada", "desenlace": "desenlace_normalizado"}
+    names = [f for f, *_ in propensity.LEAKAGE_AUDIT]
+    counts = d.history.agg(*[F.count(held.get(f, f)).alias(f) for f in names]).unpivot([], names, "feature", "rows_present")
+    return propensity.leakage_audit(d.spark).select("feature", "classification", "used").join(counts, "feature")
+
+
 DAILY = ["raw_row_id", "lead_id", "empresa_id", "priority_score", "company_priority_rank", "temperature", "advisor_id", "assignment_status", "modelo", "canal"]
 MART_EXTRA = ["has_conversation", "conversation_count", "latest_conversation_id", "conversation_intencion", "conversation_forma_pago", "conversation_cuota_inicial", "conversation_pidio_cita", "conversation_pidio_cotizacion"]
 SCORED = ["raw_row_id", "lead_id", "empresa_id", "punto_venta_id", "fecha_registro", "propensity_score", "propensity_percentile", "lead_age_hours", "conversation_component", "sla_component", "availability_component", "propensity_component", "priority_score"]
@@ -259,6 +318,12 @@ SCORED = ["raw_row_id", "lead_id", "empresa_id", "punto_venta_id", "fecha_regist
 DETAIL = list(dict.fromkeys(["assignment_date", *SCORED, "temperature", "global_priority_rank", "store_priority_rank", "advisor_id", "assignment_status", "responded_at", "responded_by", *MART, *MART_EXTRA]))
 
 _Q: dict[str, Callable[[Domain], DataFrame]] = {
+    "csv_round_trip": csv_round_trip,
+    "conversation_round_trip": conversation_round_trip,
+    "ingestion_log": ingestion_log,
+    "nul_free_messages": nul_free_messages,
+    "leakage_report": leakage_report,
+    "golden_set": lambda d: evaluation.golden_set(d.raw("REVIEWS")),
     "stg_leads": lambda d: d.leads,
     "stg_catalogo_motos": lambda d: _doubles(d.catalog, "precio_lista"),
     "stg_asesores": lambda d: d.advisors,
@@ -273,7 +338,7 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "model_fuzzy_matches": lambda d: d.fuzzy,
     "catalog_availability": lambda d: d.availability,
     "lead_model_match_exact": lambda d: _doubles(d.match_exact, "precio_lista"),
-    "lead_model_match": lambda d: matching.lead_model_match(d.leads, d.catalog, d.aliases, d.fuzzy, d.availability),
+    "lead_model_match": lambda d: _doubles(matching.lead_model_match(d.leads, d.catalog, d.aliases, d.fuzzy, d.availability), "precio_lista"),
     "identity_signals": lambda d: d.signals,
     "lead_identity_map": lambda d: _flat_identity(d.identity),
     "customer_identity": lambda d: identity.customer_identity(d.identity, d.leads).drop("identity_evidence").withColumns({"lead_ids": F.array_join("lead_ids", ","), "channels": F.array_join("channels", ",")}),
@@ -303,7 +368,9 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "lead_history": lambda d: reports.lead_history(conv.conversation_messages(d.conversations), d.responded, DAY, None, reports.Scope("E1")),
     "upserted_scores": upserted_scores,
     "operational_validation": lambda d: quality.operational_validation(d.assignments, d.mart, d.advisors, DAY),
+    "operational_validation_damaged": validation_of_damage,
     "data_checks": data_checks,
+    "data_checks_damaged": lambda d: data_checks(d, True),
     "profile": lambda d: profiling.profile(d.raw("LEADS"), d.raw_conversations, d.raw("CATALOG"), d.raw("ADVISORS"), d.raw("HISTORY")),
     "phone_profile": lambda d: profiling.profile(d.raw("LEADS"), d.raw_conversations, d.raw("CATALOG"), d.raw("ADVISORS"), d.raw("HISTORY")).where("section = 'phones' and metric like '%_global' or metric like '%_cross_company'").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).cast("long").alias(m) for m in ("duplicate_groups_global", "duplicate_groups_cross_company")]),
     "field_quality": lambda d: evaluation.field_metrics(_extraction_results(d)),
@@ -312,6 +379,7 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "prediction_quality": lambda d: _rounded(evaluation.evaluate_predictions(_ranked_history(d)), "positive_rate", "roc_auc", "average_precision", "brier"),
     "ranking_quality": lambda d: evaluation.ranking_metrics(_ranked_history(d), 0.1),
     "ranking_quality_20": lambda d: evaluation.ranking_metrics(_ranked_history(d), 0.2),
+    "ranking_quality_capacity": lambda d: evaluation.ranking_metrics(_ranked_history(d), propensity.capacity_share(d.advisors, d.leads).first()["capacity_share"] or 0.0),
     "capacity_share": lambda d: propensity.capacity_share(d.advisors, d.leads),
     "dataset_hash": lambda d: propensity.dataset_hash(propensity.training_set(d.history)),
     "propensity_scores": propensity_scores,
@@ -320,6 +388,6 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for name, f in _Q.items()}
-#: No SQL for edit similarity, regular expressions with Unicode word ends, fitted models and row hashes: those have tests.
+#: No SQL for regular expressions with Unicode word ends, fitted models and row hashes: those have tests.
 ORACLES: dict[str, str] = {name: oracles.query(name) for name in _Q if name in oracles.STEPS}
 ORACLES["available_dates"] = oracles.query("assignments", "SELECT DISTINCT assignment_date FROM assignments WHERE empresa_id = 'E1' ORDER BY 1 DESC")

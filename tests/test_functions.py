@@ -53,3 +53,12 @@ def test_error_classes(spark):
 @pytest.mark.parametrize("value,expected", [("Bogotá D.C.", "bogota"), ("  RIO   negro ", "rionegro"), ("Lima", None)])
 def test_city(spark, value, expected):
     assert column(spark, [value], T.city) == [expected]
+
+
+def test_nul_goes_however_deep(spark):
+    schema = "a string, s struct<t:string,n:int>, l array<struct<m:map<string,array<string>>>>, i int, b binary"
+    row = ("x\x00y", ("\x00", 1), [({"k": ["p\x00", None]},), (None,), None], 5, b"\x00")
+    out = T.without_nul(spark.createDataFrame([row, (None,) * 5], schema))
+    assert out.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    first = next(r for r in out.collect() if r["a"]).asDict(recursive=True)
+    assert first == {"a": "xy", "s": {"t": "", "n": 1}, "l": [{"m": {"k": ["p", None]}}, {"m": None}, None], "i": 5, "b": bytearray(b"\x00")}
