@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.operators.components import connected_components
+from leadflow.plans.session import materialise
 
 # Fixed values of the data contract.
 DUMMY_EMAILS = (
@@ -36,41 +37,99 @@ def identity_signals(leads: DataFrame) -> DataFrame:
     return leads.select(*base, F.explode(kinds).alias("s")).select(*base, "s.*").where("signal_value is not null").distinct()
 
 
-def lead_identity_map(leads: DataFrame, signals: DataFrame) -> DataFrame:
-    """Identity of each lead that has a signal in a company. [raw_row_id]
+KEY = ["empresa_id", "signal_type", "signal_value"]
 
-    Leads of a company that share a signal value are linked through the value's smallest raw_row_id, so
-    a value of n leads costs n links. The id is a hash of the company and the component's smallest phone,
-    else e-mail, else source id.
-    """
-    own = signals.where("empresa_id is not null").select("raw_row_id", "empresa_id", "signal_type", "signal_value")
-    hubs = own.groupBy("empresa_id", "signal_type", "signal_value").agg(F.min("raw_row_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = own.join(hubs, ["empresa_id", "signal_type", "signal_value"]).select("u", F.col("raw_row_id").alias("v"))
-    found = connected_components(edges)
-    members = own.select("raw_row_id", "empresa_id").distinct().join(found.withColumnRenamed("node", "raw_row_id"), "raw_row_id", "left")
-    members = members.select("raw_row_id", "empresa_id", F.coalesce("component", "raw_row_id").alias("component_key"))
-    smallest = lambda kind: F.min(F.when(F.col("signal_type") == kind, F.col("signal_value")))
+
+def _own(signals: DataFrame) -> DataFrame:
+    return signals.where("empresa_id is not null").select("raw_row_id", "lead_id", *KEY)
+
+
+def signal_holders(signals: DataFrame) -> DataFrame:
+    """{empresa_id, signal_type, signal_value, raw_row_id}: each value's smallest row. Rows that share a value are linked through it,
+    so a value of n leads costs n links."""
+    return _own(signals).groupBy(*KEY).agg(F.min("raw_row_id").alias("raw_row_id"))
+
+
+def identity_components(signals: DataFrame) -> DataFrame:
+    """{raw_row_id, component_key}: leads of a company that share signals, directly or through others; the key is the smallest row."""
+    own = _own(signals)
+    hubs = own.groupBy(*KEY).agg(F.min("raw_row_id").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = connected_components(own.join(hubs, KEY).select("u", F.col("raw_row_id").alias("v")))
+    rows = own.select("raw_row_id").distinct().join(found.withColumnRenamed("node", "raw_row_id"), "raw_row_id", "left")
+    return rows.select("raw_row_id", F.coalesce("component", "raw_row_id").alias("component_key"))
+
+
+def describe_components(components: DataFrame, leads: DataFrame, signals: DataFrame) -> DataFrame:
+    """The identity of each lead of `components`. [raw_row_id]
+
+    The id is a hash of the company and the component's smallest phone, else e-mail, else source id. Signals are first put together
+    by lead, so that one grouping by component has all that is told of it."""
+    smallest = lambda kind: F.min(F.when(F.col("signal_type") == kind, F.col("signal_value"))).alias(kind)
     hashed = F.struct(F.md5("signal_value").alias("value_hash"), "signal_type")
-    named = (
-        own.join(members.drop("empresa_id"), "raw_row_id").groupBy("component_key", "empresa_id")
-        .agg(
-            F.concat(F.lit("CID_"), F.md5(F.concat_ws("|", "empresa_id", F.coalesce(smallest("PHONE"), smallest("EMAIL"), smallest("SOURCE_LEAD_ID"))))).alias("customer_identity_id"),
-            F.array_sort(F.collect_set("signal_type")).alias("signal_types"), F.array_sort(F.collect_set(hashed)).alias("signals"),
-        )
-        .select("component_key", "empresa_id", "customer_identity_id", F.struct("signal_types", "signals").alias("identity_evidence"))
+    kinds = ("PHONE", "EMAIL", "SOURCE_LEAD_ID")
+    by_lead = _own(signals).groupBy("raw_row_id", "empresa_id").agg(*[smallest(k) for k in kinds], F.collect_set(hashed).alias("held"))
+    rows = by_lead.join(components.select("raw_row_id", "component_key"), "raw_row_id").join(leads.select("raw_row_id", "lead_id", "canal_normalizado"), "raw_row_id")
+    rows = rows.select("raw_row_id", "lead_id", "empresa_id", "component_key", "canal_normalizado", "held", *kinds)
+    held = F.array_sort(F.array_distinct(F.flatten(F.collect_list("held"))))
+    told = rows.groupBy("component_key", "empresa_id").agg(
+        *[F.min(k).alias(k) for k in kinds], held.alias("signals"), F.count("*").alias("identity_member_count"),
+        F.size(F.collect_set("lead_id")).alias("ids"), F.size(F.collect_set("canal_normalizado")).alias("channels"),
     )
-    stats = (
-        members.join(leads.select("raw_row_id", "lead_id", "canal_normalizado"), "raw_row_id").groupBy("component_key", "empresa_id")
-        .agg(F.count("*").alias("identity_member_count"), F.countDistinct("lead_id").alias("ids"), F.countDistinct("canal_normalizado").alias("channels"))
+    told = told.select(
+        "component_key", "empresa_id", F.concat(F.lit("CID_"), F.md5(F.concat_ws("|", "empresa_id", F.coalesce(*kinds)))).alias("customer_identity_id"), "identity_member_count", "ids", "channels",
+        F.struct(F.array_sort(F.array_distinct(F.transform("signals", lambda x: x["signal_type"]))).alias("signal_types"), "signals").alias("identity_evidence"),
     )
-    whole = members.join(named, ["component_key", "empresa_id"]).join(stats, ["component_key", "empresa_id"])
-    return whole.join(leads.select("raw_row_id", "lead_id"), "raw_row_id").select(
+    return rows.select("raw_row_id", "lead_id", "empresa_id", "component_key").join(told, ["component_key", "empresa_id"]).select(
         "raw_row_id", "lead_id", "empresa_id", "customer_identity_id", "identity_member_count",
         (F.col("identity_member_count") > 1).alias("is_duplicate_identity"), (F.col("identity_member_count") > F.col("ids")).alias("is_source_duplicate"),
         (F.col("channels") > 1).alias("has_multiple_channels"), "identity_evidence",
     )
 
 
+def lead_identity_map(leads: DataFrame, signals: DataFrame) -> DataFrame:
+    """Identity of each lead that has a signal in a company. [raw_row_id]"""
+    return describe_components(materialise(identity_components(signals), "identity-components"), leads, signals)
+
+
+def grow_components(known: DataFrame, holders: DataFrame, new_signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A day's signals against what is known: (added {raw_row_id, component_key}, moved {component_key, to}).
+
+    known {raw_row_id, component_key} and holders (signal_holders of all signals so far) are only looked up: known components
+    are single nodes, and edges are those of the day. added has the day's rows, moved the known components that the day
+    has joined to a smaller key; of every other row nothing changes. All but the look-ups costs what the day costs.
+    A row that was known before may come again with more signals.
+    """
+    day = materialise(_own(new_signals), "identity-day")
+    first = day.groupBy(*KEY).agg(F.min("raw_row_id").alias("first"))
+    seen = first.join(holders.withColumnRenamed("raw_row_id", "holder"), KEY, "left")
+    hub = known.select(F.col("raw_row_id").alias("holder"), F.col("component_key").alias("held_by"))
+    hubs = seen.join(hub, "holder", "left").select(*KEY, F.coalesce("held_by", "first").alias("hub"))
+    rows = day.select("raw_row_id").distinct().join(known, "raw_row_id", "left").select("raw_row_id", F.coalesce("component_key", "raw_row_id").alias("node"))
+    rows = materialise(rows, "identity-rows")
+    edges = day.join(hubs, KEY).join(rows, "raw_row_id").select(F.col("hub").alias("u"), F.col("node").alias("v")).where("u != v")
+    found = materialise(connected_components(edges), "identity-moves")
+    added = rows.join(found, "node", "left").select("raw_row_id", F.coalesce("component", "node").alias("component_key"))
+    touched = hubs.select(F.col("hub").alias("node")).unionByName(rows.select("node")).distinct()
+    old = touched.join(known.select(F.col("component_key").alias("node")).distinct(), "node", "left_semi")
+    moved = old.join(found.where("node != component"), "node").select(F.col("node").alias("component_key"), F.col("component").alias("to"))
+    return added, moved
+
+
+def extend_components(known: DataFrame, added: DataFrame, moved: DataFrame) -> DataFrame:
+    """known with a day's rows and moves."""
+    kept = known.join(added.select("raw_row_id"), "raw_row_id", "left_anti").join(moved, "component_key", "left")
+    return kept.select("raw_row_id", F.coalesce("to", "component_key").alias("component_key")).unionByName(added)
+
+
+def extend_identity_map(components: DataFrame, added: DataFrame, leads: DataFrame, signals: DataFrame) -> DataFrame:
+    """The rows of the map that a day changes or adds: those of every component that has one of the day's rows. `components`,
+    `leads` and `signals` include the day; the rows of other components are what they were, so these are to be upserted."""
+    touched = added.select("component_key").distinct()
+    rows = materialise(components.join(touched, "component_key", "left_semi"), "identity-touched")
+    own = rows.select("raw_row_id")
+    return describe_components(rows, leads.join(own, "raw_row_id", "left_semi"), signals.join(own, "raw_row_id", "left_semi"))
+
+
 def customer_identity(identity: DataFrame, leads: DataFrame) -> DataFrame:
     """One row per customer: members, distinct ids, phones, e-mails and channels, and their sorted lists."""
     seen = identity.join(leads.select("raw_row_id", "telefono_normalizado", "email_normalizado", "canal_normalizado"), "raw_row_id")

@@ -9,55 +9,74 @@ from pyspark.sql import functions as F
 
 from leadflow.functions import text as T
 from leadflow.functions.dates import date_format_label, date_status
+from leadflow.plans.session import materialise
 
 
-def _one(section: str, df: DataFrame, **measures: Column) -> DataFrame:
-    """All measures of a table in one pass, then one row each."""
-    row = df.agg(*[m.cast("double").alias(n) for n, m in measures.items()])
-    return row.unpivot([], list(measures), "metric", "value").select(F.lit(section).alias("section"), "metric", F.lit("").alias("key"), "value")
+def _keys(df: DataFrame, **kinds: Column) -> DataFrame:
+    """{kind, key, part, n}: how many rows of df have each key of each kind, in one pass. A kind is a column, or a struct of a key
+    and a part of it; rows without a key count for nothing."""
+    pairs = []
+    for kind, c in kinds.items():
+        key, part = c if isinstance(c, tuple) else (c, F.lit(None))
+        pairs.append(F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), part.cast("string").alias("part")))
+    each = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").where("key is not null")
+    return materialise(each.groupBy("kind", "key", "part").agg(F.count(F.lit(1)).alias("n")), "profile-keys")
 
 
-def _counts(section: str, metric: str, df: DataFrame, key: Column) -> DataFrame:
-    return df.groupBy(F.coalesce(key.cast("string"), F.lit("")).alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit(section).alias("section"), F.lit(metric).alias("metric"), "key", "value")
+def _rows(section: str, metric: Column, key: Column, value: Column) -> list[Column]:
+    return [F.lit(section).alias("section"), metric.alias("metric"), key.alias("key"), value.cast("double").alias("value")]
 
 
-def null_counts(section: str, df: DataFrame) -> DataFrame:
-    cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double")]
-    row = df.agg(*[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("double").alias(c) for c in cols])
-    return row.unpivot([], cols, "key", "value").select(F.lit(section).alias("section"), F.lit("nulls").alias("metric"), "key", "value")
+def _measures(section: str, df: DataFrame, **measures: Column) -> DataFrame:
+    """One row of df's measures as a row each."""
+    row = df.agg(*[F.coalesce(m.cast("double"), F.lit(0.0)).alias(n) for n, m in measures.items()])
+    return row.unpivot([], list(measures), "metric", "value").select(*_rows(section, F.col("metric"), F.lit(""), F.col("value")))
+
+
+def _counts(section: str, keys: DataFrame, *kinds: str) -> DataFrame:
+    return keys.where(F.col("kind").isin(*kinds)).select(*_rows(section, F.col("kind"), F.col("key"), F.col("n")))
+
+
+def _is(kind: str) -> Column:
+    return F.col("kind") == kind
 
 
 def profile(leads: DataFrame, conversations: DataFrame, catalog: DataFrame, advisors: DataFrame, history: DataFrame) -> DataFrame:
-    """Counts, distinct ids, nulls, value and format counts, phones shared within and across companies, orphans and outcomes."""
-    c = F.col
-    digits = c("telefono").isNotNull() & (F.trim("telefono") != "")
-    phones = leads.where(digits).select("empresa_id", T.profile_phone(c("telefono")).alias("phone"))
-    groups = phones.groupBy("phone").agg(F.count("*").alias("n"), F.countDistinct("empresa_id").alias("companies"))
-    inside = phones.groupBy("phone", "empresa_id").agg(F.count("*").alias("n"))
-    ids = leads.groupBy("lead_id").agg(F.count("*").alias("n"))
-    outcome = T.normalize_text(c("desenlace"))
-    orphans = conversations.join(leads.select("lead_id").distinct(), "lead_id", "left_anti")
-    per_lead = conversations.where("lead_id is not null").groupBy("lead_id").agg(F.count("*").alias("n"))
-    names = catalog.select(T.profile_model(F.concat_ws(" ", "marca", "linea")).alias("m")).distinct()
-    exact = leads.select(T.profile_model(c("modelo_interes_texto")).alias("m")).join(names, "m", "left_semi")
-    managed = F.count_if(outcome.isin("cerrado", "perdido"))
+    """Counts, distinct ids, nulls, value and format counts, phones shared within and across companies, orphans and outcomes.
+    Each table is read once: what is counted is first put together by key, and the measures are taken from these counts."""
+    c, blank = F.col, F.lit("")
+    text = [f.name for f in leads.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double")]
+    phone = F.when(c("telefono").isNotNull() & (F.trim("telefono") != ""), T.profile_phone(c("telefono")))
+    known = lambda v: F.coalesce(v, blank)
+    nulls = {f"nulls {n}": F.when(c(n).isNull() | (F.trim(c(n).cast("string")) == ""), F.lit(n)) for n in text}
+    seen = _keys(
+        leads, rows=blank, id=known(c("lead_id")), city=T.profile_city(c("ciudad")), phone=(phone, F.coalesce("empresa_id", blank)), invalid=F.when(~phone.startswith("+57"), blank),
+        model=T.profile_model(c("modelo_interes_texto")), channel=known(T.channel(c("canal"))), state=known(T.management_state(c("estado_gestion"))),
+        date_format=date_format_label(c("fecha_registro")), date_status=date_status(c("fecha_registro")), **nulls,
+    )
+    things = _keys(catalog, rows=blank, brand=c("marca"), name=T.profile_model(F.concat_ws(" ", "marca", "linea")))
+    outcomes = _keys(history, outcome=known(T.normalize_text(c("desenlace"))))
+    told = conversations.groupBy("lead_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("mensajes")).alias("messages"))
+    ids = seen.where(_is("id"))
+    told = materialise(told.join(ids.select(c("key").alias("lead_id"), F.lit(True).alias("there")), "lead_id", "left"), "profile-conversations")
+
+    by_key = seen.where(_is("phone")).groupBy("key").agg(F.sum("n").alias("n"), F.count_if(c("part") != "").alias("companies"))
+    empty = leads.sparkSession.createDataFrame([(n,) for n in text], "key string")
+    counted = seen.where(c("kind").startswith("nulls ")).select("key", "n")
+    total, done = F.sum(F.when(_is("rows"), c("n"))), F.sum(F.when(c("key").isin("cerrado", "perdido"), c("n")))
+    closed, every = F.sum(F.when(c("key") == "cerrado", c("n"))), F.sum("n")
+    active = T.yes_no(c("activo"))
     parts = [
-        _one("leads", leads, rows=F.count("*"), distinct_ids=F.countDistinct("lead_id"), invalid_phones=F.count_if(digits & ~T.profile_phone(c("telefono")).startswith("+57")), cities=F.countDistinct(T.profile_city(c("ciudad")))),
-        _one("leads", ids.where("n > 1"), duplicate_ids=F.count("*")),
-        _one("leads", exact, exact_catalog_hits=F.count("*")),
-        _one("phones", groups, duplicate_groups_global=F.count_if(c("n") > 1), duplicate_groups_cross_company=F.count_if(c("companies") > 1)),
-        _one("phones", inside, duplicate_groups_within_company=F.count_if(c("n") > 1)),
-        null_counts("leads", leads),
-        _counts("leads", "channel", leads, T.channel(c("canal"))),
-        _counts("leads", "state", leads, T.management_state(c("estado_gestion"))),
-        _counts("leads", "date_format", leads, date_format_label(c("fecha_registro"))),
-        _counts("leads", "date_status", leads, date_status(c("fecha_registro"))),
-        _one("conversations", conversations, rows=F.count("*"), average_messages=F.round(F.avg(F.size("mensajes")), 4)),
-        _one("conversations", orphans, orphans=F.count("*")),
-        _one("conversations", per_lead.where("n > 1"), leads_with_several=F.count("*")),
-        _one("catalog", catalog, rows=F.count("*"), brands=F.countDistinct("marca")),
-        _one("advisors", advisors, active=F.count_if(T.yes_no(c("activo"))), inactive=F.count_if(~T.yes_no(c("activo"))), active_capacity=F.coalesce(F.sum(F.when(T.yes_no(c("activo")), T.safe_integer(c("capacidad_diaria_leads")))), F.lit(0))),
-        _one("history", history, rows=F.count("*"), close_rate=F.round(F.count_if(outcome == "cerrado") / F.count("*"), 6), close_rate_managed=F.round(F.count_if(outcome == "cerrado") / F.when(managed > 0, managed), 6)),
-        _counts("history", "outcome", history, outcome),
+        _measures("leads", seen, rows=total, distinct_ids=F.count_if(_is("id") & (c("key") != "")), invalid_phones=F.sum(F.when(_is("invalid"), c("n"))), cities=F.count_if(_is("city")), duplicate_ids=F.count_if(_is("id") & (c("n") > 1))),
+        _measures("leads", seen.where(_is("model")).join(things.where(_is("name")).select("key"), "key", "left_semi"), exact_catalog_hits=F.sum("n")),
+        _measures("phones", by_key, duplicate_groups_global=F.count_if(c("n") > 1), duplicate_groups_cross_company=F.count_if(c("companies") > 1)),
+        _measures("phones", seen.where(_is("phone")), duplicate_groups_within_company=F.count_if(c("n") > 1)),
+        empty.join(counted, "key", "left").select(*_rows("leads", F.lit("nulls"), c("key"), F.coalesce("n", F.lit(0)))),
+        _counts("leads", seen, "channel", "state", "date_format", "date_status"),
+        _measures("conversations", told, rows=every, average_messages=F.round(F.sum("messages") / every, 4), orphans=F.sum(F.when(c("there").isNull(), c("n"))), leads_with_several=F.count_if((c("n") > 1) & c("lead_id").isNotNull())),
+        _measures("catalog", things, rows=total, brands=F.count_if(_is("brand"))),
+        _measures("advisors", advisors, active=F.count_if(active), inactive=F.count_if(~active), active_capacity=F.sum(F.when(active, T.safe_integer(c("capacidad_diaria_leads"))))),
+        _measures("history", outcomes, rows=every, close_rate=F.round(closed / every, 6), close_rate_managed=F.round(closed / done, 6)),
+        _counts("history", outcomes, "outcome"),
     ]
     return reduce(DataFrame.unionByName, parts)

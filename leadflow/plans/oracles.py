@@ -89,6 +89,22 @@ def amount(c: str) -> str:
     return f"CASE WHEN {money} THEN try_cast({plain} AS DOUBLE) * CASE WHEN {s} LIKE 'millon%' OR {s} LIKE 'palo%' THEN 1000000.0 WHEN {s} LIKE 'm%' THEN 1000.0 ELSE 1.0 END END"
 
 
+def profile_city(c: str) -> str:
+    v = f"replace({nt(c)}, '.', '')"
+    aliases = {"bogota dc": "bogota", "bogota d c": "bogota", "cartagena de indias": "cartagena", "rio negro": "rionegro", "sta marta": "santa marta", "b/quilla": "barranquilla"}
+    return f"coalesce({mapped(v, aliases)}, {v})"
+
+
+def profile_model(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({lex(c)}, '\\b2026\\b', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def profile_phone(c: str) -> str:
+    d = digits(c)
+    local = f"CASE WHEN starts_with({d}, '0057') AND length({d}) = 14 THEN substr({d}, 5, 10) WHEN starts_with({d}, '57') AND length({d}) = 12 THEN substr({d}, 3, 10) ELSE {d} END"
+    return f"CASE WHEN trim({c}) <> '' THEN CASE WHEN regexp_matches({local}, '^3[0-9]{{9}}$') THEN '+57' || ({local}) ELSE {local} END END"
+
+
 YES = {"si": True, "no": False}
 DECIMAL = r"^[0-9]+(\.[0-9]+)?$"
 
@@ -226,6 +242,7 @@ STEPS |= {
             array_to_string(list_sort(list(DISTINCT signal_type)), ',') AS signal_types, array_to_string(list_sort(list(DISTINCT md5(signal_value) || ':' || signal_type)), ',') AS signals
           FROM identity_signals JOIN identity_components USING (raw_row_id) WHERE empresa_id IS NOT NULL GROUP BY 1, 2) n ON n.component_key = c.component_key AND n.empresa_id = l.empresa_id
         JOIN (SELECT component_key, count(*) AS members, count(DISTINCT lead_id) AS ids, count(DISTINCT canal_normalizado) AS channels FROM identity_components JOIN stg_leads USING (raw_row_id) GROUP BY 1) s ON s.component_key = c.component_key""",
+    "grown_identity_map": "SELECT * FROM lead_identity_map",
     "customer_identity": """SELECT m.customer_identity_id, m.empresa_id, count(*) AS member_count, count(DISTINCT l.lead_id) AS lead_id_count, count(DISTINCT telefono_normalizado) AS phone_count, count(DISTINCT email_normalizado) AS email_count,
         count(DISTINCT canal_normalizado) AS channel_count, bool_or(is_source_duplicate) AS has_source_duplicate, array_to_string(list_sort(list(DISTINCT l.lead_id)), ',') AS lead_ids, coalesce(array_to_string(list_sort(list(DISTINCT canal_normalizado)), ','), '') AS channels
         FROM lead_identity_map m JOIN stg_leads l USING (raw_row_id) GROUP BY 1, 2""",
@@ -321,6 +338,24 @@ STEPS |= {
         unnest([lower(b.modelo_interes) IS NOT DISTINCT FROM lower(a.modelo_interes), CASE WHEN a.presupuesto IS NULL OR b.presupuesto IS NULL THEN a.presupuesto IS NULL AND b.presupuesto IS NULL ELSE abs(a.presupuesto - b.presupuesto) <= greatest(0.01, 0.01 * abs(b.presupuesto)) END,
           CASE WHEN a.cuota_inicial IS NULL OR b.cuota_inicial IS NULL THEN a.cuota_inicial IS NULL AND b.cuota_inicial IS NULL ELSE abs(a.cuota_inicial - b.cuota_inicial) <= greatest(0.01, 0.01 * abs(b.cuota_inicial)) END, a.forma_pago = b.forma_pago, a.intencion = b.intencion,
           a.objecion_principal IS NOT DISTINCT FROM b.objecion_principal, a.pidio_cita IS NOT DISTINCT FROM b.pidio_cita, a.pidio_cotizacion IS NOT DISTINCT FROM b.pidio_cotizacion]) AS c FROM fx_extractions a JOIN current_extractions b USING (conversation_id)) GROUP BY field""",
+    "profile_leads": f"""SELECT lead_id, empresa_id, {profile_city('ciudad')} AS city, {profile_phone('telefono')} AS phone, {profile_model('modelo_interes_texto')} AS model, coalesce({mapped(nt('canal'), T.CHANNELS)}, '') AS channel, coalesce({mapped(nt('estado_gestion'), T.STATES)}, '') AS state,
+        CASE WHEN regexp_matches(trim(fecha_registro), '^\\d{{4}}-\\d{{2}}-\\d{{2}}([ T].*)?$') THEN 'ISO' WHEN regexp_matches(trim(fecha_registro), '^\\d{{2}}-\\d{{2}}-\\d{{4}}$') THEN 'DD-MM-YYYY' WHEN regexp_matches(trim(fecha_registro), '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}([ T].*)?$') THEN 'SLASH' ELSE 'OTHER' END AS date_format,
+        {date_status('fecha_registro')} AS date_status FROM fx_leads""",
+    "profile": f"""WITH measured AS (
+        SELECT 'leads' AS section, unnest(['rows', 'distinct_ids', 'invalid_phones', 'cities', 'duplicate_ids', 'exact_catalog_hits']) AS metric, '' AS key, unnest([count(*), count(DISTINCT lead_id), count(*) FILTER (NOT starts_with(phone, '+57')), count(DISTINCT city),
+            (SELECT count(*) FROM (SELECT 1 FROM profile_leads GROUP BY lead_id HAVING count(*) > 1)), count(*) FILTER (model IN (SELECT {profile_model("concat_ws(' ', marca, linea)")} FROM fx_catalog))]::DOUBLE[]) AS value FROM profile_leads
+        UNION ALL SELECT 'phones', unnest(['duplicate_groups_global', 'duplicate_groups_cross_company', 'duplicate_groups_within_company']), '', unnest([count(*) FILTER (n > 1), count(*) FILTER (companies > 1), sum(inside)]::DOUBLE[])
+          FROM (SELECT phone, sum(n) AS n, count(empresa_id) AS companies, count(*) FILTER (n > 1) AS inside FROM (SELECT phone, empresa_id, count(*) AS n FROM profile_leads WHERE phone IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+        UNION ALL SELECT 'leads', 'nulls', k, v FROM (UNPIVOT (SELECT {', '.join(f"count(*) FILTER (coalesce(trim({c}), '') = '')::DOUBLE AS {c}" for c in ['raw_row_id', *CONTRACTS['leads']])} FROM fx_leads) ON COLUMNS(*) INTO NAME k VALUE v)
+        UNION ALL SELECT 'leads', 'channel', channel, count(*)::DOUBLE FROM profile_leads GROUP BY channel UNION ALL SELECT 'leads', 'state', state, count(*)::DOUBLE FROM profile_leads GROUP BY state
+        UNION ALL SELECT 'leads', 'date_format', date_format, count(*)::DOUBLE FROM profile_leads GROUP BY date_format UNION ALL SELECT 'leads', 'date_status', date_status, count(*)::DOUBLE FROM profile_leads GROUP BY date_status
+        UNION ALL SELECT 'conversations', unnest(['rows', 'average_messages', 'orphans', 'leads_with_several']), '', unnest([(SELECT count(*) FROM fx_conversation_heads), (SELECT round(count(*) / (SELECT count(*) FROM fx_conversation_heads)::DOUBLE, 4) FROM fx_turns),
+          (SELECT count(*) FROM fx_conversation_heads WHERE lead_id IS NULL OR lead_id NOT IN (SELECT lead_id FROM fx_leads)), (SELECT count(*) FROM (SELECT 1 FROM fx_conversation_heads WHERE lead_id IS NOT NULL GROUP BY lead_id HAVING count(*) > 1))]::DOUBLE[])
+        UNION ALL SELECT 'catalog', unnest(['rows', 'brands']), '', unnest([count(*), count(DISTINCT marca)]::DOUBLE[]) FROM fx_catalog
+        UNION ALL SELECT 'advisors', unnest(['active', 'inactive', 'active_capacity']), '', unnest([count(*) FILTER (activo), count(*) FILTER (NOT activo), coalesce(sum(capacidad_diaria_leads) FILTER (activo), 0)]::DOUBLE[]) FROM stg_asesores
+        UNION ALL SELECT 'history', unnest(['rows', 'close_rate', 'close_rate_managed']), '', unnest([count(*), round(count(*) FILTER (o = 'cerrado') / count(*)::DOUBLE, 6), round(count(*) FILTER (o = 'cerrado') / (count(*) FILTER (o IN ('cerrado', 'perdido')))::DOUBLE, 6)]::DOUBLE[]) FROM (SELECT {nt('desenlace')} AS o FROM fx_history)
+        UNION ALL SELECT 'history', 'outcome', coalesce({nt('desenlace')}, ''), count(*)::DOUBLE FROM fx_history GROUP BY ALL)
+        SELECT * FROM measured""",
     "phone_profile": f"""SELECT count(*) FILTER (n > 1) AS duplicate_groups_global, count(*) FILTER (companies > 1) AS duplicate_groups_cross_company FROM (SELECT phone, count(*) AS n, count(DISTINCT empresa_id) AS companies FROM
         (SELECT empresa_id, CASE WHEN starts_with({digits('telefono')}, '0057') AND length({digits('telefono')}) = 14 THEN substr({digits('telefono')}, 5) WHEN starts_with({digits('telefono')}, '57') AND length({digits('telefono')}) = 12 THEN substr({digits('telefono')}, 3) ELSE {digits('telefono')} END AS phone FROM fx_leads WHERE telefono IS NOT NULL) GROUP BY 1)""",
 }

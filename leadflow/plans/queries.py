@@ -138,6 +138,18 @@ class Domain:
         return self.keep("responded", lambda: reports.apply_responded(blank, self.events)[0])
 
 
+def grown_identity_map(d: Domain) -> DataFrame:
+    """The identity map of all leads but one day's, grown by that day: what the day changes put over what was there."""
+    day = F.substring("raw_row_id", -1, 1) == "7"
+    old, new = d.signals.where(~day), d.signals.where(day)
+    known = materialise(identity.identity_components(old), "identity-known")
+    before = identity.describe_components(known, d.leads.where(~day), old)
+    added, moved = identity.grow_components(known, identity.signal_holders(old), new)
+    added = materialise(added, "identity-added")
+    changed = materialise(identity.extend_identity_map(identity.extend_components(known, added, moved), added, d.leads, d.signals), "identity-changed")
+    return before.join(changed.select("raw_row_id"), "raw_row_id", "left_anti").unionByName(changed)
+
+
 def _flat_identity(df: DataFrame) -> DataFrame:
     e = F.col("identity_evidence")
     hashed = F.transform(e["signals"], lambda s: F.concat_ws(":", s["value_hash"], s["signal_type"]))
@@ -341,6 +353,7 @@ _Q: dict[str, Callable[[Domain], DataFrame]] = {
     "lead_model_match": lambda d: _doubles(matching.lead_model_match(d.leads, d.catalog, d.aliases, d.fuzzy, d.availability), "precio_lista"),
     "identity_signals": lambda d: d.signals,
     "lead_identity_map": lambda d: _flat_identity(d.identity),
+    "grown_identity_map": lambda d: _flat_identity(grown_identity_map(d)),
     "customer_identity": lambda d: identity.customer_identity(d.identity, d.leads).drop("identity_evidence").withColumns({"lead_ids": F.array_join("lead_ids", ","), "channels": F.array_join("channels", ",")}),
     "cross_company_signals": lambda d: identity.cross_company_signals(d.signals),
     "conversation_messages": lambda d: conv.conversation_messages(d.conversations),
