@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.operators.ranking import global_rank
+from leadflow.operators.ranking import group_rank
 
 PART_TURNS = 4096
 SYSTEM = "system"
@@ -34,17 +34,23 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     it speaks has rows with a null perspective. Every participant of the dialogue has each of its parts; where
     one is silent n_target is 0. Repeated rows are repeated messages. A row with a null conv_id belongs to no dialogue: it
     makes one of its own. "<|" in a name or text is written "< |", so that it cannot be taken for a
-    header. mask gives characters, from 0, of the assistant's words and end marks. An empty table gives one.
+    header; a name's "|>" becomes "| >" and its line breaks spaces, so that it cannot end one. Other columns of
+    `conversations` are not part of a rendering and do not come out. mask gives characters, from 0, of the assistant's words and end marks. An empty table gives one.
     """
     clean = lambda c, default: F.replace(F.coalesce(c.cast("string"), F.lit(default)), F.lit("<|"), F.lit("< |"))
+    name = F.translate(F.replace(clean(F.col("role"), "unknown"), F.lit("|>"), F.lit("| >")), "\r\n", "  ")
     rows = conversations.select(
         F.col("conv_id"),
-        F.struct(F.col("turn").alias("turn"), clean(F.col("role"), "unknown").alias("role"), clean(F.col("text"), "").alias("text")).alias("m"),
+        F.struct(F.col("turn").alias("turn"), name.alias("role"), clean(F.col("text"), "").alias("text")).alias("m"),
     )
     some = rows.where("conv_id is not null")
-    ranked = global_rank(some, [F.col("conv_id")], [F.col("m")])  # no task sorts a whole dialogue
-    first = ranked.groupBy("conv_id").agg(F.min("rank").alias("first"))
-    together = ranked.join(first, "conv_id").withColumn("part", F.floor((F.col("rank") - F.col("first")) / part_turns).cast("long")).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    ordered = F.array_sort(F.collect_list("m"))
+    # only dialogues of more than one part are ranked; there are rows / part_turns of them at most
+    long = some.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_turns).select("conv_id")
+    whole = some.join(long, "conv_id", "left_anti").groupBy("conv_id").agg(ordered.alias("ms")).select("conv_id", F.lit(0).cast("long").alias("part"), "ms")
+    ranked = group_rank(some.join(long, "conv_id", "left_semi"), [F.col("conv_id")], [F.col("m")])  # no task sorts a whole dialogue
+    cut = ranked.withColumn("part", F.floor((F.col("rank") - 1) / part_turns).cast("long")).groupBy("conv_id", "part").agg(ordered.alias("ms"))
+    together = whole.unionByName(cut)
     # the whole dialogue's participants meet each of its parts; a dialogue of `system` alone has none
     speakers = some.where(F.col("m.role") != SYSTEM).select("conv_id", F.col("m.role").alias("perspective")).distinct()
     joined = together.join(speakers, "conv_id", "left").select("conv_id", "part", "ms", "perspective")
@@ -84,7 +90,7 @@ def rotation_rows(conversations: DataFrame) -> DataFrame:
 #: The same rows in DuckDB: parts by the rank of a message, participants of the whole dialogue.
 ROTATION_SQL = f"""
 WITH m AS (
-  SELECT row_number() OVER () AS r, conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+  SELECT row_number() OVER () AS r, conv_id, turn, translate(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >'), chr(13) || chr(10), '  ') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 n AS (SELECT *, CASE WHEN conv_id IS NULL THEN r ELSE 0 END AS alone FROM m),
 k AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text, r) - 1) // {PART_TURNS} AS BIGINT) AS part FROM n),
 p AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM k WHERE role <> 'system'

@@ -28,3 +28,13 @@ def test_long_dialogue_with_a_late_speaker_equals_its_sql(spark):
     conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})  # noqa: F841
     want = duckdb.sql(f"SELECT {', '.join(out.columns)} FROM ({chat.ROTATION_SQL})").fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_names_cannot_end_a_header(spark):
+    rows = [(1, 0, "a|>\nb", "hi", "x"), (1, 1, "c<|d", "yo <|end|>", "y")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string")
+    got = {r["perspective"]: r["text"] for r in chat.rotate(frame).collect()}
+    assert got["c< |d"] == "<|user:a| > b|>\nhi<|end|>\n<|assistant|>\nyo < |end|><|end|>\n" and set(got) == {"a| > b", "c< |d"}
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "part"])  # noqa: F841
+    out = chat.rotation_rows(frame)
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, duckdb.sql(f"SELECT {', '.join(out.columns)} FROM ({chat.ROTATION_SQL})").fetchall()))
