@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import pieces, spare_name
@@ -240,9 +241,10 @@ def held_out(parts: int = 3, part: int = 1):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, longest: int = 50_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, longest: int = 50_000, lines: int = 400_000) -> Model:
     """Train on a bounded sample outside the held-out fold: up to `each` good and as many bad documents of at most
-    `longest` characters, chosen by a hash of their ids. Line features are made on the executors."""
+    `longest` characters, chosen by a hash of their ids, and of these in that order as many as have `lines` lines together.
+    Line features are made on the executors."""
     label = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = docs.where("text is not null and doc_id is not null").select("doc_id", "text").where(F.length("text") <= longest)
     known = texts.select("doc_id").join(label, "doc_id").distinct()
@@ -259,6 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, longest: int = 50_
 
     # one text an id, so that rows that share one do not add up; ids are 2 * each at most, so they are broadcast
     chosen = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
+    sofar = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).over(W.orderBy(order, "doc_id"))  # 2 * each rows at most
+    chosen = chosen.withColumn("sofar", sofar).where(F.col("sofar") <= lines).select("doc_id", "quality", "text")
     rows = chosen.mapInArrow(features, "doc_id long, quality int, x binary, size binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     if not rows:

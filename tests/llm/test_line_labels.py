@@ -24,3 +24,12 @@ def test_less_than_half_of_a_document_changes():
     good = np.array([True, False, True])
     got = quality.line_labels(good, size, counts, np.array([0.01, 0.05, 0.02, 0.95, 0.99, 0.5]))
     assert got.tolist() == [0, 1, 1, 1, 0, 1]  # a second line would make it half; a lone line keeps its label
+
+
+def test_a_fit_is_bounded_in_lines(spark):
+    docs = spark.createDataFrame([(i, "\n" * 3000 if i % 5 == 0 else f"Some words of prose, number {i}, stand here.") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, lines=7000)
+    assert np.isfinite(model.weights).all() and np.isfinite([model.slope, model.offset]).all()
+    none = quality.fit(docs, labels, lines=0)
+    assert none.score(quality.line_features(["x"])).tolist() == [0.5]
