@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +45,21 @@ def spare_name(taken: list[str], name: str) -> str:
     return name
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> Iterator[None]:
+    """While this lasts, jobs send rows to Python in batches of so many rows and bytes at most: a batch stands in memory on
+    both sides. The session's settings come back afterwards, so only what is written meanwhile is affected."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    held = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about most_bytes of text each (one row at least), so that working arrays stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

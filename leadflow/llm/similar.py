@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadflow.llm import simhash
-from leadflow.llm.common import NULL_ID, keyed, pieces
+from leadflow.llm.common import NULL_ID, keyed, pieces, small_batches
 from leadflow.operators.components import connected_components
 from leadflow.plans.session import materialise
 
@@ -161,7 +161,14 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """documents -> {doc_id, _d, _k, first}; first: the smallest {_d, _k} of the group of near-duplicates."""
+    """documents -> {doc_id, _d, _k, first}; first: the smallest {_d, _k} of the group of near-duplicates.
+
+    All that Python does is written before this returns, in small batches: a pair brings two whole sets."""
+    with small_batches(docs.sparkSession):
+        return _grouped(docs, k, seed)
+
+
+def _grouped(docs: DataFrame, k: int, seed: int) -> DataFrame:
     marks = materialise(_marks(docs, k, seed), "similar")
     nodes = marks.groupBy("node").agg(F.min(F.struct("_d", "_k")).alias("m"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH)])
     nodes = materialise(nodes.select("node", "m._d", "m._k", "n", "fp", *SKETCH), "similar-nodes")
