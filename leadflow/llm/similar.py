@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadflow.llm import simhash
-from leadflow.llm.common import NULL_ID, keyed, pieces, small_batches
+from leadflow.llm.common import NULL_ID, keyed, lean, pieces, small_batches
 from leadflow.operators.components import connected_components
 from leadflow.plans.session import materialise
 
@@ -81,7 +81,7 @@ def _marks(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 columns = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(simhash.fingerprints_from(hashes))]
                 yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_k"), *columns, *[pa.array(np.ascontiguousarray(c)) for c in sketch.T]], names=["_d", "_k", "node", "n", "fp", *SKETCH])
 
-    return keyed(docs).select("_d", "_k", "text").mapInArrow(run, "_d long, _k long, node long, n long, fp long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return keyed(docs).select("_d", "_k", "text").mapInArrow(lean(run), "_d long, _k long, node long, n long, fp long, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def _common(docs: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def _common(docs: DataFrame, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     some = keyed(docs).where(F.pmod(F.xxhash64("_k"), F.lit(SAMPLE)) == 0).dropDuplicates(["_k"]).select("text")
-    found = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    found = some.mapInArrow(lean(run), "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     h, n = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -120,13 +120,21 @@ def _prefixes(docs: DataFrame, k: int, seed: int, common: np.ndarray, counts: np
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], names=["h", "node", "n", "at"])
 
-    return keyed(docs).select("text").mapInArrow(run, "h long, node long, n long, at long")
+    return keyed(docs).select("text").mapInArrow(lean(run), "h long, node long, n long, at long")
 
 
 def _alike_in_size(a: str, b: str) -> Column:
     return UNDER * F.least(a, b) >= OVER * F.greatest(a, b)
 
 
+def _enough(one: tuple[str, str], other: tuple[str, str]) -> Column:
+    """Whether two sets of these sizes, with a shingle in common at these places of their orders, can be similar if it is the
+    first that they share: enough of both must be left. Of two similar sets the first shared shingle always passes."""
+    (n, at), (m, to) = one, other
+    rest = 1 + F.least(F.col(n) - F.col(at) - 1, F.col(m) - F.col(to) - 1)
+    return _alike_in_size(n, m) & ((OVER + UNDER) * rest >= OVER * (F.col(n) + F.col(m)))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed: int) -> DataFrame:
     """The pairs {u, v} of nodes whose sets are similar; sketches, which never rule out such a pair, spare most texts."""
     ends = [nodes.select(*[F.col(c).alias(f"{c}_{e}") for c in ("n", *SKETCH)], F.col("node").alias(e)) for e in ("u", "v")]
@@ -144,7 +152,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
                 sets = [shingle_set(t, k, seed).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    sets = materialise(texts.mapInArrow(sets_of, "node long, set binary"), "similar-sets")  # each text is read once, however many pairs it has
+    sets = materialise(texts.mapInArrow(lean(sets_of), "node long, set binary"), "similar-sets")  # each text is read once, however many pairs it has
     both = left.join(sets.select(F.col("node").alias("u"), F.col("set").alias("own")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("other")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +160,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
             good = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.select("u", "v", "own", "other").mapInArrow(run, "u long, v long"), "similar-links")
+    return materialise(both.select("u", "v", "own", "other").mapInArrow(lean(run), "u long, v long"), "similar-links")
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -175,12 +183,14 @@ def _grouped(docs: DataFrame, k: int, seed: int) -> DataFrame:
 
     tokens = _prefixes(docs, k, seed, *_common(docs, k, seed)).repartition("h").dropDuplicates(["h", "node"])
     same = W.partitionBy("h")  # a window and not a join, which would make and deal the tokens twice; its buffer spills
-    shared = tokens.select("*", F.min("node").over(same).alias("hub"), F.max("node").over(same).alias("far")).where("hub < far").drop("far")
+    first = F.min(F.struct("node", "n", "at")).over(same)
+    shared = tokens.select("*", first.alias("hub"), F.max("node").over(same).alias("far")).where("hub.node < far")
+    shared = shared.select("h", "node", "n", "at", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.at").alias("at_hub"))
     shared = materialise(shared, "similar-shared")
 
     prints = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     by_print = simhash.links(prints).select("u", "v").unionByName(nodes.join(prints, "fp").where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v")))
-    by_hub = shared.where("node != hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    by_hub = shared.where((F.col("node") != F.col("hub")) & _enough(("n", "at"), ("n_hub", "at_hub"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
     pairs = by_print.unionByName(by_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = _verified(pairs, nodes, docs, k, seed)
 
@@ -188,10 +198,7 @@ def _grouped(docs: DataFrame, k: int, seed: int) -> DataFrame:
     mixed = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
     now = materialise(now.join(mixed, "h"), "similar-mixed")
     a, b = (now.select("h", *[F.col(x).alias(f"{x}_{e}") for x in ("node", "n", "at", "c")]) for e in ("u", "v"))
-    # at the first shingle that two similar sets share, enough of both is left
-    rest = 1 + F.least(F.col("n_u") - F.col("at_u") - 1, F.col("n_v") - F.col("at_v") - 1)
-    enough = _alike_in_size("n_u", "n_v") & ((OVER + UNDER) * rest >= OVER * (F.col("n_u") + F.col("n_v")))
-    met = a.join(b, "h").where((F.col("c_u") < F.col("c_v")) & enough).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+    met = a.join(b, "h").where((F.col("c_u") < F.col("c_v")) & _enough(("n_u", "at_u"), ("n_v", "at_v"))).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
     links = links.unionByName(_verified(met, nodes, docs, k, seed))
 
     component = _components(nodes, links)

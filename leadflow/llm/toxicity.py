@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import pieces, spare_name
+from leadflow.llm.common import lean, pieces, spare_name
 
 LENGTH = 4  # of the subsequences
 DECAY = 0.5  # weight of each character that a subsequence spans
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.probability(worst).astype(float))], names=[*rest, column])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, f"{kept}`{column}` double")
+    return frame.mapInArrow(lean(run), f"{kept}`{column}` double")
 
 
 def held_out(parts: int, part: int):
