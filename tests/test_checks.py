@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import Row
 
 from leadflow.operators import evaluation, quality
+from leadflow.plans import oracles, queries
 
 
 def n(report):
@@ -43,6 +45,26 @@ def test_a_days_validation(spark):
     assert set(quality.require_valid(good).values()) == {0}
 
 
+def test_a_day_row_by_row(spark):
+    day = spark.createDataFrame([("1", "a", "E1", "P1", 10.0, "ASSIGNED"), ("2", "a", "E1", "P9", 101.0, "ASSIGNED"), ("3", "nobody", "E1", "P1", 1.0, "ASSIGNED"), ("4", "off", "E2", "P1", None, "ASSIGNED"), ("5", None, "E1", "P1", -1.0, "UNASSIGNED_CAPACITY")],
+        "raw_row_id string, advisor_id string, empresa_id string, punto_venta_id string, priority_score double, assignment_status string").selectExpr("*", "date'2026-01-01' as assignment_date")
+    advisors = spark.createDataFrame([("a", "E1", "P1", True, 1), ("off", "E1", "P1", False, 5)], "asesor_id string, empresa_id string, punto_venta_id string, activo boolean, capacidad_diaria_leads int")
+    mart = day.where("raw_row_id != '5'").selectExpr("if(raw_row_id = '4', '6', raw_row_id) as raw_row_id")
+    found = {r["check"]: r["violations"] for r in quality.day_checks(day, mart, advisors, "2026-01-01").collect()}
+    assert found == {"rows_match_mart": 3, "score_out_of_range": 3, "inactive_or_missing_advisor": 2, "over_capacity": 2, "company_mismatch": 2, "store_mismatch": 2}
+    con = duckdb.connect()
+    for name, df in {"assignments": day, "leads_ai_enriched": mart, "stg_asesores": advisors}.items():
+        con.register(name, df.toArrow())
+    assert dict(con.execute(oracles.day_sql("")).fetchall()) == found
+
+
+def test_validation_query_has_all_checks():
+    sql = queries.ORACLES["operational_validation"]
+    contracted = ["row_count_mismatch", "scores_out_of_range", "inactive_assignments", "advisors_over_capacity", "invalid_company_store_assignments"]
+    for name in [*contracted, "rows_match_mart", "score_out_of_range", "inactive_or_missing_advisor", "over_capacity", "company_mismatch", "store_mismatch"]:
+        assert f"'{name}' AS " in sql
+
+
 def test_extraction_metrics(spark):
     fields = dict.fromkeys(evaluation.FIELDS)
     case = lambda status, ok, kind, seconds, told=True: Row(status=status, expected=Row(**fields), actual=Row(**fields) if told else None, error_type=kind, evidence_grounded=ok, latency_seconds=seconds)
