@@ -9,6 +9,7 @@ fingerprints; copies hang on their smallest doc_id, so a group of equal texts co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import NULL_ID, keyed, pieces, whole_rows
+from leadflow.llm.common import NULL_ID, keyed, may_be_among, pieces, whole_rows
 from leadflow.operators.components import connected_components
 from leadflow.plans.session import materialise
 
@@ -133,8 +134,9 @@ def keep_first(docs: DataFrame, k: int = 3, seed: int = 42, distance: int = 3) -
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs reduced to the documents that are the first of their own row in groups {_d, _k, first}."""
     key = ["_d", "_k"]
-    gone = groups.where(F.struct(*key) != F.col("first")).select(*key).distinct()
-    twice = groups.groupBy(*key).count().where("count > 1").select(*key)
-    held = whole_rows(docs).join(gone, key, "left_anti")
-    again = held.join(twice, key, "left_semi").dropDuplicates(key)
-    return held.join(twice, key, "left_anti").unionByName(again).select("row.*")
+    told = groups.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct(*key) == F.col("first")).alias("stays")).where("n > 1 or not stays")
+    told = materialise(told, "first-of")
+    held = may_be_among(whole_rows(docs), told, key)
+    met = held.where("_maybe").join(told, key, "left").where("stays is null or stays")
+    again = met.where("n > 1").dropDuplicates(key)
+    return reduce(DataFrame.unionByName, [x.select("row.*") for x in (held.where("not _maybe"), met.where("n is null or n = 1"), again)])

@@ -3,8 +3,9 @@
 Candidates come from SimHash (simhash.links) and from a prefix index: two sets at SIMILAR or more share
 one of the first n - ceil(SIMILAR n) + 1 shingles of each, in any one order of shingles. Every link is
 decided by the sets themselves. Texts with equal sets are one node. In a first round each shingle links
-its nodes to the smallest of them; in the second only nodes of different components meet, so that a large
-group of near copies does not make all its pairs.
+its nodes to the smallest of them. In later rounds only nodes of different components meet: first one node in
+16 with all others, then all that are left, so that a large group of near copies is one component before
+it could make all its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadflow.llm import simhash
-from leadflow.llm.common import NULL_ID, keyed, lean, pieces, small_batches
+from leadflow.llm.common import NULL_ID, keyed, lean, may_be_among, pieces, small_batches
 from leadflow.operators.components import connected_components
 from leadflow.plans.session import materialise
 
@@ -30,6 +31,8 @@ OVER, UNDER = 4, 5
 SAMPLE, COMMON = 16, 200_000
 #: Texts of about so many bytes are worked on at a time.
 PIECE_BYTES = 1 << 20
+#: Rounds in which nodes of different components meet: of so many nodes one meets all others. The last round leaves none out.
+ROUNDS = (16, 1)
 WORDS = 8
 SKETCH = [f"s{i}" for i in range(WORDS)]
 
@@ -144,7 +147,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
     left = materialise(pairs.join(ends[0], "u").join(ends[1], "v").where(may).select("u", "v"), "similar-pairs")
     asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
     asked = materialise(nodes.join(asked, "node").select("node", "_d", "_k"), "similar-asked")
-    texts = keyed(docs).join(asked, ["_d", "_k"]).select("node", "text").dropDuplicates(["node"])
+    key = ["_d", "_k"]
+    some = may_be_among(keyed(docs), asked, key).where("_maybe").select("text", *key)
+    texts = some.join(asked, key).dropDuplicates(key).select("node", "text")  # repeated rows of a document are in one place by then
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -168,6 +173,25 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, F.col("node") == F.col("x"), "left").select("node", F.coalesce("component", "node").alias("c"))
 
 
+def _met(shared: DataFrame, links: DataFrame, one_in: int) -> DataFrame:
+    """Pairs {u, v} of nodes of different components that share a shingle and can be similar, where one of the two is among
+    every one_in-th node. Of two such nodes one at least is outside the largest component that has the shingle, so the nodes
+    of that component do not meet each other."""
+    found = connected_components(links).withColumnsRenamed({"node": "x", "component": "y"})
+    found = found.join(found.groupBy("y").agg(F.count("*").alias("many")), "y")
+    now = shared.select("h", "node", "n", "at").join(found, F.col("node") == F.col("x"), "left").withColumn("own", F.struct(F.coalesce("many", F.lit(1)).alias("many"), F.coalesce("y", "node").alias("c")))
+    same = W.partitionBy("h")
+    now = now.select("h", "node", "n", "at", "own.c", F.min("own").over(same).alias("low"), F.max("own").over(same).alias("top")).where("low < top")
+    now = materialise(now.select("h", "node", "n", "at", "c", (F.col("c") != F.col("top.c")).alias("outside")), "similar-mixed")
+    a, b = (now.select("h", *[F.col(x).alias(f"{x}_{e}") for x in ("node", "n", "at", "c", "outside")]) for e in ("u", "v"))
+    among = lambda e: F.pmod(F.xxhash64(f"node_{e}"), F.lit(one_in)) == 0
+    if one_in > 1:
+        b = b.where(among("v"))  # the few; those outside are looked up among them
+    apart = (F.col("c_u") < F.col("c_v")) | ((F.col("c_u") != F.col("c_v")) & ~F.col("outside_v")) if one_in == 1 else F.col("c_u") != F.col("c_v")
+    met = a.where("outside_u").join(b, "h").where(apart & _enough(("n_u", "at_u"), ("n_v", "at_v")))
+    return met.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+
+
 def grouped(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """documents -> {doc_id, _d, _k, first}; first: the smallest {_d, _k} of the group of near-duplicates.
 
@@ -194,12 +218,8 @@ def _grouped(docs: DataFrame, k: int, seed: int) -> DataFrame:
     pairs = by_print.unionByName(by_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = _verified(pairs, nodes, docs, k, seed)
 
-    now = shared.join(_components(nodes, links), "node").select("h", "node", "n", "at", "c")
-    mixed = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    now = materialise(now.join(mixed, "h"), "similar-mixed")
-    a, b = (now.select("h", *[F.col(x).alias(f"{x}_{e}") for x in ("node", "n", "at", "c")]) for e in ("u", "v"))
-    met = a.join(b, "h").where((F.col("c_u") < F.col("c_v")) & _enough(("n_u", "at_u"), ("n_v", "at_v"))).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
-    links = links.unionByName(_verified(met, nodes, docs, k, seed))
+    for one_in in ROUNDS:
+        links = links.unionByName(_verified(_met(shared, links, one_in), nodes, docs, k, seed))
 
     component = _components(nodes, links)
     least = nodes.join(component, "node").groupBy("c").agg(F.min(F.struct("_d", "_k")).alias("first"))

@@ -1,7 +1,7 @@
 from itertools import combinations
 
 import corpus_pipeline
-from leadflow.llm import similar, simhash
+from leadflow.llm import common, similar, simhash
 
 NONE = -(2**63)
 
@@ -48,3 +48,27 @@ def test_edges_of_the_contract(spark, docs, empty):
         assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == sorted((d or 0, t) for d, t in shared if d != 201)
     kept = similar.keep_first(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None if d == NONE else d for d, c in plain_components([(r["doc_id"], r["text"]) for r in docs.collect()]).items() if d == c}
+
+
+def test_a_large_group_of_near_copies_does_not_make_all_its_pairs(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(240):  # each is near the first, and two of them are similar only if they change like words
+        now = list(words)
+        for j in (i % 7, 40 + i % 11):
+            now[j] = f"x{i}"
+        rows.append((i, " ".join(now)))
+    made = []
+    plain = similar._met
+    monkeypatch.setattr(similar, "_met", lambda *a: made.append(plain(*a)) or made[-1])
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+    assert sum(m.count() for m in made) < 240 * 239 // 20
+
+
+def test_maps_of_keys_miss_none(spark):
+    df = spark.range(20000).selectExpr("id", "cast(id as string) as name")
+    keys = df.where("id % 100 = 7")
+    told = common.may_be_among(df, keys, ["id", "name"]).selectExpr("id % 100 = 7 as real", "_maybe").groupBy("real", "_maybe").count().collect()
+    found = {(r["real"], r["_maybe"]): r["count"] for r in told}
+    assert found[True, True] == 200 and (True, False) not in found and found.get((False, True), 0) < 20
