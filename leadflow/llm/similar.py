@@ -33,7 +33,7 @@ SAMPLE, COMMON = 16, 200_000
 PIECE_BYTES = 1 << 20
 #: Rounds in which nodes of different components meet: of so many nodes one meets all others. The last round leaves none out.
 ROUNDS = (16, 1)
-WORDS = 8
+WORDS = 32
 SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
@@ -48,7 +48,7 @@ def name_of(shingles: np.ndarray) -> int:
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the set's counts in 512 cells: two sets differ in at least as many shingles as cells."""
+    """Parities of the set's counts in 2,048 cells: two sets differ in at least as many shingles as cells."""
     odd = np.bincount((shingles & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
