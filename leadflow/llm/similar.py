@@ -145,6 +145,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
     # similar sets of n and m shingles differ in (n + m) / 9 at most
     may = _alike_in_size("n_u", "n_v") & ((UNDER + OVER) * apart <= (UNDER - OVER) * (F.col("n_u") + F.col("n_v")))
     left = materialise(pairs.join(ends[0], "u").join(ends[1], "v").where(may).select("u", "v"), "similar-pairs")
+    if left.isEmpty():
+        return left
     asked = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
     asked = materialise(nodes.join(asked, "node").select("node", "_d", "_k"), "similar-asked")
     key = ["_d", "_k"]
@@ -168,16 +170,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, seed:
     return materialise(both.select("u", "v", "own", "other").mapInArrow(lean(run), "u long, v long"), "similar-links")
 
 
-def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    found = connected_components(edges).withColumnRenamed("node", "x")
+def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: a known component counts as its links to its smallest node."""
+    return found if links.isEmpty() else connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+
+
+def _components(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    found = found.withColumnRenamed("node", "x")
     return nodes.select("node").join(found, F.col("node") == F.col("x"), "left").select("node", F.coalesce("component", "node").alias("c"))
 
 
-def _met(shared: DataFrame, links: DataFrame, one_in: int) -> DataFrame:
+def _met(shared: DataFrame, found: DataFrame, one_in: int) -> DataFrame:
     """Pairs {u, v} of nodes of different components that share a shingle and can be similar, where one of the two is among
     every one_in-th node. Of two such nodes one at least is outside the largest component that has the shingle, so the nodes
     of that component do not meet each other."""
-    found = connected_components(links).withColumnsRenamed({"node": "x", "component": "y"})
+    found = found.withColumnsRenamed({"node": "x", "component": "y"})
     found = found.join(found.groupBy("y").agg(F.count("*").alias("many")), "y")
     now = shared.select("h", "node", "n", "at").join(found, F.col("node") == F.col("x"), "left").withColumn("own", F.struct(F.coalesce("many", F.lit(1)).alias("many"), F.coalesce("y", "node").alias("c")))
     same = W.partitionBy("h")
@@ -216,12 +223,12 @@ def _grouped(docs: DataFrame, k: int, seed: int) -> DataFrame:
     by_print = simhash.links(prints).select("u", "v").unionByName(nodes.join(prints, "fp").where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v")))
     by_hub = shared.where((F.col("node") != F.col("hub")) & _enough(("n", "at"), ("n_hub", "at_hub"))).select(F.col("hub").alias("u"), F.col("node").alias("v"))
     pairs = by_print.unionByName(by_hub).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = _verified(pairs, nodes, docs, k, seed)
+    found = connected_components(_verified(pairs, nodes, docs, k, seed))
 
     for one_in in ROUNDS:
-        links = links.unionByName(_verified(_met(shared, links, one_in), nodes, docs, k, seed))
+        found = _grown(found, _verified(_met(shared, found, one_in), nodes, docs, k, seed))
 
-    component = _components(nodes, links)
+    component = _components(nodes, found)
     least = nodes.join(component, "node").groupBy("c").agg(F.min(F.struct("_d", "_k")).alias("first"))
     named = component.join(least, "c").select("node", "first")
     return marks.join(named, "node").select(F.when(F.col("_d") != NULL_ID, F.col("_d")).alias("doc_id"), "_d", "_k", "first")

@@ -36,6 +36,20 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_end_when_only_stars_are_left(spark, tmp_path):
+    """A round costs the driver a task for each shuffle partition and shuffle, so none is run to see that nothing changes."""
+    spark.createDataFrame([(0, i) for i in range(1, 50)], "u long, v long").write.parquet(str(tmp_path / "edges"))
+    sc = spark.sparkContext
+    sc.setJobGroup("stars", "components of stars")
+    try:
+        assert connected_components(spark.read.parquet(str(tmp_path / "edges"))).where("component != 0").count() == 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    told = sc.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("stars") for s in told.getJobInfo(j).stageIds]
+    assert sum(1 for s in stages if s and s.numCompletedTasks) < 12
+
+
 def test_global_rank(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") * 7919 % 13).alias("s"))
     got = global_rank(df, [F.col("s").desc()], [F.col("id").asc()], "r", buckets=5).collect()
