@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import lean, pieces, spare_name
+from leadflow.llm.common import give_back, lean, pieces, spare_name
 
 LENGTH = 4  # of the subsequences
 DECAY = 0.5  # weight of each character that a subsequence spans
@@ -30,6 +30,8 @@ LANDMARK_LENGTHS = range(4, 13)
 POWER = 2  # of the normalised kernel: a power of a kernel is one, and makes less of faint likeness
 MOST_TOKENS = 40  # of a sentence; a longer one counts as several
 CACHE_TOKENS = 80_000
+FIT_DOCS = 100  # whose sentences are mapped at a time in a fit
+FIT_ROWS = 10_000  # sentences whose sums a Newton step takes at a time
 SENTENCE_END = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 NOT_LETTERS = re.compile(r"[\W_]+")
@@ -251,17 +253,19 @@ def choose_landmarks(docs: list[list[list[str]]], toxic: np.ndarray, count: int)
 
 
 def _fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
+    """Squared-hinge linear machine by Newton steps, whose sums run over blocks of rows."""
     sign = np.where(y, 1.0, -1.0)
-    each = np.full(len(x), cost)
     ridge = np.diag([1.0] * x.shape[1] + [1e-3])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
-        short = 1 - sign * (x1 @ w)
-        on = short > 0
-        gradient = ridge @ w - 2 * x1[on].T @ (each[on] * sign[on] * short[on])
-        hessian = ridge + 2 * (x1[on] * each[on][:, None]).T @ x1[on]
+        gradient, hessian = ridge @ w, ridge.copy()
+        for i in range(0, len(x), FIT_ROWS):
+            x1, own = np.column_stack([x[i : i + FIT_ROWS], np.ones(len(x[i : i + FIT_ROWS]))]), sign[i : i + FIT_ROWS]
+            short = 1 - own * (x1 @ w)
+            on = short > 0
+            x1 = x1[on]
+            gradient -= 2 * cost * x1.T @ (own[on] * short[on])
+            hessian += 2 * cost * x1.T @ x1
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-6:
@@ -285,7 +289,7 @@ def _fit_line(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
+def train(texts: Iterable[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
     """Fit on whole labelled texts. In a toxic text only its worst sentences count as toxic, chosen anew each round.
 
     With one class alone the model is a constant: that class's rate, softened.
@@ -298,7 +302,11 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     docs = [[[share.setdefault(t, t) for t in s] for s in sentences(x)] for x in texts]
     names = choose_landmarks(docs, y, landmarks)
     marks = Landmarks(names)
-    pooled, owner = TokenTable(marks, 10**9).pooled(docs)
+    tokens = TokenTable(marks, 10**9)
+    tokens.learn(set(share))
+    pooled, owner = zip(*(tokens.pooled(docs[i : i + FIT_DOCS]) for i in range(0, len(docs), FIT_DOCS)))
+    pooled, owner = np.concatenate(pooled), np.concatenate([o + i * FIT_DOCS for i, o in enumerate(owner)])
+    del tokens, docs, share
     gram = marks.similarities(names).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-2 * np.eye(len(names)))
     nystrom = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5)
@@ -362,8 +370,11 @@ def held_out(parts: int, part: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, **bounds) -> Model:
-    rows = sample(docs, labels.where(~held_out(parts, part)), **bounds)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    rows = sample(docs, labels.where(~held_out(parts, part)), **bounds)[::-1]
+    toxic = [y for _, y in reversed(rows)]
+    model = train((rows.pop()[0] for _ in toxic), toxic)  # the driver lets go of a text once it has its words
+    give_back()
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
