@@ -45,3 +45,18 @@ def test_long_values_that_repeat_are_stored_once(spark, tmp_path):
     rows = spark.range(40).coalesce(1).select("id", F.concat(F.repeat(F.md5((F.col("id") % 2).cast("string")), 1 << 15), F.lit("")).alias("long"))  # two values of 1 MB
     rows.write.option("compression", "none").parquet(str(tmp_path / "out"))
     assert sum(f.stat().st_size for f in (tmp_path / "out").iterdir()) < 10 << 20
+
+
+def columns(spark, names: list[str]) -> dict[str, set]:
+    return {n.rsplit("-", 1)[0]: set(spark.read.parquet(f"{folder(spark)}/{n}").columns) for n in names}
+
+
+def test_evidence_of_components_is_not_written_on_the_way(spark):
+    tables = columns(spark, written(spark, lambda: __spark_entry__.queries()["grown_identity_map"](spark, SF)))
+    assert tables and not any(held & {"identity_evidence", "signals"} for held in tables.values())
+
+
+def test_a_day_writes_what_it_reads(spark):
+    tables = columns(spark, written(spark, lambda: __spark_entry__.queries()["assignments"](spark, SF)))
+    assert len(tables["queue"]) == 12 and "priority_reasons" in tables["assignments"]
+    assert not any(held & {"telefono_raw", "nombre_cliente", "customer_identity_id"} for held in tables.values())
