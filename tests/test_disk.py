@@ -60,3 +60,8 @@ def test_a_day_writes_what_it_reads(spark):
     tables = columns(spark, written(spark, lambda: __spark_entry__.queries()["assignments"](spark, SF)))
     assert len(tables["queue"]) == 12 and "priority_reasons" in tables["assignments"]
     assert not any(held & {"telefono_raw", "nombre_cliente", "customer_identity_id"} for held in tables.values())
+
+
+def test_records_of_a_source_go_when_it_is_loaded(spark):
+    names = written(spark, lambda: __spark_entry__.queries()["ingestion_log"](spark, SF).collect())
+    assert {n.rsplit("-", 1)[0] for n in names} == {"files"}
